@@ -26,6 +26,7 @@ def get_session(app: str = "tidegauge", cores: int | str = "*", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TIDEGAUGE_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
