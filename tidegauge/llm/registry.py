@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op2_decontamination", "op3_bpe", "op4_language", "op5_substrings", "op7_simhash", "op9_sharding")
+MODULES = ("op2_decontamination", "op3_bpe", "op4_language", "op5_substrings", "op6_embeddings", "op7_simhash", "op9_sharding")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
