@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +30,11 @@ PREFIXES = {
 }
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def percent_encode(text: Column) -> Column:
     """All bytes but the unreserved characters of RFC 3986."""
     return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
@@ -101,13 +108,14 @@ def search(terms: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def prefix_stem(namespace: Column) -> Column:
-    """The well-known prefix, or a label from the last path segment or the host."""
-    bare = F.regexp_replace(namespace, "[#/]+$", "")
-    path = F.coalesce(F.try_parse_url(bare, F.lit("PATH")), F.lit(""))
-    segment = F.regexp_extract(path, "([^/]+)/*$", 1)
-    host = F.split(F.lower(F.coalesce(F.try_parse_url(bare, F.lit("HOST")), bare)), "\\.")[0]
-    stem = F.substring(F.regexp_replace(F.when(segment != "", segment).otherwise(host), "[^a-zA-Z0-9-]+", ""), 1, 12)
-    return F.lower(F.when(stem != "", stem).otherwise("ns"))
+    """A label from the last path segment or the host."""
+
+    def label(bare: Column) -> Column:
+        segment = F.regexp_extract(F.coalesce(F.try_parse_url(bare, F.lit("PATH")), F.lit("")), "([^/]+)/*$", 1)
+        first = F.split(F.lower(F.coalesce(F.try_parse_url(bare, F.lit("HOST")), bare)), "\\.")[0]
+        return _let(F.coalesce(F.nullif(segment, F.lit("")), first), lambda x: F.substring(F.regexp_replace(x, "[^a-zA-Z0-9-]+", ""), 1, 12))
+
+    return F.lower(F.coalesce(F.nullif(_let(F.regexp_replace(namespace, "[#/]+$", ""), label), F.lit("")), F.lit("ns")))
 
 
 def allocate_prefixes(namespaces: DataFrame, order: list[Column]) -> DataFrame:
@@ -117,9 +125,7 @@ def allocate_prefixes(namespaces: DataFrame, order: list[Column]) -> DataFrame:
     the given order, adds 2, and so on. A numbered name that is itself a stem or
     already given moves on: rounds repeat until no name is held twice.
     """
-    known = F.lit(None).cast("string")
-    for ns, prefix in PREFIXES.items():
-        known = F.when(F.col("namespace") == ns, prefix).otherwise(known)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in PREFIXES.items() for x in pair]), F.col("namespace"))
     rows = namespaces.withColumns({"known": known, "stem": prefix_stem(F.col("namespace"))})
     reserved = rows.where("known is not null").select(F.col("known").alias("taken")).distinct()
     place = F.row_number().over(Window.partitionBy("stem").orderBy(*order))
@@ -185,26 +191,28 @@ def same_endpoint_key(url: Column) -> Column:
     return F.concat(F.regexp_replace(own, "^www\\.", ""), path)
 
 
-def _octet(h: Column, k: int) -> Column:
-    return F.regexp_extract(h, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("int")
-
-
 def unroutable(url: Column) -> Column:
     """Why a host cannot be reached from outside, or null."""
-    h = F.regexp_replace(host(url), "\\.$", "")
-    mapped = F.regexp_extract(h, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    v4 = F.when(mapped != "", mapped).otherwise(h)
-    a, b, c, d = (_octet(v4, k) for k in range(1, 5))
-    valid = (a <= 255) & (b <= 255) & (c <= 255) & (d <= 255)
-    return (
-        F.when(valid & (a == 127), "loopback")
-        .when(valid & ((a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))), "private")
-        .when(valid & (a == 169) & (b == 254), "link-local")
-        .when(valid & (a + b + c + d == 0), "unspecified")
-        .when(h == "::1", "loopback").when(h == "::", "unspecified")
-        .when(h.rlike("^f[cd][0-9a-f]{2}:"), "unique-local").when(h.rlike("^fe[89ab][0-9a-f]:"), "link-local")
-        .when(h.rlike("(^|\\.)(localhost|test)$"), "reserved for local use")
-    )
+    whole = r"^(?:::ffff:)?(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$"
+
+    def judge(h: Column) -> Column:
+        octets = F.transform(F.split(F.regexp_extract(h, whole, 1), "\\."), lambda x: x.try_cast("int"))
+        return _let(octets, lambda o: by_number(h, o))
+
+    def by_number(h: Column, o: Column) -> Column:
+        valid = (F.size(o) == 4) & F.forall(o, lambda x: x <= 255)
+        a, b = F.get(o, F.lit(0)), F.get(o, F.lit(1))
+        return (
+            F.when(valid & (a == 127), "loopback")
+            .when(valid & ((a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))), "private")
+            .when(valid & (a == 169) & (b == 254), "link-local")
+            .when(valid & F.forall(o, lambda x: x == 0), "unspecified")
+            .when(h == "::1", "loopback").when(h == "::", "unspecified")
+            .when(h.rlike("^f[cd][0-9a-f]{2}:"), "unique-local").when(h.rlike("^fe[89ab][0-9a-f]:"), "link-local")
+            .when(h.rlike("(^|\\.)(localhost|test)$"), "reserved for local use")
+        )
+
+    return _let(F.regexp_replace(host(url), "\\.$", ""), judge)
 
 
 def reserved_name(url: Column) -> Column:
