@@ -48,14 +48,14 @@ def read_quads(spark: SparkSession, path: str) -> DataFrame:
     Files are the unit: each is read whole by one task, so line numbers hold. The
     file key has no ``.gz``, so a packed file is the same file.
     """
-    files = spark.read.option("wholetext", True).text(path).select("value", F.regexp_replace(F.col("_metadata.file_path"), "\\.gz$", "").alias("src_file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.regexp_replace(F.col("_metadata.file_path"), "\\.gz$", "").alias("src_file"))
     lines = files.select("src_file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
     return parse_lines(lines.select("src_file", (F.col("n") + 1).cast("long").alias("line_no"), "value"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """S3: key and digest of every file, over its unpacked text."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.regexp_replace(F.col("_metadata.file_path"), "\\.gz$", "").alias("key"), F.sha2(F.col("value").cast("binary"), 256).alias("digest"))
 
 

@@ -24,7 +24,7 @@ def archive_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
     The source goes by path: a file rewritten under its name is not seen again and
     needs the batch load that goes by digest.
     """
-    files = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).text(path)
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
     return files.select(F.regexp_replace(F.col("_metadata.file_path"), "\\.gz$", "").alias("src_file"), "value")
 
 
