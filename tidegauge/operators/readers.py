@@ -119,3 +119,20 @@ def facet_filter(current: DataFrame, availability: DataFrame, facet: str) -> Dat
 def bounded(df: DataFrame, n: int) -> tuple[DataFrame, bool]:
     """At most n rows, and whether there were more."""
     return df.limit(n), df.limit(n + 1).count() > n
+
+
+def void_rows(class_profiles: DataFrame, property_profiles: DataFrame, declarations: DataFrame, documents: DataFrame) -> DataFrame:
+    """What is known of datasets, one row per statement and its kind."""
+    cols = ["run", "endpoint", "kind", "class", "property", "n"]
+    arms = [
+        class_profiles.select("run", "endpoint", F.lit("class").alias("kind"), "class", F.lit(None).cast("string").alias("property"), F.col("denominator").alias("n")),
+        property_profiles.select("run", "endpoint", F.lit("property").alias("kind"), "class", "property", F.col("subjects").alias("n")),
+        declarations.select("run", "endpoint", F.explode("classes").alias("class")).select("run", "endpoint", F.lit("declared-class").alias("kind"), "class"),
+        declarations.select("run", "endpoint", F.explode("properties").alias("property")).select("run", "endpoint", F.lit("declared-property").alias("kind"), "property"),
+        documents.where("triples is not null").select("run", "endpoint", F.lit("document").alias("kind"), F.col("triples").alias("n")),
+        documents.where("declared_triples is not null").select("run", "endpoint", F.lit("claimed").alias("kind"), F.col("declared_triples").alias("n")),
+    ]
+    out = arms[0]
+    for arm in arms[1:]:
+        out = out.unionByName(arm, allowMissingColumns=True)
+    return out.select(*cols)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.plans import quad_queries, state_queries, stream_queries
+from tidegauge.plans import archive_queries, quad_queries, state_queries, stream_queries
 
-_MODULES = (state_queries, quad_queries, stream_queries)
+_MODULES = (state_queries, archive_queries, quad_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
