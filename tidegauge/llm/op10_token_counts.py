@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidegauge.session import ship, table
 
 PARTS = ("keys", "targets", "fails", "pops")
-BLOCK, REMEMBERED = 256, 400_000
+BLOCK, REMEMBERED = 256, 150_000
 #: Words longer than this are walked one by one.
 LONG = 256
 

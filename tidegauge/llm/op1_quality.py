@@ -36,7 +36,7 @@ PRIOR, DEAD = 3.0, 0.4
 _WORDS, _PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
 _SIZE = _WORDS + _PAIRS
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 
 
 class _TokenHashes(dict):

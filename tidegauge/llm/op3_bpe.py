@@ -31,7 +31,7 @@ from tidegauge.session import ship, table
 #: Words in the lexicon: the bound of what comes to the driver.
 LEXICON_WORDS = 60_000
 #: Texts handled at once, and words remembered by a worker.
-BLOCK, REMEMBERED = 256, 400_000
+BLOCK, REMEMBERED = 256, 150_000
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACE = "\\t-\\r \\x85\\xa0"
 

@@ -38,13 +38,13 @@ BATCHES, FAN_IN = 2, 2
 #: Occurrences of an anchor that go to one group.
 GROUP = 2000
 NO_ID = (1 << 63) - 1
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of words, remembered for the length of a task."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > _REMEMBERED:
@@ -53,9 +53,6 @@ class _WordHashes(dict):
         return found
 
 
-_hashes = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -80,12 +77,12 @@ def _rolling(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     return _mix(total)
 
 
-def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: list[bytes], known: _WordHashes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window start: its anchor's position, the anchor's hash, the window's digest."""
     none = np.zeros(0, np.uint64)
     if len(words) < window:
         return none.astype(np.int64), none, none
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     grams = _rolling(h, gram, _B)
     inside = window - gram + 1
     low = np.lib.stride_tricks.sliding_window_view(grams, inside).argmin(axis=1)
@@ -98,12 +95,13 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _WordHashes()
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for at in range(0, batch.num_rows, 512):
             own, found, counts = [], [], []
             for k, text in enumerate(batch.column(1).slice(at, 512).to_pylist(), at):
-                where, hashes, _ = anchors(_words(text))
+                where, hashes, _ = anchors(_words(text), known)
                 if len(where):
                     new = np.concatenate(([True], where[1:] != where[:-1]))
                     values, n = np.unique(hashes[new], return_counts=True)
@@ -163,12 +161,13 @@ _PACKED = "anchor long, salt int, groups int, id long, print long, start int, at
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (id, print, text, hits): a row for each occurrence of a repeated anchor."""
+    known = _WordHashes()
     schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("groups", pa.int32()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("windows", pa.binary())])
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             rows = []
             for row in batch.slice(k, 256).to_pylist():
-                where, hashes, digests = anchors(_words(row["text"]))
+                where, hashes, digests = anchors(_words(row["text"]), known)
                 groups = {h["anchor"]: h["groups"] for h in row["hits"]}
                 edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True]))) if len(where) else np.zeros(1, np.int64)
                 names = hashes.view(np.int64)[edges[:-1]].tolist()
