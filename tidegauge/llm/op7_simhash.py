@@ -110,17 +110,17 @@ def _tile(radius: int):
         both = np.concatenate([left, right])
         if not len(left):
             return pd.DataFrame({"u": left, "v": left})
-        bits, low, step = both.view(np.uint64), np.arange(len(both)), 512
+        bits, low, step, wide = both.view(np.uint64), np.arange(len(both)), 512, 8192
         for at in range(0, len(left), step):
+            rows_at = bits[at : min(at + step, len(left)), None]
             # a left block against the right side and, in a diagonal tile, the left side after it
-            others = bits[at:] if inner else bits[len(left) :]
-            shift = at if inner else len(left)
-            hit = np.bitwise_count(bits[at : min(at + step, len(left)), None] ^ others[None, :]) <= radius
-            a, b = np.nonzero(hit)
-            a, b = a + at, b + shift
-            keep = a < b
-            if keep.any():
-                low = np.minimum(low, spanning(np.concatenate([a[keep], np.arange(len(both))]), np.concatenate([b[keep], low]), len(both)))
+            for shift in range(at if inner else len(left), len(both), wide):
+                a, b = np.nonzero(np.bitwise_count(rows_at ^ bits[None, shift : shift + wide]) <= radius)
+                a, b = a + at, b + shift
+                keep = a < b
+                if keep.any():
+                    own = np.arange(len(both))
+                    low = np.minimum(low, spanning(np.concatenate([a[keep], own]), np.concatenate([b[keep], low]), len(both)))
         linked = low != np.arange(len(both))
         return pd.DataFrame({"u": both[linked], "v": both[low[linked]]})
 
@@ -186,4 +186,8 @@ def near_duplicates_stage(docs: DataFrame) -> DataFrame:
     rows with one doc_id and one text, one stays.
     """
     groups = simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(groups, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    out = materialise(groups.withColumn("gone", F.lit(True)).unionByName(repeated.withColumn("gone", F.lit(False))), "out")
+    single = docs.join(out.select("doc_id"), "doc_id", "left_anti")
+    again = docs.join(out.groupBy("doc_id").agg(F.bool_or("gone").alias("gone")).where("not gone"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.select(*docs.columns).unionByName(again.select(*docs.columns))
