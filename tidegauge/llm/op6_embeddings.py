@@ -181,3 +181,14 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op6_embeddings": op6_embeddings}
+
+
+ORACLE_SQL = {
+    "op6_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT reach.u, links.w FROM reach JOIN links ON reach.w = links.u),
+comp AS (SELECT u, min(w) AS component_id FROM reach GROUP BY 1), n AS (SELECT u, count(DISTINCT w) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp ON comp.u = vec_id LEFT JOIN n ON n.u = vec_id"""
+}

@@ -237,3 +237,13 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op8_html": op8_html}
+
+
+#: For pages as the driver's tables have them: one article element of headings and paragraphs.
+ORACLE_SQL = {
+    "op8_html": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(replace(body, '<br>', ' '), '</?b>', '', 'g'), '</?p>|</?h1>') AS parts FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS kept FROM b)
+SELECT page_id, url, coalesce(array_to_string(kept, chr(10)), '') AS text, CAST(length(coalesce(array_to_string(kept, chr(10)), '')) AS BIGINT) AS n_chars FROM c"""
+}
