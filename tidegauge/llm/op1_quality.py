@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.llm.selection import threshold
 from tidegauge.session import materialise, ship, table
 
 #: Buckets of words and of word pairs.
@@ -99,24 +100,6 @@ def gumbel(name: str) -> float:
     return float(-np.log(-np.log((xxhash.xxh64_intdigest(name, 9) + 0.5) / 2.0**64)))
 
 
-def threshold(keys: DataFrame, k: int, bins: int = 4096) -> int | None:
-    """The k-th largest of a bigint column ``q`` (None: fewer than k rows, or k is 0)."""
-    row = keys.agg(F.min("q"), F.max("q"), F.count("*")).first()
-    low, high, n = row[0], row[1], row[2]
-    if not k or n <= k:
-        return None if n <= k else high + 1
-    need = k
-    while low < high:
-        width = -(-(high - low + 1) // bins)
-        part = keys.where(F.col("q").between(low, high)).groupBy(((F.col("q") - low) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-        for row in sorted(part.collect(), key=lambda r: -r["bin"]):
-            if row["n"] >= need:
-                low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width - 1)
-                break
-            need -= row["n"]
-    return low
-
-
 def score(docs: DataFrame, ratio: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_grams, log_weight, noisy), one per input row."""
     ship(docs.sparkSession)
@@ -152,8 +135,9 @@ def resample(
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(1)) == 0)).alias("good"))
     share = known.agg(F.count("*").alias("n"), F.count_if("good").alias("good")).first()
-    # At most ``sample`` ids.
-    target = known.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"))
+    # At most ``sample`` ids: a share of the hashes holds a few more, and the least of those count.
+    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, (1.1 * sample + 100) / max(share["good"], 1))))
+    target = known.where("good").where(near).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"))
     chosen = docs.join(F.broadcast(target), F.col(doc_id) == F.col("_id"), "left_semi")
     pair = [F.col(doc_id).cast("long"), F.col(text).cast("string")]
     target_counts, raw_counts = bucket_counts(chosen.select(*pair)), bucket_counts(docs.select(*pair)).sum(axis=0)
