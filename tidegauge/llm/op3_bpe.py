@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidegauge.llm.selection import threshold
 from tidegauge.llm.transducer import Lexicon, compile_lexicon, save
-from tidegauge.session import ship, table
+from tidegauge.session import materialise, ship, table
 
 #: Words in the lexicon: the bound of what comes to the driver.
-LEXICON_WORDS = 60_000
+LEXICON_WORDS = 120_000
 #: Texts handled at once, and words remembered by a worker.
-BLOCK, REMEMBERED = 256, 150_000
+BLOCK, REMEMBERED = 256, 250_000
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACE = "\\t-\\r \\x85\\xa0"
 
@@ -56,7 +57,8 @@ class WordBpe:
         self.rank = {pair: k for k, pair in enumerate(pairs)}
         self.end = spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
+        names = {i: t for t, i in (self.vocab | self.special).items()}
+        self.tokens = [names.get(i, "") for i in range(max(names) + 1)]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
@@ -90,13 +92,15 @@ class WordBpe:
 
     def _merge_short(self, parts: list[str]) -> list[str]:
         rank, none = self.rank.get, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank(pair, none) for pair in zip(parts, parts[1:], strict=False)]
-            low = min(ranks)
-            if low == none:
-                break
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks and (low := min(ranks)) < none:
             k = ranks.index(low)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank((parts[k], parts[k + 1]), none)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -126,7 +130,7 @@ class WordBpe:
         pieces = [self.segments(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({w for p in pieces for w in p}.difference(self.known))
+        new = list(set().union(*pieces).difference(self.known))
         found = self.lexicon.lookup(new) if self.lexicon else [None] * len(new)
         for word, ids in zip(new, found, strict=True):
             self.known[word] = ids if ids is not None else b"".join(i.to_bytes(4, "little") for i in self.merge(word))
@@ -162,10 +166,14 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LE
     """Compiles the ``size`` most frequent words of all texts and sends the files out."""
     spark = docs.sparkSession
     pieces = docs.select(F.explode(F.split(F.lower(F.col(text)), "[^\\p{L}]+")).alias("word")).where("word <> '' and length(word) <= 64")
-    top = pieces.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    # A hash decides between words of one count, so about ``size`` words pass the threshold.
+    rank = F.shiftleft(F.col("n"), 24).bitwiseOR(F.xxhash64("word").bitwiseAND((1 << 24) - 1))
+    counts = materialise(pieces.groupBy("word").agg(F.count("*").alias("n")).select("word", rank.alias("q")), "words")
+    cut = threshold(counts.select("q"), size)
+    top = counts if cut is None else counts.where(F.col("q") >= cut)
     coder = WordBpe(path)
     # A word is compiled only if the tokenizer's own split leaves it whole.
-    frequent = [row["word"] for row in top.collect() if coder.words(row["word"]) == [row["word"]]]
+    frequent = [row["word"] for row in top.select("word").collect() if coder.words(row["word"]) == [row["word"]]]
     arrays = compile_lexicon({word: coder.merge(word) for word in frequent})
     name = f"lexicon-{uuid.uuid4().hex}"
     for file in save(arrays, Path(tempfile.mkdtemp(prefix="spark-lexicon-")), name):
