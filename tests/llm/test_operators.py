@@ -170,6 +170,21 @@ def test_substrings(docs, batches, group):
     assert kept.columns == docs.columns and kept.where("doc_id = 3").isEmpty() and kept.where("doc_id = 6").count() == 1
 
 
+def test_substrings_spread_an_anchor_with_many_windows(spark):
+    # One anchor in 80 contexts, each context twice: nothing but the anchor is common.
+    gram, rows = _text(7, 8), []
+    for k in range(160):
+        side = [f"{w}{k % 80}" for w in _text(1000, 30).split()]
+        rows.append((k, " ".join([*side[:15], gram, *side[15:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = op5.repeated_windows(docs, group=4)
+    plan = marks._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(anchor#\d+L?, offset#\d+, digest#\d+L?, ", plan)
+    assert not re.search(r"hashpartitioning\(anchor#\d+L?, \d+\)", plan)
+    got = op5.strip_repeats(docs, group=4).collect()
+    assert all(r.n_words == 38 and r.n_removed == (38 if r.doc_id >= 80 else 0) for r in got) and len(got) == 160
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(6, 16))

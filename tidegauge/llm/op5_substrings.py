@@ -11,7 +11,8 @@ can only repeat if its anchor does, and about one word in seven is an anchor.
 2. Windows at repeated anchors are verified: rows with the anchor, the offset and
    an independent 64-bit digest of the whole window are sorted by document, and
    all but the first of equal ones are marked. Anchors that occur often are dealt
-   over several groups; what is first in its group meets in a second round.
+   over several groups; the windows that are first in their group meet in a second
+   round, each with its equals only.
 3. The marked windows' words are taken out of each text.
 
 Per-word work is numpy inside Arrow passes; everything between is Spark joins and
@@ -29,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidegauge.session import materialise, ship, table
 
@@ -180,39 +182,61 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 
-def _judge(final: bool):
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by (anchor, salt, id, print, start): marks all but the first of equal windows.
 
-    Gives (id, print, start, mask) with a bit for each marked window and, unless
-    ``final``, the rows with unmarked windows of anchors dealt over several groups.
+    Adds mask with a bit for each marked window, and keep where one is unmarked.
     """
+    group, seen = None, {}
+    for batch in batches:
+        keep, masks = [], []
+        columns = [batch.column(c).to_pylist() for c in ("anchor", "salt", "id", "print", "start", "at", "windows")]
+        for anchor, salt, own, text, start, at, packed in zip(*columns, strict=True):
+            if (anchor, salt) != group:
+                group, seen = (anchor, salt), {}
+            mask, me = 0, None
+            for k, digest in enumerate(memoryview(packed).cast("Q").tolist()):
+                me = (own, text, start + k)
+                if seen.setdefault((at - start - k, digest), me) != me:
+                    mask |= 1 << k
+            masks.append(mask)
+            keep.append(mask + 1 < 1 << len(packed) // 8)
+        arrays = [*batch.columns, pa.array(masks, pa.int32()), pa.array(keep, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "mask", "keep"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each unmarked window of judged rows."""
+    schema = pa.schema([("anchor", pa.int64()), ("offset", pa.int32()), ("digest", pa.int64()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int32())])
+    for batch in batches:
+        for low in range(0, batch.num_rows, 2048):
+            part = batch.slice(low, 2048)
+            columns = [part.column(c).to_pylist() for c in ("anchor", "id", "print", "start", "at", "windows", "mask")]
+            rows = [
+                (anchor, at - start - k, digest, own, text, start + k)
+                for anchor, own, text, start, at, packed, mask in zip(*columns, strict=True)
+                for k, digest in enumerate(memoryview(packed).cast("q").tolist())
+                if not mask >> k & 1
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, seen = None, {}
-        for batch in batches:
-            keep, masks = [], []
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "salt", "id", "print", "start", "at", "windows")]
-            for anchor, salt, own, text, start, at, packed in zip(*columns, strict=True):
-                if (anchor, salt) != group:
-                    group, seen = (anchor, salt), {}
-                mask, me = 0, None
-                for k, digest in enumerate(memoryview(packed).cast("Q").tolist()):
-                    me = (own, text, start + k)
-                    if seen.setdefault((at - start - k, digest), me) != me:
-                        mask |= 1 << k
-                masks.append(mask)
-                keep.append(mask + 1 < 1 << len(packed) // 8)
-            arrays = [*batch.columns, pa.array(masks, pa.int32()), pa.array(keep, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "mask", "keep"])
 
-    return run
+def _first_round(packed: DataFrame) -> DataFrame:
+    dealt = packed.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "print", "start")
+    return dealt.mapInArrow(_judge, _PACKED + ", mask int, keep boolean")
 
 
-def _round(packed: DataFrame, final: bool) -> DataFrame:
-    keys = ["anchor"] if final else ["anchor", "salt"]
-    rows = packed.withColumn("salt", F.lit(0)) if final else packed
-    dealt = rows.repartition(*keys).sortWithinPartitions("anchor", "salt", "id", "print", "start")
-    return dealt.mapInArrow(_judge(final), _PACKED + ", mask int, keep boolean")
+def _second_round(judged: DataFrame) -> DataFrame:
+    """Marks (id, print, start, mask) of windows that are first in their group but not of all.
+
+    Windows are keyed by what makes them equal, so an anchor with a different window
+    in each text is spread, and a window has at most one document for each group.
+    """
+    windows = judged.mapInArrow(_unpack, "anchor long, offset int, digest long, id long, print long, start int")
+    order = Window.partitionBy("anchor", "offset", "digest").orderBy("id", "print", "start")
+    # Equal ranks are repeated rows of one document, which do not mark each other.
+    return windows.withColumn("place", F.rank().over(order)).where("place > 1").select("id", "print", "start", F.lit(1).alias("mask"))
 
 
 def _named(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
@@ -247,10 +271,9 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     hits = found.select("id", "anchor").join(repeated, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "groups")).alias("hits"))
     packed = rows.join(hits, "id").select("id", "print", "text", "hits").mapInArrow(_emit_windows, _PACKED)
-    first = materialise(_round(packed, False).where("mask <> 0 or (keep and groups > 1)"), "judged")
-    second = _round(first.where("keep and groups > 1").drop("mask", "keep"), True)
-    columns = ["id", "print", "start", "mask"]
-    return first.select(*columns).where("mask <> 0").unionByName(second.select(*columns).where("mask <> 0"))
+    first = materialise(_first_round(packed).where("mask <> 0 or (keep and groups > 1)"), "judged")
+    second = _second_round(first.where("keep and groups > 1"))
+    return first.select("id", "print", "start", "mask").where("mask <> 0").unionByName(second)
 
 
 def _strip(at: int, spans: int, width: int):
