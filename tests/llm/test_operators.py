@@ -185,6 +185,27 @@ def test_substrings_spread_an_anchor_with_many_windows(spark):
     assert all(r.n_words == 38 and r.n_removed == (38 if r.doc_id >= 80 else 0) for r in got) and len(got) == 160
 
 
+def test_substrings_of_null_ids_and_copies(spark, monkeypatch):
+    # 40 documents without an id, one of them 30 times, and 60 copies of a text under their own ids.
+    rows = [(None, f"{_text(2000 + k, 20)} {PASSAGE}") for k in range(40)] + [(None, f"{_text(2000, 20)} {PASSAGE}")] * 29
+    rows += [(k, _text(3000, 60)) for k in range(60)]
+    docs, read = spark.createDataFrame(rows, "doc_id long, text string"), []
+    monkeypatch.setattr(op5, "materialise", lambda df, name, f=op5.materialise: read.append((name, f(df, name))) or read[-1][1])
+    got = op5.strip_repeats(docs, group=10).collect()
+    assert len(got) == len(rows)
+    assert all(r.n_removed == (60 if r.doc_id else 0) for r in got if r.doc_id is not None)
+    # The passage stays in one of the 40 documents; the repeated rows of one are treated alike.
+    cut = {}
+    for r in got:
+        if r.doc_id is None:
+            cut.setdefault(r.kept.split()[:20].__str__(), set()).add(r.n_removed)
+    assert len(cut) == 40 and sorted(next(iter(x)) for x in cut.values())[:2] == [0, 60] and all(len(x) == 1 for x in cut.values())
+    tables = dict(read)
+    assert tables["anchors"].where(F.col("id") == op5.NO_ID).select("key").distinct().count() == 40
+    judged = tables["judged"].where("id < 60")
+    assert judged.where("groups > 1").select("anchor", "salt").distinct().count() > judged.select("anchor").distinct().count()
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(6, 16))

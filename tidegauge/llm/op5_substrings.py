@@ -99,10 +99,10 @@ def _words(text: str | None) -> list[bytes]:
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _WordHashes()
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
         for at in range(0, batch.num_rows, 512):
-            own, found, counts = [], [], []
-            for k, text in enumerate(batch.column(1).slice(at, 512).to_pylist(), at):
+            own, key, found, counts = [], [], [], []
+            for k, text in enumerate(batch.column(2).slice(at, 512).to_pylist(), at):
                 where, hashes, _ = anchors(_words(text), known)
                 if len(where):
                     new = np.concatenate(([True], where[1:] != where[:-1]))
@@ -110,8 +110,9 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     found.append(values.view(np.int64))
                     counts.append(n)
                     own.append(np.full(len(values), ids[k], np.int64))
+                    key.append(np.full(len(values), names[k], np.int64))
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (own, found, counts)], ["id", "anchor", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (own, key, found, counts)], ["id", "key", "anchor", "n"])
 
 
 class AnchorIndex:
@@ -162,20 +163,27 @@ _PACKED = "anchor long, salt int, groups int, id long, print long, start int, at
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, print, text, hits): a row for each occurrence of a repeated anchor."""
-    known = _WordHashes()
+    """From (id, print, key, text, hits): a row for each occurrence of a repeated anchor.
+
+    Groups are dealt by key, so copies under different ids spread and repeated rows
+    of one document meet. Of these only the first is read where they stand together.
+    """
+    known, last = _WordHashes(), None
     schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("groups", pa.int32()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("windows", pa.binary())])
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             rows = []
             for row in batch.slice(k, 256).to_pylist():
+                if (row["id"], row["print"]) == last:
+                    continue
+                last = (row["id"], row["print"])
                 where, hashes, digests = anchors(_words(row["text"]), known)
                 groups = {h["anchor"]: h["groups"] for h in row["hits"]}
                 edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True]))) if len(where) else np.zeros(1, np.int64)
                 names = hashes.view(np.int64)[edges[:-1]].tolist()
                 for name, a, b in zip(names, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     if (n := groups.get(name)) is not None:
-                        rows.append((name, row["print"] % n, n, row["id"], row["print"], a, int(where[a]), digests[a:b].tobytes()))
+                        rows.append((name, row["key"] % n, n, row["id"], row["print"], a, int(where[a]), digests[a:b].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -253,7 +261,9 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ship(spark)
     name, mark = _named(docs, doc_id, text)
     rows = docs.select(name.alias("id"), mark.alias("print"), F.col(text).cast("string").alias("text")).where("text is not null")
-    found = materialise(rows.select("id", "text").mapInArrow(_emit_anchors, "id long, anchor long, n long"), "anchors")
+    # A document is an id and a text: null ids share one id. Documents whose keys collide share their hits, which are only candidates.
+    rows = rows.withColumn("key", F.xxhash64("id", "print"))
+    found = materialise(rows.select("id", "key", "text").mapInArrow(_emit_anchors, "id long, key long, anchor long, n long"), "anchors")
 
     index = AnchorIndex(spark)
     bounds = found.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)]).alias("cut")).first()["cut"] if batches > 1 else []
@@ -269,8 +279,9 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # Each anchor once, with its largest count: that of the last batch that has it.
     repeated = materialise(repeated.groupBy("anchor").agg(F.ceil(F.max("n") / group).cast("int").alias("groups")), "repeated")
 
-    hits = found.select("id", "anchor").join(repeated, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "groups")).alias("hits"))
-    packed = rows.join(hits, "id").select("id", "print", "text", "hits").mapInArrow(_emit_windows, _PACKED)
+    # Sets, so that repeated rows of one document do not multiply.
+    hits = found.select("key", "anchor").join(repeated, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "groups")).alias("hits"))
+    packed = rows.join(hits, "key").select("id", "print", "key", "text", "hits").mapInArrow(_emit_windows, _PACKED)
     first = materialise(_first_round(packed).where("mask <> 0 or (keep and groups > 1)"), "judged")
     second = _second_round(first.where("keep and groups > 1"))
     return first.select("id", "print", "start", "mask").where("mask <> 0").unionByName(second)
@@ -313,7 +324,7 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     named n_words, n_removed or kept are left out.
     """
     marks = repeated_windows(docs, doc_id, text, batches, group)
-    spans = marks.groupBy("id", "print").agg(F.collect_list(F.struct("start", "mask")).alias("_spans"))
+    spans = marks.groupBy("id", "print").agg(F.collect_set(F.struct("start", "mask")).alias("_spans"))
     name, mark = _named(docs, doc_id, text)
     own = docs.drop("n_words", "n_removed", "kept")
     joined = own.withColumn("_id", name).withColumn("_print", mark)
