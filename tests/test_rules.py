@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import text as t
 from tidegauge.functions.rotation import fnv1a, rotation_bucket
 from tidegauge.operators import current, declarations, facts, planning, profile, registry, rollup, verdicts
+from tidegauge.plans import quad_queries
 from tidegauge.schemas import RDF_TYPE, SD, VOID
 
 D = lambda d, h=0: dt.datetime(2024, 1, d, h)
@@ -224,6 +226,36 @@ def test_merge_names_fold(spark):
     assert (got.title, got.domain, got.datasets) == ("T", "d1", 9)
 
 
+def _fold_names(rows):
+    """G5 by its rule: one entry after the other, in order of position."""
+    (_, title, domain, datasets), *rest = rows
+    for _, t2, d2, n2 in rest:
+        if (title is None) != (t2 is None):
+            datasets = n2 if title is None else datasets
+        else:
+            datasets = n2 if datasets is None else datasets
+        title, domain = t2 if title is None else title, d2 if domain is None else domain
+    return title, domain, datasets
+
+
+def test_merge_names_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(f"u{k % 150}", k, *(rng.choice((None, None, f"{c}{k}")) for c in "TD"), rng.choice((None, None, k))) for k in range(750)]
+    names = registry.merge_names(spark.createDataFrame(rows, "url string, position int, title string, domain string, datasets long"))
+    want = {u: _fold_names([r[1:] for r in rows if r[0] == u]) for u in {r[0] for r in rows}}
+    assert {r.url: (r.title, r.domain, r.datasets) for r in names.collect()} == want
+    assert "collect_list" not in names._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_names_reads_every_event(spark, tmp_path):
+    spark.range(390, 460).selectExpr("id AS event_id", "id % 35 AS user_id").union(spark.range(1000, 1006).selectExpr("id", "id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.url: (r.title, r.domain, r.datasets) for r in quad_queries.q_merge_names(spark, str(tmp_path)).collect()}
+    ids = {}
+    for e, u in [(e, e % 35) for e in range(390, 460)] + [(e, e) for e in range(1000, 1006)]:
+        ids.setdefault(f"urn:user:{u}", []).append((e, None if e % 5 else f"T{e}", f"D{e}" if e % 4 == 1 else None, e if e % 3 == 2 else None))
+    assert got == {u: _fold_names(sorted(rows, key=lambda r: r[0])) for u, rows in ids.items()} and len(got) == 41
+
+
 def test_overlap_and_sampling(spark):
     q = spark.createDataFrame([(f"s{k}", RDF_TYPE, "C", "iri", None, "g") for k in range(300)], "s string, p string, o string, o_kind string, o_datatype string, g string")
     plan = profile.ladder(profile.typed_subjects(q), (10, 20, 30))

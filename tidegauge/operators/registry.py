@@ -80,19 +80,16 @@ def merge_names(entries: DataFrame) -> DataFrame:
     The domain is the first known one. Title and dataset count travel together
     when only one side has a title; else each keeps its first known value.
     """
-    rows = F.array_sort(F.collect_list(F.struct("position", "title", "domain", "datasets")))
-    grouped = entries.groupBy("url").agg(rows.alias("r"))
-
-    def fold(a: Column, b: Column) -> Column:
-        lone = a["title"].isNull() != b["title"].isNull()
-        named = lambda f: F.when(a["title"].isNull(), b[f]).otherwise(a[f])
-        return F.struct(
-            a["position"].alias("position"), F.coalesce(a["title"], b["title"]).alias("title"), F.coalesce(a["domain"], b["domain"]).alias("domain"),
-            F.when(lone, named("datasets")).otherwise(F.coalesce(a["datasets"], b["datasets"])).alias("datasets"),
-        )
-
-    folded = F.aggregate(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), F.col("r")[0], fold)
-    return grouped.select("url", folded.alias("n")).select("url", "n.title", "n.domain", "n.datasets")
+    row = F.struct("position", "title", "domain", "datasets")
+
+    def first(known: Column) -> Column:
+        return F.min(F.when(known, row))
+
+    # With a title anywhere, counts of entries without one do not survive the fold.
+    titled, counted = F.col("title").isNotNull(), F.col("datasets").isNotNull()
+    firsts = entries.groupBy("url").agg(first(titled).alias("t"), first(F.col("domain").isNotNull()).alias("d"), first(counted).alias("n"), first(titled & counted).alias("tn"))
+    datasets = F.when(F.col("t").isNotNull(), F.col("tn.datasets")).otherwise(F.col("n.datasets"))
+    return firsts.select("url", "t.title", "d.domain", datasets.alias("datasets"))
 
 
 def resolve_aliases(readings: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ def q_merge_names(spark, sf):
     rows = e.select(
         F.concat(F.lit("urn:user:"), "user_id").alias("url"), F.col("event_id").alias("position"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("T"), "event_id")).alias("title"),
         F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("D"), "event_id")).alias("domain"), F.when(F.col("event_id") % 3 == 2, F.col("event_id")).alias("datasets"),
-    ).where("position < 400")
+    )
     return registry.merge_names(rows)
 
 
