@@ -226,6 +226,20 @@ def test_merge_names_fold(spark):
     assert (got.title, got.domain, got.datasets) == ("T", "d1", 9)
 
 
+def test_no_query_is_dropped(spark):
+    asked = spark.range(10_050).select(F.format_string("q%05d", "id").alias("query"))
+    wanted = asked.where("query >= 'q10030' or query < 'q00030'")
+    terms = spark.createDataFrame([("http://v/#q10042x", "e"), ("http://v/#q00007x", "e")], "term string, endpoint string")
+    got = profile.autocomplete(terms, asked).collect()
+    assert sorted((r.query, r.place) for r in got) == [("q00007", 1), ("q10042", 1)]
+    names = terms.select(F.col("term").alias("iri"), t.local_name(F.col("term")).alias("local"), F.lit("v").alias("prefix"))
+    hits = t.search(names, asked).where("band = 'match'").collect()
+    assert sorted((r.query, r.place) for r in hits) == [("q00007", 1), ("q10042", 1)]
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(t.search(names, wanted, block=9)) == order(t.search(names, wanted))
+    assert order(profile.autocomplete(terms, wanted, block=9)) == order(profile.autocomplete(terms, wanted))
+
+
 def _fold_names(rows):
     """G5 by its rule: one entry after the other, in order of position."""
     (_, title, domain, datasets), *rest = rows
