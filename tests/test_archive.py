@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import current, facts, gates
+from tidegauge.plans import archive_queries
 from tidegauge.schemas import DQV, PROV, RDF_TYPE
 from tidegauge.sources import quads, store
 
@@ -119,3 +120,13 @@ def test_stream_ingest(spark, archive, tmp_path):
 
     jobs.ingest(jobs.archive_stream(spark, str(archive)), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert store.read_runs(spark, str(tmp_path / "out")).select("g").distinct().count() == 2
+
+
+def test_store_query_checks_every_run(spark, sf, monkeypatch):
+    whole = archive_queries.archive(spark, sf).select("g").distinct()
+    lost = whole.where("g like 'urn:run:2024-01-2%'").agg(F.min("g")).first()[0]
+    monkeypatch.setattr(store, "write_runs", lambda rows, path, f=store.write_runs: f(rows.where(F.col("g") != lost), path))
+    paths = []
+    monkeypatch.setattr(store, "read_runs", lambda spark, path, f=store.read_runs: paths.append(path) or f(spark, path))
+    assert {r.missing for r in archive_queries.q_store(spark, sf).collect()} == {1}
+    assert spark.read.parquet(paths[0]).select("g").distinct().count() == whole.count() - 1
