@@ -1,14 +1,19 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is read once as a flat list of text blocks. Each block has its words and
-link density, those of its neighbours, and flags for where it stands. A small
-decision tree, grown on the labelled table below, keeps or drops each block.
+A page is read once, from front to end, as a flat list of text blocks. Each block
+has its word count and link density, those of its neighbours, whether it is a
+heading, and what the elements around it say. A small decision tree, grown on the
+labelled pages of ``op8_pages``, keeps or drops each block.
+
+Time is linear in the length of a page: the scanner never goes back, and a closing
+mark that is not found once is not searched for again.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,89 +21,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.llm.op8_pages import PAGES
 from tidegauge.session import ship, table
 
-# Element names and name hints.
-RAW = frozenset("script style noscript template svg math iframe object textarea select button title head option".split())
+# Element names, and name hints.
+#: Held text is never shown, or is no text.
+RAW = frozenset("script style iframe noembed noframes textarea title xmp".split())
+SKIP = frozenset("noscript template svg math object select button datalist audio video canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose end is tracked; others only separate blocks.
-CONTAINER = frozenset("article aside body center dialog div details dl fieldset figure footer form header main menu nav ol section table ul".split())
+CONTAINER = frozenset("article aside blockquote center dialog div details dl fieldset figure footer form header main menu nav ol section table ul".split())
 CHROME = frozenset("nav footer aside form menu dialog header".split())
-BODY = frozenset("article main".split())
+CONTENT = frozenset("article main".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer gdpr header "
     "login menu modal nav navbar navigation newsletter notice notification overlay pagination pager popup promo promoted promotion related reply replies respond "
     "share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
+#: What a class says of the page as a whole, not of what it holds.
+STATES = ("has-", "no-", "with-", "is-", "without-")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "body", "chrome", "hint", "heading")
-
-#: The labelled table: the features above (links are link densities, the last four
-#: flags), then 1 for main text. body: inside article or main; chrome: inside a
-#: menu, footer, aside, form or page header; hint: inside an element named as one.
-LABELLED = np.array(
-    [
-        # headings and paragraphs of an article, long and short, first and last
-        (12, 0, 14, 0, 60, 0, 1, 0, 0, 1, 1), (5, 0, 1, 1, 90, 0, 1, 0, 0, 1, 1), (2, 0, 40, 0, 55, 0, 1, 0, 0, 1, 1),
-        (80, 0, 12, 0, 70, 0, 1, 0, 0, 0, 1), (45, 0.05, 70, 0, 3, 0, 1, 0, 0, 0, 1), (1, 0, 66, 0, 30, 0, 1, 0, 0, 0, 1),
-        (2, 0, 30, 0, 1, 0, 1, 0, 0, 0, 1), (6, 0, 50, 0, 14, 0, 1, 0, 0, 0, 1), (20, 0.2, 40, 0, 12, 0.9, 1, 0, 0, 0, 1),
-        (3, 1, 40, 0.1, 50, 0, 1, 0, 0, 0, 1), (1, 1, 25, 0, 60, 0.1, 1, 0, 0, 0, 1), (300, 0.01, 9, 0, 12, 0, 1, 0, 0, 0, 1),
-        (9, 0, 3, 0, 8, 0, 1, 0, 0, 0, 1), (15, 0.3, 0, 0, 0, 0, 1, 0, 0, 0, 1), (1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 1),
-        # parts of an article that are not its text
-        (8, 0.9, 60, 0, 5, 1, 1, 1, 0, 0, 0), (3, 1, 3, 1, 3, 1, 1, 1, 0, 0, 0), (25, 0, 80, 0, 30, 0, 1, 0, 1, 0, 0),
-        (60, 0, 50, 0, 40, 0, 1, 0, 1, 0, 0), (4, 0, 50, 0, 40, 0, 1, 0, 1, 1, 0), (1, 1, 70, 0, 1, 1, 1, 0, 1, 0, 0),
-        (30, 0, 70, 0, 6, 0, 1, 1, 0, 0, 0), (2, 0, 55, 0, 12, 0, 1, 1, 0, 1, 0), (12, 0.1, 10, 0, 9, 0, 1, 1, 1, 0, 0),
-        # menus, page headers, footers, sidebars, forms
-        (1, 1, 1, 1, 1, 1, 0, 1, 0, 0, 0), (2, 1, 0, 0, 1, 1, 0, 1, 0, 0, 0), (9, 0, 40, 0, 0, 0, 0, 1, 0, 0, 0),
-        (14, 0.1, 80, 0, 0, 0, 0, 1, 0, 0, 0), (40, 0, 70, 0, 0, 0, 0, 1, 0, 0, 0), (5, 0, 0, 0, 1, 1, 0, 1, 0, 1, 0),
-        (60, 0.1, 20, 0, 12, 0, 0, 1, 0, 0, 0), (8, 0, 8, 1, 30, 0, 0, 1, 1, 0, 0), (3, 0, 12, 0, 20, 0.5, 0, 1, 1, 1, 0),
-        # adverts, notices and comments outside
-        (9, 0, 1, 1, 12, 0, 0, 0, 1, 0, 0), (20, 0, 1, 1, 9, 0, 0, 0, 1, 0, 0), (70, 0, 60, 0, 50, 0, 0, 0, 1, 0, 0),
-        (35, 0.1, 14, 0, 60, 0, 0, 0, 1, 0, 0), (4, 0, 30, 0, 30, 0, 0, 0, 1, 1, 0), (2, 1, 9, 0, 2, 1, 0, 0, 1, 0, 0),
-        # pages without an article element: text runs
-        (60, 0, 8, 0, 55, 0, 0, 0, 0, 0, 1), (90, 0.05, 60, 0, 40, 0.1, 0, 0, 0, 0, 1), (35, 0, 1, 1, 50, 0, 0, 0, 0, 0, 1),
-        (22, 0.1, 40, 0, 33, 0, 0, 0, 0, 0, 1), (8, 0, 1, 1, 70, 0, 0, 0, 0, 1, 1), (4, 0, 45, 0, 50, 0, 0, 0, 0, 1, 1),
-        (6, 0, 60, 0, 45, 0, 0, 0, 0, 0, 1), (5, 0, 40, 0, 60, 0.1, 0, 0, 0, 0, 1), (120, 0, 0, 0, 3, 0, 0, 0, 0, 0, 1),
-        (40, 0, 20, 0, 2, 0, 0, 0, 0, 0, 1), (2, 0, 40, 0, 30, 0, 0, 0, 0, 0, 1), (30, 0, 2, 0, 0, 0, 0, 0, 0, 0, 1),
-        (25, 0, 0, 0, 10, 0, 0, 0, 0, 0, 1), (16, 0, 25, 0, 25, 0, 0, 0, 0, 0, 1), (200, 0.1, 5, 1, 6, 1, 0, 0, 0, 0, 1),
-        # and what surrounds them
-        (1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), (3, 1, 2, 1, 40, 0, 0, 0, 0, 0, 0), (12, 0.9, 50, 0, 5, 1, 0, 0, 0, 0, 0),
-        (4, 0, 2, 1, 3, 1, 0, 0, 0, 0, 0), (6, 0.4, 3, 1, 2, 1, 0, 0, 0, 0, 0), (30, 0.8, 60, 0, 12, 0.9, 0, 0, 0, 0, 0),
-        (3, 0, 2, 1, 2, 1, 0, 0, 0, 1, 0), (7, 0, 0, 0, 1, 1, 0, 0, 0, 0, 0), (5, 0.6, 30, 0, 0, 0, 0, 0, 0, 0, 0),
-    ],
-    dtype=np.float64,
-)
-
-# Sizes and neighbours vary freely where the place alone decides: the same label
-# for text of any length inside an article, a chrome element or a hinted one.
-_PLACES = [((1, 0, 0), 1), ((0, 1, 0), 0), ((1, 1, 0), 0), ((0, 0, 1), 0), ((1, 0, 1), 0), ((1, 1, 1), 0), ((0, 1, 1), 0)]
-LABELLED = np.vstack(
-    [LABELLED]
-    + [
-        np.array([[words, links, 150 - after, 0.1, after, links, *place, heading, label]], dtype=np.float64)
-        for place, label in _PLACES
-        for words, links in ((1, 0), (2, 1), (12, 0), (40, 0.1), (150, 0))
-        for after in (0, 10, 50, 150)
-        for heading in (0, 1)
-    ]
-)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "content", "chrome")
+#: Words of a block that counts as running text.
+RUNNING = 15
 
 
 class Tree:
     """A binary decision tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> None:
         self.share = float(y.mean()) if len(y) else 0.0
         self.feature: int | None = None
         if depth and len(y) > 1 and 0 < self.share < 1:
-            best = min(((self._impurity(x[:, f], y, c), f, c) for f in range(x.shape[1]) for c in self._cuts(x[:, f])), default=None)
-            if best:
+            found = ((self._impurity(x[:, f], y, c, least), f, c) for f in range(x.shape[1]) for c in self._cuts(x[:, f]))
+            best = min(found, default=(np.inf, 0, 0.0))
+            if best[0] < np.inf:
                 _, self.feature, self.cut = best
                 low = x[:, self.feature] <= self.cut
-                self.low, self.high = Tree(x[low], y[low], depth - 1), Tree(x[~low], y[~low], depth - 1)
+                self.low, self.high = Tree(x[low], y[low], depth - 1, least), Tree(x[~low], y[~low], depth - 1, least)
 
     @staticmethod
     def _cuts(values: np.ndarray) -> np.ndarray:
@@ -106,9 +71,9 @@ class Tree:
         return (known[1:] + known[:-1]) / 2
 
     @staticmethod
-    def _impurity(values: np.ndarray, y: np.ndarray, cut: float) -> float:
+    def _impurity(values: np.ndarray, y: np.ndarray, cut: float, least: int) -> float:
         sides = y[values <= cut], y[values > cut]
-        return float(sum(len(s) * s.mean() * (1 - s.mean()) for s in sides))
+        return float(sum(len(s) * s.mean() * (1 - s.mean()) for s in sides)) if min(map(len, sides)) >= least else np.inf
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if self.feature is None:
@@ -118,76 +83,220 @@ class Tree:
         out[low], out[~low] = self.low.predict(x[low]), self.high.predict(x[~low])
         return out
 
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\shidden(?=[\s/=]|\Z)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+    def asked(self) -> set[str]:
+        """The features that the tree looks at."""
+        return set() if self.feature is None else {FEATURES[self.feature]} | self.low.asked() | self.high.asked()
+
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_HIDDEN = re.compile(r"\shidden(?=[\s/=]|\Z)|display\s*:\s*none", re.I)
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW | SKIP}
+
+
+def _hinted(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element's names say (main text, something else)."""
+    content = chrome = False
+    for kind, value in _NAMES.findall(attributes):
+        for name in value.strip("\"'").lower().split():
+            if kind.lower() == "role":
+                content, chrome = content or name in CONTENT, chrome or name in ROLES
+            elif not name.startswith(STATES):
+                words = set(re.split(r"[^a-z0-9]+", name)) & HINTS
+                chrome = chrome or bool(words - {"header"} if inside else words)
+    return content, chrome
+
+
+class _Elements:
+    """The elements of a page that say something of what they hold, in the order they open."""
+
+    def __init__(self) -> None:
+        self.parent, self.content, self.chrome, self.named, self.within = [-1], [False], [False], [False], [False]
+        self.words, self.running = [0], [0]
+
+    def open(self, parent: int, content: bool, chrome: bool, named: bool, words: int, running: int) -> int:
+        self.parent.append(parent)
+        self.content.append(content)
+        self.chrome.append(chrome)
+        self.named.append(named)
+        self.within.append(content or self.within[parent])
+        self.words.append(-words)
+        self.running.append(-running)
+        return len(self.parent) - 1
+
+    def close(self, at: int, words: int, running: int) -> None:
+        self.words[at] += words
+        self.running[at] += running
+
+    def settle(self, words: int) -> None:
+        """Frees wrappers of the text from their names, then gives children what their parents say."""
+        n = len(self.parent)
+        inside = [False] * n
+        for e in range(1, n):
+            inside[e] = self.chrome[e] or inside[self.parent[e]]
+        outside = words - sum(self.words[e] for e in range(1, n) if self.chrome[e] and not inside[self.parent[e]])
+        articles = [e for e in range(1, n) if self.content[e]]
+        anchor = max((e for e in articles if not inside[e]), key=lambda e: (self.words[e], -e), default=0)
+        if not anchor:  # an article in a form or the like counts if it is most of the page
+            anchor = max((e for e in articles if self.words[e] > outside), key=lambda e: (self.words[e], -e), default=0)
+        around = self.parent[anchor] if anchor else 0
+        while around > 0:
+            self.chrome[around] = False
+            around = self.parent[around]
+        if not anchor and outside < RUNNING:
+            for e in range(1, n):
+                if self.named[e] and self.running[e] >= 3 and 2 * self.words[e] > words:
+                    self.chrome[e] = False
+        for e in range(1, n):
+            self.content[e] |= self.content[self.parent[e]]
+            self.chrome[e] |= self.chrome[self.parent[e]]
+
+
+class _Reader:
+    """One pass over a page: blocks as (text, words, linked words, heading, element, named otherwise)."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.elements, self.found = page, _Elements(), []
+        self.stack: list[tuple[str, int, int]] = []  # name, element or 0, whether it hides what it holds
+        self.open_names: Counter = Counter()
+        self.pieces: list[str] = []
+        self.linked = self.words = self.running = self.hiding = self.top = 0
+        self.link = self.link_text = self.heading = self.hinted = False
+        self.ends: dict[str, int] = {}
+
+    def add(self, raw: str) -> None:
+        if not self.hiding:
+            text = html.unescape(raw) if "&" in raw else raw
+            self.pieces.append(text)
+            if self.link:
+                n = len(text.split())
+                self.linked += n
+                self.link_text |= n > 0
+
+    def close_block(self) -> None:
+        words = "".join(self.pieces).split()
+        if words:
+            n, linked = len(words), min(self.linked, len(words))
+            self.found.append((" ".join(words), n, linked, self.heading, self.top, self.hinted))
+            self.words += n - linked
+            self.running += n - linked >= RUNNING
+        self.pieces.clear()
+        self.linked = 0
+        if self.link_text:  # an anchor around whole blocks goes on, one that lacks its end does not
+            self.link = self.link_text = False
+
+    def pop(self) -> str:
+        name, element, hides = self.stack.pop()
+        self.open_names[name] -= 1
+        self.hiding -= hides
+        if element:
+            self.elements.close(element, self.words, self.running)
+            self.top = self.elements.parent[element]
+        return name
+
+    def push(self, name: str, element: int, hides: int) -> None:
+        self.stack.append((name, element, hides))
+        self.open_names[name] += 1
+        self.hiding += hides
+
+    def pop_to(self, name: str) -> None:
+        if self.open_names[name]:
+            while self.pop() != name:
+                pass
+
+    def end_of(self, name: str, at: int) -> int:
+        """Where the next closing mark of a name begins, or -1; no part of a page is searched twice."""
+        if 0 <= (known := self.ends.get(name, 0)) < at or name not in self.ends:
+            mark = _ENDS[name].search(self.page, at)
+            self.ends[name] = known = mark.start() if mark else -1
+        return known
+
+    def read(self) -> None:
+        page, at = self.page, 0
+        while at < len(page):
+            lt = page.find("<", at)
+            if lt < 0:
+                self.add(page[at:])
+                break
+            if lt > at:
+                self.add(page[at:lt])
+            first, second = page[lt + 1 : lt + 2], page[lt + 2 : lt + 3]
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 2)
+                at = end + 3
+            elif first in ("!", "?") or (first == "/" and not (second.isascii() and second.isalpha())):
+                end = page.find(">", lt + 1)
+                at = end + 1
+            elif first == "/" or (first.isascii() and first.isalpha()):
+                token = _TAG.match(page, lt)
+                end = token.end() if token else -1
+                at = self.tag(token[2].lower(), token[1] == "/", token[3], end) if token else 0
+            else:
+                self.add("<")
+                at = end = lt + 1
+            if end < 0 or at < 0:  # a comment, tag or script that the page does not end
+                break
+        self.close_block()
+        while self.stack:
+            self.pop()
+
+    def tag(self, name: str, ending: bool, attributes: str, at: int) -> int:
+        """Takes a tag in; gives where to read on, or -1 for nowhere."""
+        closed = attributes.endswith("/")
+        if name in RAW:
+            end = -1 if ending else self.end_of(name, at)
+            return end if end >= 0 else -1 if name in ("script", "style") and not ending else at
+        if name == "a":
+            self.link, self.link_text = not ending and "href" in attributes.lower(), False
+        elif name == "br":
+            self.add(" ")
+        elif name in SKIP:
+            if ending:
+                self.pop_to(name)
+            elif not closed and self.end_of(name, at) >= 0:
+                self.push(name, 0, 1)
+        elif name in BLOCK:
+            while self.stack and self.stack[-1][0] in ("button", "select") and not ending:
+                self.pop()  # they hold no blocks: their end is missing
+            self.close_block()
+            self.heading = not ending and name in HEADING
+            self.hinted = False
+            if ending:
+                if name in CONTAINER:
+                    self.pop_to(name)
+            elif name not in ("body", "html"):
+                self.block(name, attributes, closed)
+        return at
+
+    def block(self, name: str, attributes: str, closed: bool) -> None:
+        within = self.elements.within[self.top]
+        content, chrome = _hinted(attributes, within) if attributes else (False, False)
+        hidden = bool(attributes) and bool(_HIDDEN.search(attributes))
+        if name not in CONTAINER:
+            self.hinted = chrome or hidden
+        elif not closed:
+            content, named = content or name in CONTENT, chrome or name == "form"
+            chrome |= name in CHROME and not (name == "header" and within)
+            element = 0
+            if content or chrome:
+                element = self.top = self.elements.open(self.top, content, chrome, named, self.words, self.running)
+            self.push(name, element, int(hidden))
 
 
-def _flags(name: str, attributes: str, inside_body: bool) -> tuple[bool, bool, bool]:
-    """(body, chrome, hint) that an element gives to what it holds."""
-    words = {w for m in _NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", m.lower())}
-    chrome = name in CHROME and not (name == "header" and inside_body)
-    return name in BODY or "main" in words, chrome, bool(words & HINTS) or bool(_HIDDEN.search(attributes))
+def blocks(page: str) -> list[tuple[str, np.ndarray]]:
+    """The text blocks of a page in order: (text, [words, link density, heading, content, chrome])."""
+    reader = _Reader(page)
+    reader.read()
+    e = reader.elements
+    e.settle(reader.words)
+    return [(text, np.array([n, linked / n, head, e.content[k], e.chrome[k] or hinted], np.float64)) for text, n, linked, head, k, hinted in reader.found]
 
 
-def blocks(page: str) -> list[tuple[str, np.ndarray]]:
-    """The text blocks of a page in order: (text, [words, link density, body, chrome, hint, heading])."""
-    out: list[tuple[str, np.ndarray]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
-    pieces: list[str] = []
-    linked, link, heading, at = 0, False, False, 0
-
-    def close() -> None:
-        nonlocal linked
-        words = "".join(pieces).split()
-        if words:
-            body, chrome, hint = (any(s[k] for s in stack) for k in (1, 2, 3))
-            out.append((" ".join(words), np.array([len(words), min(1.0, linked / len(words)), body, chrome, hint, heading], np.float64)))
-        pieces.clear()
-        linked = 0
-
-    def add(raw: str) -> None:
-        nonlocal linked
-        text = html.unescape(raw) if "&" in raw else raw
-        pieces.append(text)
-        if link:
-            linked += len(text.split())
-
-    while at < len(page):
-        token = _TOKEN.search(page, at)
-        if not token:
-            add(page[at:])
-            break
-        if token.start() > at:
-            add(page[at : token.start()])
-        at, name = token.end(), (token[2] or "").lower()
-        ending = token[1] == "/"
-        if name in RAW and not ending:
-            if not token[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>|<body\b" if name == "head" else rf"</{name}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.start() if end[0].lower().startswith("<body") else end.end()
-                elif name in ("script", "style", "textarea", "title"):
-                    at = len(page)
-        elif name == "a":
-            link = not ending
-        elif name == "br":
-            pieces.append(" ")
-        elif name in BLOCK:
-            close()
-            link = False
-            heading = not ending and name in ("h1", "h2", "h3", "h4", "h5", "h6")
-            if name in CONTAINER and not token[3].endswith("/"):
-                if not ending:
-                    stack.append((name, *_flags(name, token[3], any(s[1] for s in stack))))
-                else:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
-                            break
-    close()
-    return out
+def with_neighbours(own: np.ndarray) -> np.ndarray:
+    """The rows of FEATURES of a page's blocks; what stands before the first and after the last is 0."""
+    none = np.zeros((1, 2))
+    before, after = np.vstack([none, own[:-1, :2]]), np.vstack([own[1:, :2], none])
+    return np.hstack([own[:, :2], before, after, own[:, 2:]])
 
 
 def main_text(page: str | None, tree: Tree) -> str:
@@ -195,22 +304,35 @@ def main_text(page: str | None, tree: Tree) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    own = np.stack([f for _, f in found])
-    none = np.zeros((1, 2))
-    before, after = np.vstack([none, own[:-1, :2]]), np.vstack([own[1:, :2], none])
-    keep = tree.predict(np.hstack([own[:, :2], before, after, own[:, 2:]]))
+    keep = tree.predict(with_neighbours(np.stack([f for _, f in found])))
     return "\n".join(text for (text, _), ok in zip(found, keep.tolist(), strict=True) if ok)
 
 
+def _filled(page: str) -> str:
+    """A labelled page with its counts written out as words."""
+    return re.sub(r"\{(a?)(\d+)\}", lambda m: ("<a href=/>{}</a>" if m[1] else "{}").format(" ".join(["word"] * int(m[2]))), page)
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: features of every block of PAGES, and whether it is main text."""
+    x, y = [], []
+    for page in PAGES:
+        found = blocks(_filled(page))
+        x.append(with_neighbours(np.stack([f for _, f in found])))
+        y += [text.startswith("\u00b6") for text, _ in found]
+    return np.vstack(x), np.array(y, np.float64)
+
+
 def grown() -> Tree:
-    return Tree(LABELLED[:, :-1], LABELLED[:, -1])
+    return Tree(*labelled())
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """Rows (page_id, url, text, n_chars), one per input row.
 
-    Null and empty pages, and pages without main text, give an empty text.
-    Unclosed elements, broken tags and pages cut short are read as far as they go.
+    Null and empty pages, and pages without main text, give an empty text. Pages
+    cut short are read up to an unfinished tag, comment or script; other elements
+    without an end hide nothing, and time stays linear in the length of a page.
     Repeated rows come back repeated, an empty table gives no rows, null ids and
     URLs stay null. Other columns are left out.
     """
