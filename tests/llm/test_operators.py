@@ -74,7 +74,7 @@ def test_sharding(docs):
         assert slots == list(range(len(slots)))
 
 
-def test_decontamination(docs, bench):
+def test_decontamination(spark, docs, bench):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     windows = {}
     for item, text in ((1, PASSAGE), (2, "One, TWO!"), (10, PASSAGE)):
@@ -90,13 +90,18 @@ def test_decontamination(docs, bench):
                     hit |= set(range(k, k + len(win)))
                     items |= names
         want.append((str(i), len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    for limit in (op2.BROADCAST_WINDOWS, 0):
-        op2_limit, op2.find_windows.__defaults__ = op2.find_windows.__defaults__, (13, limit)
+    for limit in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         try:
-            got = op2.decontaminate(docs, bench).collect()
+            out = op2.decontaminate(docs, bench)
+            got = out.collect()
+            plan = op2.find_windows(docs.select(op2._key("doc_id", "text").alias("key"), "text"), bench)._jdf.queryExecution().executedPlan().toString()
+            counted = op2.corpus_counts(docs.select(op2.words(F.col("text")).alias("w")), op2.benchmark_windows(bench))._jdf.queryExecution().executedPlan().toString()
         finally:
-            op2.find_windows.__defaults__ = op2_limit
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
+        assert "Python" not in plan and "Generate" not in plan  # texts come back whole, once for each document
+        assert re.search(r"Exchange hashpartitioning\(token[^\n]*\n[^\n]*HashAggregate\(keys=\[token[^\n]*partial_count", counted)
     assert op2.decontaminate(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
 
 

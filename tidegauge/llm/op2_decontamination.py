@@ -7,8 +7,10 @@ the occurrences of those tokens are joined. Each such occurrence fixes where the
 window would start; the length and positional bounds drop starts that do not
 fit, and comparing the window-sized slice verifies containment exactly.
 
-Rarity is the number of occurrences in the whole corpus. Words are exploded and
-joined inside one generated stage, so a text is never copied per word.
+Rarity is the number of occurrences in the whole corpus. The joined rows are
+(row key, place, token): no text travels with its words. The texts of documents
+with candidates come back once each, for the slices. The plan is the same for
+every size of benchmark; which joins broadcast is Spark's own choice by size.
 """
 
 from __future__ import annotations
@@ -17,16 +19,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidegauge.llm.columns import column, fresh
 from tidegauge.session import materialise, table
 
 WINDOW = 13
 #: A text is contaminated if hit words are at least 1 in SHARE.
 SHARE = 20
-#: Benchmark windows up to this number are broadcast (some 300 bytes each);
-#: more go through a shuffled join on the token.
-BROADCAST_WINDOWS = 20_000
 
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,39 +46,41 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
     return cut.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("width", F.size("win"))
 
 
-def _with_rarest(windows: DataFrame, split: DataFrame, small: bool) -> DataFrame:
-    """Each window with its prefix token (its rarest word) and that token's offset."""
-    tokens = windows.select("win_id", F.posexplode("win").alias("offset", "token"))
-    vocabulary = tokens.select("token").distinct()
-    vocabulary = F.broadcast(vocabulary) if small else vocabulary
-    corpus = split.select(F.explode("w").alias("token")).join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
-    # A word that the corpus lacks rules its window out: the inner join drops the
-    # token, and the count of tokens left tells.
-    counted = tokens.join(corpus, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    best = counted.groupBy("win_id").agg(F.min(F.struct("n", "token", "offset")).alias("best"))
-    return windows.join(best.where("best.n > 0").select("win_id", F.col("best.token").alias("token"), F.col("best.offset").alias("offset")), "win_id")
+def corpus_counts(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows (token, n): how often each word of the windows occurs in all texts; words that never do are left out.
 
+    Counted before the join, so a frequent word is one row per task in the shuffle.
+    """
+    counts = texts.select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return counts.join(windows.select(F.explode("win").alias("token")).distinct(), "token", "left_semi")
+
+
+def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (token, offset, width, win, items): each window by its rarest word; those with a word the corpus lacks go."""
+    tokens = windows.select("win", "items", "width", F.posexplode("win").alias("offset", "token"))
+    counted = tokens.join(counts, "token").groupBy("win", "items", "width")
+    best = counted.agg(F.min(F.struct("n", "token", "offset")).alias("best"), F.count("*").alias("found"))
+    return best.where("found = width").select("best.token", "best.offset", "width", "win", "items")
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (key, at, width, items): every occurrence of a benchmark window.
 
-    ``docs`` has columns key and text; at is the 0-based word position.
+    ``docs`` has columns key and text; equal keys mean equal texts. at is the
+    0-based word position.
     """
-    windows = materialise(benchmark_windows(benchmark, window=window).withColumn("win_id", F.xxhash64("win", F.lit(1))), "windows")
-    small = windows.count() <= broadcast_windows
+    windows = materialise(benchmark_windows(benchmark, window=window), "windows")
     split = docs.select("key", words(F.col("text")).alias("w"))
-    probes = materialise(_with_rarest(windows, split, small).select("token", "offset", "width", "win", "items"), "probes")
-    probes = F.broadcast(probes) if small else probes
-    # The token stands at pos; bounds first, then the exact slice.
-    here = split.select("key", "w", F.posexplode("w").alias("pos", "token"))
+    counts = materialise(corpus_counts(split, windows), "counts")
+    probes = materialise(prefixes(windows, counts), "probes")
+    here = split.select("key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
     start = F.col("pos") - F.col("offset")
-    verified = (
-        (here["token"] == probes["token"])
-        & (start >= 0)
-        & (start + F.col("width") <= F.size("w"))
-        & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("width")) == F.col("win"))
-    )
-    return here.join(probes, verified).select("key", start.alias("at"), "width", "items")
+    inside = (start >= 0) & (start + F.col("width") <= F.col("n"))
+    found = here.join(probes, "token").where(inside).select("key", start.alias("at"), "width", "win", "items")
+    candidates = materialise(found.distinct(), "candidates")
+    texts = docs.join(candidates.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    slices = texts.select("key", words(F.col("text")).alias("w")).join(candidates, "key")
+    return slices.where(F.slice("w", F.col("at") + 1, F.col("width")) == F.col("win")).select("key", "at", "width", "items")
 
 
 def _covered(spans: Column) -> Column:
@@ -93,30 +94,26 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, add, lambda s: s["n"])
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Adds the columns that name a row: its id, whether it has one, and a hash of its text."""
-    return docs.withColumns(
-        {
-            "_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)),
-            "_no_id": F.col(doc_id).isNull(),
-            "_print": F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(7)),
-        }
-    )
+def _key(doc_id: str, text: str) -> Column:
+    """What names a row: its id, whether it has none, and a hash of its text; never null."""
+    own = column(doc_id).cast("long")
+    mark = F.xxhash64(F.coalesce(column(text).cast("string"), F.lit("")), F.lit(7))
+    return F.struct(F.coalesce(own, F.lit(0).cast("long")).alias("id"), own.isNull().alias("none"), mark.alias("print"))
 
 
-_KEY = ["_id", "_no_id", "_print"]
+def _n_words(text: Column) -> Column:
+    """The number of words, without making them: letters of either case count as one kind."""
+    return F.coalesce(F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)).cast("long")
 
 
 def _judge(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, window: int, share: int) -> DataFrame:
-    rows = _keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id", "text")
-    found = find_windows(rows.select(F.struct(*_KEY).alias("key"), "text"), benchmark, window)
-    hits = (
-        found.groupBy("key")
-        .agg(F.array_sort(F.collect_set(F.struct("at", "width"))).alias("spans"), F.collect_set("items").alias("lists"))
-        .select("key.*", _covered(F.col("spans")).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items"))
-    )
-    sizes = rows.select(*_KEY, F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    judged = sizes.join(hits, _KEY, "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+    """Rows (key, n_words, n_hit, items, contaminated), one per input row."""
+    rows = docs.select(_key(doc_id, text).alias("key"), column(text).cast("string").alias("text"))
+    found = find_windows(rows, benchmark, window)
+    hits = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "width"))).alias("spans"), F.collect_set("items").alias("lists"))
+    hits = hits.select("key", _covered(F.col("spans")).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items"))
+    judged = rows.select("key", _n_words(F.col("text")).alias("n_words"))
+    judged = judged.join(hits, "key", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
     return judged.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
     )
@@ -135,7 +132,7 @@ def decontaminate(
     Empty tables give no rows, or no hits. Other columns are left out.
     """
     return _judge(docs, benchmark, doc_id, text, window, share).select(
-        F.when(~F.col("_no_id"), F.col("_id")).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.when(~F.col("key.none"), F.col("key.id")).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "items",
     )
 
@@ -146,9 +143,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns as they came."""
-    bad = _judge(docs, benchmark, "doc_id", "text", WINDOW, SHARE).where("contaminated").select(*_KEY).distinct()
-    return _keyed(docs, "doc_id", "text").join(bad, _KEY, "left_anti").select(*docs.columns)
+    """The documents that are not contaminated, with their columns as they came.
+
+    Rows with a null id or text are judged like others (null: no words); repeated
+    rows stay or go together. Columns of any name stay as they are.
+    """
+    (bad,) = fresh(docs, "bad")
+    found = _judge(docs, benchmark, "doc_id", "text", WINDOW, SHARE).where("contaminated").select(F.col("key").alias(bad)).distinct()
+    return docs.join(found, _key("doc_id", "text") == F.col(bad), "left_anti")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
