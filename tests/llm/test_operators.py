@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -144,7 +145,66 @@ def test_language(spark, docs):
     assert odd["4"] == odd["5"] == odd["12"] == "und" and odd["11"] in ("de", "fr") and odd["None"] in ("de", "fr")
     nothing = op4.train(train.limit(0))
     assert {r.lang_pred for r in op4.identify(docs, nothing).collect()} == {"und"}
-    assert op4.language_stage(docs).count() == len(ROWS) - 3
+    again = op4.train(train.repartition(5), sample=60)
+    assert all(np.array_equal(net.params[k], again.params[k]) for k in net.params)
+
+
+def test_no_letter_is_no_language():
+    net = op4.ByteConvNet(["de", "fr"])
+    for text in (None, "", " \n", "123", "½ ²", "①②", "Ⅳ", "🙂 !?", "٣٤", "_-_"):
+        assert op4.predict(net, [text]) == [("und", 0.0)], text
+    for text in ("a", "ß", "中", "1ª", "½x"):
+        assert op4.predict(net, [text])[0][0] in ("de", "fr"), text
+
+
+def direct(net, text):
+    """A prediction by plain convolution, window by window."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    raw, total = text.lower().encode(), 0
+    for at in range(0, len(raw), op4.WINDOW):
+        piece = raw[at : at + op4.WINDOW]
+        x = np.array([[*piece, *[256] * (op4.WINDOW - len(piece))]])
+        pooled = [np.maximum(r.max(axis=1) + net.params[f"c{w}"], 0) for w, r in zip(op4.WIDTHS, net._responses(x), strict=True)]
+        scores = (np.concatenate(pooled, axis=1) @ net.params["o"] + net.params["b"])[0]
+        scores = np.exp(scores - scores.max())
+        total = total + len(piece) * scores / scores.sum()
+    total = total / total.sum()
+    return net.labels[int(total.argmax())], float(total.max())
+
+
+def test_language_on_the_tables(spark, sf):
+    """Every prediction against plain convolution, and accuracy on texts that taught nothing."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    net = op4.train(table)
+    texts = {r.doc_id: r for r in table.collect()}
+    got = op4.op4_language(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        label, share = direct(net, texts[r.doc_id].text)
+        assert r.lang_pred == label and abs(r.score - share) < 1e-4
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    larger = sf.replace("0.001", "0.01")
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{larger}/documents.parquet").where("lang is not null").select("doc_id", "lang").collect()}
+    judged = [r.lang_pred == truth[r.doc_id] for r in op4.op4_language(spark, larger).where("held_out").collect() if r.doc_id in truth]
+    assert len(judged) > 200 and sum(judged) >= 0.98 * len(judged)
+
+
+def test_language_stage_uses_the_prediction(spark):
+    rng = random.Random(3)
+    make = lambda tails, n=60: " ".join(rng.choice(WORDS)[:3] + rng.choice(tails) for _ in range(n))
+    german, french = ("ung", "keit", "sch"), ("eau", "tion", "ée")
+    rows = [(k, make(german) if k % 2 else make(french), ("de" if k % 2 else "fr") if k % 7 else None, k, "mine") for k in range(300)]
+    rows += [(400, "½ ²", "de", 1, "mine"), (401, None, "fr", 1, "mine"), (402, make(german, 40), None, 1, "mine"), (402, rows[1][1], "de", 1, "mine"), (None, make(french), "fr", 1, "mine")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, lang_pred string")
+    kept = op4.language_stage(table).collect()
+    assert len(kept) == len(rows) - 2 and not {400, 401} & {r.doc_id for r in kept}
+    assert all(r.lang == ("de" if r.doc_id % 2 else "fr") for r in kept if r.doc_id is not None and r.doc_id < 300) and all(r.lang_pred == "mine" for r in kept)
+    assert sum(r.doc_id == 402 for r in kept) == 2
+    french_only = op4.language_stage(table, languages=["fr"]).collect()
+    assert 0 < len(french_only) < len(kept) and {r.lang for r in french_only} == {"fr"}
+    assert op4.language_stage(table, min_share=1.0).isEmpty()
+    assert op4.language_stage(table.limit(0)).isEmpty() and op4.language_stage(table.limit(0)).columns == table.columns
 
 
 def test_table_lookup_equals_convolution():

@@ -10,6 +10,8 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tests.llm.test_operators import direct
+from tidegauge.llm import op4_language as op4
 from tidegauge.llm import registry
 
 
@@ -29,13 +31,13 @@ def test_ten_operators_are_registered():
     assert {int(n[2:].split("_")[0]) for n in registry.queries()} == set(range(1, 11))
 
 
-def test_pipeline(spark, sf):
+def test_pipeline(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
-        out.write.mode("overwrite").parquet(path := f"/tmp/spark-test-pipeline/{name}")
+        out.write.mode("overwrite").parquet(path := f"{tmp_path}/{name}")
         docs = spark.read.parquet(path)
         kept = {r.doc_id for r in docs.select("doc_id").collect()}
         assert kept <= ids and len(kept) > 0.7 * len(ids)
@@ -56,7 +58,9 @@ def _benchmark_words(text):
 
 def test_pipeline_against_brute_force(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    docs = {i: t for i, t in docs.items() if t and any(c.isalpha() for c in t)}
+    net = op4.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    share = {i: direct(net, t) for i, t in docs.items()}
+    docs = {i: t for i, t in docs.items() if share[i][0] != "und" and share[i][1] > op4.MIN_SHARE}
     prints = {i: _fingerprint(t) for i, t in docs.items()}
     group = dict(zip(docs, docs, strict=True))
     changed = True

@@ -11,27 +11,32 @@ number of windows of labelled texts; prediction is one Arrow pass.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidegauge.llm.columns import column
 from tidegauge.session import ship, table
 
 WINDOW = 256
 #: Even, so that a filter is a sum of terms of byte pairs.
 WIDTHS = (2, 4, 6)
 FILTERS, EMBEDDING = 8, 8
-#: The bound of the training sample: texts for each language, one window of each.
+#: The bound of the training sample: texts of each language, two cuts of each.
 SAMPLE = 800
 #: Windows that go through the network at once.
 BATCH = 64
 UNKNOWN = "und"
-_NO_LETTER = re.compile(r"[\W\d_]*\Z")
+#: The pipeline keeps a text if one language has more than this share of it.
+MIN_SHARE = 0.5
+#: Bytes of text that a worker cuts into windows at once (a longer text is taken alone).
+CHUNK = 1 << 22
 
 
 class ByteConvNet:
@@ -72,7 +77,7 @@ class ByteConvNet:
 
     def probabilities(self, x: np.ndarray, tables: dict[int, list[np.ndarray]]) -> np.ndarray:
         """Of windows of byte codes (256 fills up short ones), by table lookups."""
-        turned = x.T  # positions first, so that sums and maxima run over long rows
+        turned = x.T.astype(np.int64)  # positions first, so that sums and maxima run over long rows
         pairs = np.ascontiguousarray(turned[:-1] * 257 + turned[1:])
         pooled = []
         for w in WIDTHS:
@@ -129,32 +134,46 @@ class ByteConvNet:
 
 def windows(raw: bytes, size: int = WINDOW) -> np.ndarray:
     """All windows of a text's bytes; the last is filled up with code 256."""
-    codes = np.full(-(-len(raw) // size) * size, 256, np.int64)
+    codes = np.full(-(-len(raw) // size) * size, 256, np.int16)
     codes[: len(raw)] = np.frombuffer(raw, np.uint8)
     return codes.reshape(-1, size)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of a Unicode letter category; number signs are none."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def predict(net: ByteConvNet, texts: list[str | None]) -> list[tuple[str, float]]:
     """(label, its probability) for each text; ``und`` and 0 without any letter."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-    known = [k for k, t in enumerate(texts) if t and not _NO_LETTER.match(t)]
-    raw = [texts[k].lower().encode() for k in known]
-    cut = [windows(r) for r in raw]
-    if not cut or not net.labels:
+    if not net.labels:
         return out
+    if net.tables is None:
+        net.tables = net.pair_tables()
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        if has_letter(text):
+            held.append((k, text.lower().encode()))
+            size += len(held[-1][1])
+        if held and (size >= CHUNK or k == len(texts) - 1):
+            for (at, _), row in zip(held, _shares(net, [raw for _, raw in held]), strict=True):
+                out[at] = (net.labels[int(row.argmax())], float(row.max()))
+            held, size = [], 0
+    return out
+
+
+def _shares(net: ByteConvNet, raw: list[bytes]) -> np.ndarray:
+    """The probabilities of each text: the mean over its windows by their bytes."""
+    cut = [windows(r) for r in raw]
     owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
     every = np.concatenate(cut)
     weight = (every < 256).sum(axis=1)
-    tables = net.pair_tables() if net.tables is None else net.tables
-    net.tables = tables
     total = np.zeros((len(cut), len(net.labels)))
     for at in range(0, len(every), BATCH):
         part = slice(at, at + BATCH)
-        np.add.at(total, owner[part], net.probabilities(every[part], tables) * weight[part, None])
-    total /= total.sum(axis=1, keepdims=True)
-    for k, row in zip(known, total, strict=True):
-        out[k] = (net.labels[int(row.argmax())], float(row.max()))
-    return out
+        np.add.at(total, owner[part], net.probabilities(every[part], net.tables) * weight[part, None])
+    return total / total.sum(axis=1, keepdims=True)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,24 +184,28 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, seed: int = 7) -> ByteConvNet:
     """Fits a network on at most ``sample`` texts of each label.
 
-    Rows are chosen by a hash of the id, so the choice does not depend on order or
-    partitioning. Of each text one window is taken, at a place the hash picks; a
-    second, shorter cut of it teaches short texts.
+    Rows are chosen by a hash of their id, label and text, so the choice does not
+    depend on order or partitioning; rows that repeat all three count once. Of each
+    text one window is taken, at a place the hash picks; a second, shorter cut of it
+    teaches short texts. Rows without a text or label teach nothing, rows without an
+    id are told apart by their text. Labels are the distinct values of ``lang``, and
+    the network has an output for each; without any it knows none.
     """
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out(F.col("id"))).withColumn("h", F.xxhash64(F.col("id").cast("string"), "lang"))
+    rows = docs.select(column(doc_id).cast("string").alias("id"), column(text).cast("string").alias("text"), column(lang).cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out(F.col("id"))).withColumn("h", F.xxhash64("id", "lang", "text"))
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int")
-    cut = rows.select("lang", "h", F.substring("text", start + 1, F.lit(WINDOW)).alias("text"))
-    # top-n by hash for each label: a threshold on the hash, then the exact bound on the driver
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     labels = sorted(counts)
     if not labels:
         return ByteConvNet([])
+    # A threshold on the hash thins each label to about the bound; the least hashes of those are the sample.
     share = F.lit(1.0)
     for label, n in counts.items():
-        share = F.when(F.col("lang") == label, F.lit(min(1.0, 1.2 * sample / n))).otherwise(share)
-    near = cut.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share * (1 << 20))
-    taken = near.orderBy(F.xxhash64("h"), "h", "lang", "text").limit(int(1.5 * sample) * len(labels)).collect()
+        share = F.when(F.col("lang") == label, F.lit(min(1.0, (1.2 * sample + 20) / n))).otherwise(share)
+    order = F.xxhash64("h")
+    near = rows.where(F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)).select("lang", "h", F.substring("text", start + 1, F.lit(WINDOW)).alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "h", "text"))
+    taken = near.dropDuplicates(["lang", "h"]).withColumn("place", place).where(F.col("place") <= sample).orderBy("lang", "place").collect()
     x, y = [], []
     for row in taken:
         raw = row["text"].lower().encode()
@@ -219,7 +242,7 @@ def identify(docs: DataFrame, net: ByteConvNet, doc_id: str = "doc_id", text: st
                     [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"]
                 )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
@@ -230,13 +253,22 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def language_stage(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known; those without any letter go."""
+def language_stage(docs: DataFrame, languages: list[str] | None = None, min_share: float = MIN_SHARE) -> DataFrame:
+    """The documents of known languages, with the predicted language where none is given.
+
+    A document stays if the network gives one of ``languages`` (default: all that
+    are labelled in ``docs``) more than ``min_share`` of its text. Texts without any letter
+    (null and empty ones too), in other languages, or in no language by more than
+    that share go. A null ``lang`` is filled with the prediction; other columns, of
+    any name, stay as they are. Repeated rows stay or go together. Without labels
+    nothing is known and no document stays.
+    """
     net = train(docs)
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((net.labels, net.params))
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
+    wanted = set(net.labels if languages is None else languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, params = shared.value
@@ -245,7 +277,10 @@ def language_stage(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                yield part.filter(pa.array([f[0] != UNKNOWN for f in predict(own, part.column(at).to_pylist())], pa.bool_()))
+                found = predict(own, part.column(at).to_pylist())
+                names = pa.array([f[0] for f in found], part.schema.field(lang).type)
+                part = part.set_column(lang, part.schema.field(lang), pc.coalesce(part.column(lang), names))
+                yield part.filter(pa.array([name in wanted and share > min_share for name, share in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
