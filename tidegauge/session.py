@@ -43,24 +43,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) is a local folder made.
+    Only a session on one machine may do without that setting (tests, a laptop): a
+    temporary folder is made then. On a cluster its absence is an error, since no
+    one else could read what an executor wrote there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """The file system and path of a folder, as Spark itself reaches it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back.
 
-    Cuts the lineage in a way that outlives a lost executor.
+    Cuts the lineage in a way that outlives a lost executor. What is written goes
+    with ``release``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _folder(spark, path)
+    files.deleteOnExit(place)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Removes what ``materialise`` wrote; frames that still read it fail from here on."""
+    files, place = _folder(df.sparkSession, df._written_at)
+    files.delete(place, True)
+    files.cancelDeleteOnExit(place)
 
 
 _shipped: set[str] = set()
