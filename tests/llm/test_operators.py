@@ -284,6 +284,8 @@ def test_embeddings(spark):
     total = sum(len(link[r.vec_id]) for r in got if r.vec_id in link)
     assert total >= found >= 0.98 * total
     assert all(r.n_links <= len(link.get(r.vec_id, ())) for r in got)
+    again = op6.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, unit string")).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
     alone = {r.vec_id: r for r in got}
     assert all(alone[k].n_links == 0 and alone[k].component_id == k and alone[k].kept for k in (201, 202, 203, 204, 207))
     assert alone[206].component_id == 205 and alone[200].component_id == 0 and not alone[200].kept

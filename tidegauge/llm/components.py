@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.session import materialise
+from tidegauge.session import materialise, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,24 +27,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether a node has two parents, or is both a child and a parent: else all edges form stars."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    seen = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return not seen.where("child > 1 or (child = 1 and parent = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Rows (node, component) for each node with an edge; component is its least node.
 
     ``edges`` holds two long columns in any direction, repeats and self-loops
-    allowed (a node with only self-loops is left out). No edges: no rows.
+    allowed (a node with only self-loops is left out). No edges: no rows. A round
+    is written, then its predecessor goes; rounds end when all edges form stars.
     """
-    current = materialise(edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a <> b").distinct(), "edges")
-    state = _state(current)
-    while state[0]:
-        current = materialise(_small_star(_large_star(current)), "edges")
-        after = _state(current)
-        if after == state:
-            break
-        state = after
+    down = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a <> b").distinct()
+    current = materialise(down, "edges")
+    while _unsettled(current):
+        following = materialise(_small_star(_large_star(current)), "edges")
+        release(current)
+        current = following
     roots = current.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
