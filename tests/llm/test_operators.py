@@ -91,8 +91,10 @@ def test_decontamination(spark, docs, bench):
                     hit |= set(range(k, k + len(win)))
                     items |= names
         want.append((str(i), len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    for limit in ("10485760", "-1"):
+    whole = op2.find_windows.__defaults__
+    for limit, tokens in (("10485760", 500_000), ("-1", 500_000), ("-1", 0)):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        op2.find_windows.__defaults__ = (*whole[:-1], tokens)
         try:
             out = op2.decontaminate(docs, bench)
             got = out.collect()
@@ -100,6 +102,7 @@ def test_decontamination(spark, docs, bench):
             counted = op2.corpus_counts(docs.select(op2.words(F.col("text")).alias("w")), op2.benchmark_windows(bench))._jdf.queryExecution().executedPlan().toString()
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+            op2.find_windows.__defaults__ = whole
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
         assert "Python" not in plan and "Generate" not in plan  # texts come back whole, once for each document
         assert re.search(r"Exchange hashpartitioning\(token[^\n]*\n[^\n]*HashAggregate\(keys=\[token[^\n]*partial_count", counted)
@@ -324,10 +327,28 @@ def test_simhash(docs, tile):
         assert int(r.fingerprint, 16) == prints[r.doc_id]
         if r.doc_id is not None:
             assert r.component_id == want[r.doc_id]
-    stage = op7.near_duplicates_stage(docs)
+    for keys in (10**6, 0):
+        stage = op7.near_duplicates_stage(docs, tile=tile, broadcast_keys=keys)
+        best = {}
+        for i, t in ROWS:
+            if i is not None:
+                best[want[i]] = min(best.get(want[i], i), i)
+        assert sorted((str(r.doc_id) for r in stage.collect())) == sorted([*map(str, best.values()), "None"])
     assert stage.columns == docs.columns and stage.where("doc_id = 9").count() == 1 and stage.where("doc_id = 3").isEmpty() and stage.where("doc_id is null").count() == 1
 
 
+def test_near_duplicates_of_one_id(spark):
+    # Two texts under one id, of which one is a copy of an earlier document; repeats; groups without any id.
+    a, b, c, d = (_text(50 + k, 60) for k in range(4))
+    rows = [(1, a, 10), (5, a, 11), (5, b, 12), (5, b, 13), (None, a, 14), (None, c, 15), (None, c, 16), (None, d, 17), (7, None, 18), (8, "", 19), (None, None, 20), (3, d, 21)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key_id int").withColumn("print", F.col("key_id")).withColumn("mark", F.lit("mine")).withColumn("key_mark", F.col("key_id"))
+    for keys in (10, 0):
+        got = op7.near_duplicates_stage(docs, broadcast_keys=keys).collect()
+        assert sorted((str(r.doc_id), r.text) for r in got if r.text) == sorted([("1", a), ("5", b), ("None", c), ("3", d)])
+        assert [r.doc_id for r in got if not r.text] == [7]
+        assert all(r.key_id == r.print == r.key_mark and r.mark == "mine" and r.doc_id == rows[r.key_id - 10][0] for r in got)
+
+
 @pytest.mark.parametrize("tile", [64, 7])
 def test_simhash_links_random(spark, tile):
     rng = random.Random(tile)

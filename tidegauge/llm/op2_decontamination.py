@@ -8,9 +8,9 @@ window would start; the length and positional bounds drop starts that do not
 fit, and comparing the window-sized slice verifies containment exactly.
 
 Rarity is the number of occurrences in the whole corpus. The joined rows are
-(row key, place, token): no text travels with its words. The texts of documents
-with candidates come back once each, for the slices. The plan is the same for
-every size of benchmark; which joins broadcast is Spark's own choice by size.
+(row key, place, token): no text travels with its words, whatever the size of the
+benchmark. The texts of documents with candidates come back once each, for the
+slices.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ from tidegauge.session import materialise, table
 WINDOW = 13
 #: A text is contaminated if hit words are at least 1 in SHARE.
 SHARE = 20
+#: Distinct rarest words that are broadcast (some 100 bytes each) to thin out the words of the
+#: corpus; beyond that the words are shuffled for the same join.
+BROADCAST_TOKENS = 500_000
 
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,7 +66,7 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return best.where("found = width").select("best.token", "best.offset", "width", "win", "items")
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """Rows (key, at, width, items): every occurrence of a benchmark window.
 
     ``docs`` has columns key and text; equal keys mean equal texts. at is the
@@ -73,7 +76,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     split = docs.select("key", words(F.col("text")).alias("w"))
     counts = materialise(corpus_counts(split, windows), "counts")
     probes = materialise(prefixes(windows, counts), "probes")
-    here = split.select("key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
+    rare = materialise(probes.select("token").distinct(), "rare")
+    rare = F.broadcast(rare) if rare.count() <= broadcast_tokens else rare
+    here = split.select("key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token")).join(rare, "token", "left_semi")
     start = F.col("pos") - F.col("offset")
     inside = (start >= 0) & (start + F.col("width") <= F.col("n"))
     found = here.join(probes, "token").where(inside).select("key", start.alias("at"), "width", "win", "items")

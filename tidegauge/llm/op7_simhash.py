@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.llm.columns import column, fresh
 from tidegauge.llm.components import connected_components
 from tidegauge.session import materialise, ship, table
 
@@ -33,6 +34,8 @@ SEED = 42
 #: Fingerprints in a chunk of a cell.
 TILE = 4096
 _BLOCK = 1 << 16
+#: Decisions of the pipeline stage that are broadcast, some 100 bytes each; more are joined by a shuffle of the texts.
+BROADCAST_KEYS = 1_000_000
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -60,16 +63,21 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([simhash(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints)], ["doc_id", "mark", "print"])
 
     return run
 
 
+def _mark(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), text.isNull())
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, print): the fingerprint as a signed bigint, one per input row."""
+    """Rows (doc_id, mark, print): a hash of the text and the fingerprint as signed bigints, one per input row."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, print long")
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text"), _mark(column(text)).alias("mark"))
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, mark long, print long")
 
 
 def _quarter(column: Column, k: int) -> Column:
@@ -152,6 +160,16 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return as_left.unionByName(as_right).groupBy("cell", "i", "j").applyInPandas(_tile(radius), "u long, v long")
 
 
+def _components(own: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Rows (print, best): for each fingerprint the least (no id, doc_id, mark) of all rows its links reach."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least")
+    classes = materialise(own.groupBy("print").agg(best), "classes")
+    found = connected_components(links(classes.select("print"), radius, tile))
+    grouped = classes.join(found, classes["print"] == found["node"], "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+    lowest = grouped.groupBy("component").agg(F.min("least").alias("best"))
+    return materialise(grouped.join(lowest, "component").select("print", "best"), "named")
+
+
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one per input row.
 
@@ -160,14 +178,15 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a null doc_id takes part; its component_id is the least id that is known, or
     null. Repeated rows come back repeated. An empty table gives no rows. Other
     columns are left out.
+
+    As dealt the comparison is exact and tiled: tile pairs within reach grow with the
+    square of the distinct fingerprints, thinned by the population counts of the
+    quarters (a fingerprint goes to at most 41 cells, and to each chunk of a cell).
+    A few tens of millions of distinct fingerprints are the sensible limit of that.
     """
     own = materialise(fingerprints(docs, doc_id, text, shingle), "prints")
-    classes = materialise(own.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
-    found = connected_components(links(classes.select("print"), radius, tile))
-    grouped = classes.join(found, classes["print"] == found["node"], "left").select("print", "least", F.coalesce("component", "print").alias("component"))
-    lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialise(grouped.join(lowest, "component").select("print", "component_id"), "named")
-    return own.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    named = _components(own, radius, tile)
+    return own.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,15 +198,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op7_simhash": op7_simhash}
 
 
-def near_duplicates_stage(docs: DataFrame) -> DataFrame:
-    """The documents without those whose group has a smaller doc_id.
+def near_duplicates_stage(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """One document of each group: that of the least doc_id, null ids last, then of the least text hash.
+
+    Decisions are made by row (doc_id and text), so two texts under one id are two
+    documents. Of repeated rows (equal id and text) one stays. Columns of any name
+    stay as they are; an empty table gives no rows.
 
-    Rows with a null doc_id cannot be named by a group and are kept. Of repeated
-    rows with one doc_id and one text, one stays.
+    Only decisions against the default are joined with the texts: rows that go, and
+    rows that repeat. Up to ``broadcast_keys`` of them are broadcast; more shuffle
+    the texts once.
     """
-    groups = simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    out = materialise(groups.withColumn("gone", F.lit(True)).unionByName(repeated.withColumn("gone", F.lit(False))), "out")
-    single = docs.join(out.select("doc_id"), "doc_id", "left_anti")
-    again = docs.join(out.groupBy("doc_id").agg(F.bool_or("gone").alias("gone")).where("not gone"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.select(*docs.columns).unionByName(again.select(*docs.columns))
+    own = materialise(fingerprints(docs), "prints")
+    me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    judged = own.join(_components(own, radius, tile), "print").select("doc_id", "mark", (me == F.col("best")).alias("stays"))
+    gone = judged.where("not stays").select("doc_id", "mark").distinct().withColumn("stays", F.lit(False))
+    again = judged.where("stays").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark", F.lit(True).alias("stays"))
+    names = fresh(docs, "key_id", "key_mark", "key_stays")
+    keys = materialise(gone.unionByName(again).toDF(*names), "decisions")
+    small = F.broadcast if keys.count() <= broadcast_keys else lambda df: df
+    # Null ids count as -1 with a mark of their own, so that the join is a plain one.
+    ids, marks = F.struct(F.coalesce(column("doc_id").cast("long"), F.lit(-1)), column("doc_id").isNull()), _mark(column("text"))
+    there = (ids == F.struct(F.coalesce(names[0], F.lit(-1)), F.col(names[0]).isNull())) & (marks == F.col(names[1]))
+    single = docs.join(small(keys), there, "left_anti")
+    repeated = docs.join(small(keys.where(F.col(names[2]))), there, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated)
