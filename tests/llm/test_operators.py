@@ -66,7 +66,7 @@ def test_sharding(docs):
             j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
         return b
 
-    assert len(rows) == len(ROWS)
+    assert sorted((str(r.doc_id), r.size, r.text_crc32, r.law) for r in rows) == sorted((str(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "key") for i, t in ROWS)
     for r in rows:
         key = (-1 if r.doc_id is None else r.doc_id) % (1 << 64)
         assert (r.shard, r.grown_shard) == (jump(key, 5), jump(key, 6)) and r.grown_shard in (r.shard, 5)
@@ -75,6 +75,31 @@ def test_sharding(docs):
         assert slots == list(range(len(slots)))
 
 
+def test_sharding_on_the_tables(spark, sf):
+    """Every row of the table against the plain loop, sizes and checksums against zlib, and slots without gaps."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op9.op9_sharding(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert all((r.size, r.text_crc32) == (len(texts[r.doc_id].encode()) + 8, zlib.crc32(texts[r.doc_id].encode())) for r in rows)
+    for r in rows:
+        b, j, key = -1, 0, r.doc_id % (1 << 64)
+        while j < 24:
+            b, key = j, (key * 2862933555777941757 + 1) % (1 << 64)
+            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        assert r.shard == b
+    for shard in range(24):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_sharding_spreads_rows_without_a_key(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit(1).alias("lane"))
+    got = op9.assign_shards(rows)
+    assert sorted(r.slot for r in got.select("slot").collect()) == list(range(3000))
+    dealt = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"windowspecdefinition\(shard#\d+, lane#\d+", dealt)
+
+
 def test_decontamination(spark, docs, bench):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     windows = {}

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegauge.llm.columns import column
 from tidegauge.session import table
 
 MULTIPLIER = 2862933555777941757
@@ -66,12 +67,6 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, advance, lambda s: s["b"]).cast("int")
 
 
-def _lane(key: Column, lanes: int) -> Column:
-    x0, x1, x2 = _limbs(key)
-    moved = _step(F.struct(x0.alias("x0"), x1.alias("x1"), x2.alias("x2"), F.lit(0).alias("b"), F.lit(0).alias("j")))
-    return (F.shiftright(moved["x1"], 4) % lanes).cast("int")
-
-
 def assign_shards(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text", lanes: int = LANES) -> DataFrame:
     """Every row with its shard and a gapless slot inside that shard.
 
@@ -80,27 +75,24 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", te
     as -1, a null text as empty. An empty table gives no rows. Other columns,
     also ones named like the results, are left out.
 
-    Slots number the rows of a (shard, lane) by key, size and checksum; a lane
-    is one of ``lanes`` mixes of the key, so no task holds a whole shard.
+    Slots number the rows of a (shard, lane) by key, size and checksum. A lane is
+    one of ``lanes`` hashes of these three, so no task holds a whole shard, nor all
+    rows without a key.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    known = F.coalesce(F.col(key).cast("long"), F.lit(-1).cast("long"))
+    body = F.coalesce(column(text).cast("string"), F.lit(""))
+    known = F.coalesce(column(key).cast("long"), F.lit(-1).cast("long"))
+    size, checksum = (F.octet_length(body) + 8).cast("long"), F.crc32(body.cast("binary"))
+    lane = F.pmod(F.xxhash64(known, size, checksum), F.lit(lanes)).cast("int")
     rows = docs.select(
-        F.col(key),
-        (F.octet_length(body) + 8).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        jump_hash(known, shards).alias("shard"),
-        jump_hash(known, shards + 1).alias("grown_shard"),
-        _lane(known, lanes).alias("_lane"),
-    )
-    counts = docs.select(jump_hash(known, shards).alias("shard"), _lane(known, lanes).alias("_lane")).groupBy("shard", "_lane").agg(F.count("*").alias("_n"))
+        column(key).alias("key"), size.alias("size"), checksum.alias("text_crc32"), jump_hash(known, shards).alias("shard"), jump_hash(known, shards + 1).alias("grown_shard"), lane.alias("lane"),
+    )
+    counts = docs.select(jump_hash(known, shards).alias("shard"), lane.alias("lane")).groupBy("shard", "lane").agg(F.count("*").alias("n"))
     # At most shards * lanes rows, whatever the input.
-    before = counts.select("shard", "_lane", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_lane")) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("shard", "_lane").orderBy(F.col(key).asc_nulls_first(), "size", "text_crc32")
-    numbered = rows.withColumn("_row", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(before), ["shard", "_lane"]).select(
-        key, "size", "text_crc32", "law", "shard", (F.col("_before") + F.col("_row")).cast("long").alias("slot"), "grown_shard"
+    before = counts.select("shard", "lane", (F.sum("n").over(Window.partitionBy("shard").orderBy("lane")) - F.col("n")).alias("before"))
+    inside = Window.partitionBy("shard", "lane").orderBy(F.col("key").asc_nulls_first(), "size", "text_crc32")
+    numbered = rows.withColumn("row", F.row_number().over(inside) - 1).join(F.broadcast(before), ["shard", "lane"])
+    return numbered.select(
+        F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("row")).cast("long").alias("slot"), "grown_shard"
     )
 
 
