@@ -85,6 +85,18 @@ def release(df: DataFrame) -> None:
     files.cancelDeleteOnExit(place)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, in any store that Spark reaches."""
+    files, place = _folder(spark, path)
+    return files.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder and all in it."""
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+
+
 _shipped: set[str] = set()
 
 
