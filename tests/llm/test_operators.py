@@ -263,15 +263,17 @@ def test_substrings(docs, batches, group):
     assert kept.columns == docs.columns and kept.where("doc_id = 3").isEmpty() and kept.where("doc_id = 6").count() == 1
 
 
-def test_substrings_spread_an_anchor_with_many_windows(spark):
+def test_substrings_spread_an_anchor_with_many_windows(spark, monkeypatch):
     # One anchor in 80 contexts, each context twice: nothing but the anchor is common.
     gram, rows = _text(7, 8), []
     for k in range(160):
         side = [f"{w}{k % 80}" for w in _text(1000, 30).split()]
         rows.append((k, " ".join([*side[:15], gram, *side[15:]])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    marks = op5.repeated_windows(docs, group=4)
-    plan = marks._jdf.queryExecution().executedPlan().toString()
+    plans = {}
+    monkeypatch.setattr(op5, "materialise", lambda df, name, f=op5.materialise: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or f(df, name))
+    op5.repeated_windows(docs, group=4)
+    plan = plans["marks"]
     assert re.search(r"hashpartitioning\(anchor#\d+L?, offset#\d+, digest#\d+L?, ", plan)
     assert not re.search(r"hashpartitioning\(anchor#\d+L?, \d+\)", plan)
     got = op5.strip_repeats(docs, group=4).collect()
@@ -293,12 +295,69 @@ def test_substrings_of_null_ids_and_copies(spark, monkeypatch):
         if r.doc_id is None:
             cut.setdefault(r.kept.split()[:20].__str__(), set()).add(r.n_removed)
     assert len(cut) == 40 and sorted(next(iter(x)) for x in cut.values())[:2] == [0, 60] and all(len(x) == 1 for x in cut.values())
-    tables = dict(read)
-    assert tables["anchors"].where(F.col("id") == op5.NO_ID).select("key").distinct().count() == 40
-    judged = tables["judged"].where("id < 60")
+    assert op5._documents(docs, "doc_id", "text").where(F.col("id") == op5.NO_ID).select("key").distinct().count() == 40
+    judged = next(df for name, df in read if name == "judged").where("id < 60")
     assert judged.where("groups > 1").select("anchor", "salt").distinct().count() > judged.select("anchor").distinct().count()
 
 
+def _marked(marks):
+    """{(id, print): start words} of marks."""
+    out = {}
+    for r in marks.collect():
+        out.setdefault((r.id, r.print), set()).update(r.start + k for k in range(13) if r.mask >> k & 1)
+    return out
+
+
+def test_window_index_goes_on_in_later_calls(spark, docs, tmp_path):
+    rows = docs.where("doc_id is not null").select("doc_id", "text").unionByName(spark.createDataFrame([(20 + k, _text(k, 30) + " " + PASSAGE) for k in range(6)], "doc_id long, text string"))
+    parts = [rows.where("doc_id < 4"), rows.where("doc_id between 4 and 12"), rows.where("doc_id between 13 and 21"), rows.where("doc_id > 21")]
+    want = _marked(op5.repeated_windows(rows, batches=1))
+    assert len(want) >= 8
+    folder, got, runs = f"file://{tmp_path}/index", {}, []
+    for part in parts:  # each in an index opened anew; more than one run is compacted before the next is merged with it
+        with op5.WindowIndex(spark, folder, buckets=3, fan_in=1) as index:
+            got |= _marked(index.add(part, group=3))
+            runs.append(sorted(index.runs))
+    assert got == want
+    assert runs == [[0], [0, 1], [2, 3], [4, 5]]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("windows_")]
+    # What is in the index counts as earlier, whatever the ids.
+    with op5.WindowIndex(spark, folder) as index:
+        again = _marked(index.add(spark.createDataFrame([(-5, PASSAGE), (-6, _text(777, 50))], "doc_id long, text string")))
+        assert {k[0]: len(v) for k, v in again.items()} == {-5: 41}
+        index.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_window_index_merges_runs_without_a_shuffle(spark, docs, tmp_path):
+    with op5.WindowIndex(spark, f"file://{tmp_path}/index", buckets=3) as index:
+        index.add(docs)
+        index.add(docs)
+        a, b = (spark.table(t) for t in index.runs.values())
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = a.join(b.withColumnRenamed("n", "m"), "anchor")._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_failed_load_leaves_nothing(spark, docs, monkeypatch):
+    monkeypatch.setattr(op5, "_first_round", lambda packed: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        op5.repeated_windows(docs)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("windows_")]
+
+
+def test_word_hashes_are_independent_and_bounded():
+    known = op5._WordHashes()
+    a, b = known[b"word"]
+    assert a != b and known[b"word"] == (a, b)
+    for k in range(40):
+        known[bytes([k]) * 1_000_000]
+    assert sum(map(len, known)) <= op5._REMEMBERED
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(6, 16))
@@ -407,6 +466,28 @@ def test_html(spark):
     assert got[None].text == got["v"].text == "" and got["z"].text == want[: want.index("\nOf")] and got["l"].text.count("\n") == 2999
 
 
+def test_stages_leave_the_columns_alone(spark, bench):
+    """Every filtering stage on nulls, repeats, and columns named as its own: what stays is as it came."""
+    names = "n_words n_removed kept key_id key_print key_spans spans _id _no_id _print bad key token hit contaminated mark print key_mark key_stays stays _label score lang_pred".split()
+    texts = [_text(1, 40), PASSAGE, None, "", _text(2, 30), _text(2, 30), "x", _text(9, 25) + " " + _text(4, 30), _text(8, 25) + " " + _text(4, 30), "½"]
+    ids = [1, 2, 3, 4, 5, 5, None, 7, 8, 9]
+    rows = [(i, t, "en", 7, *[k * 100 + m for m in range(len(names))]) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int, " + ", ".join(f"`{n}` int" for n in names))
+    stages = {"language": op4.language_stage, "near": op7.near_duplicates_stage, "substrings": op5.substring_stage, "decontamination": lambda d: op2.decontamination_stage(d, bench)}
+    left = {"language": {0, 1, 4, 5, 6, 7, 8}, "near": {0, 1, 2, 4, 6, 7, 8, 9}, "substrings": set(range(10)), "decontamination": {0, 2, 3, 4, 5, 6, 7, 8, 9}}
+    for name, stage in stages.items():
+        got = stage(table)
+        assert got.schema == table.schema, name
+        found = got.collect()
+        kept = {r.n_words // 100 for r in found}
+        assert kept == left[name] or name == "near" and len(kept) == len(left[name]) and kept >= {0, 1, 2, 6, 7, 8}, (name, kept)
+        for r in found:
+            k = r.n_words // 100
+            assert [r[n] for n in names] == list(rows[k][4:]) and r.doc_id == ids[k], name
+            assert r.text == texts[k] if (name, k) != ("substrings", 8) else r.text == _text(8, 25) and r.n_chars == len(r.text)
+        assert stage(table.limit(0)).isEmpty() and stage(table.limit(0)).columns == table.columns, name
+
+
 def test_quality(spark, docs):
     rng = random.Random(5)
     rows = [(k, (_text(k, 80) + (" junk### %%% " * 15 if k % 4 == 0 else "")), "x") for k in range(200)]
@@ -446,5 +527,7 @@ def test_empty_tables(docs, bench):
     for out in (
         op1.resample(none, labels), op2.decontaminate(none, bench), op3.encode(none), op4.identify(none, op4.train(none)), op5.strip_repeats(none), op7.simhash_groups(none), op9.assign_shards(none), op10.count_tokens(none),
         op6.embedding_groups(none.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))),
+        op8.extract(none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))),
+        op3.digests(op3.encode(none)),
     ):
         assert out.isEmpty()

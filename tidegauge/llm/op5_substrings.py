@@ -4,17 +4,22 @@ Every 20-word window holds 13 eight-word grams; the one with the least hash is t
 window's anchor. Equal windows have equal anchors at equal offsets, so a window
 can only repeat if its anchor does, and about one word in seven is an anchor.
 
-1. Each batch of documents is turned into a run: its anchor hashes with counts,
-   sorted, in a bucketed table that is never changed. The new run is merge-joined
-   with the historical ones (no shuffle: same buckets) to find repeated anchors.
-   Runs are compacted into one when there are more than ``fan_in``.
-2. Windows at repeated anchors are verified: rows with the anchor, the offset and
-   an independent 64-bit digest of the whole window are sorted by document, and
-   all but the first of equal ones are marked. Anchors that occur often are dealt
-   over several groups; the windows that are first in their group meet in a second
-   round, each with its equals only.
+1. Each batch of documents becomes a run: its anchor hashes with the documents that
+   hold them, in a bucketed table sorted by hash that is never changed. The new run
+   is merge-joined with the historical ones (no shuffle: same buckets) to find the
+   anchors that it repeats, and the earlier documents that hold them. More than
+   ``fan_in`` runs are first compacted into one.
+2. Windows at repeated anchors are verified: rows with the anchor, the offset and a
+   64-bit digest of the whole window are sorted by document, and all but the first
+   of equal ones are marked. The digest is made of other word hashes than the
+   anchor, so two words that collide in one differ in the other. Anchors that occur
+   often are dealt over several groups; the windows that are first in their group
+   meet in a second round, each with its equals only.
 3. The marked windows' words are taken out of each text.
 
+The index is a folder (by default in the shared one). It can be opened again later,
+and a batch is then judged against all that was added before, whatever the ids.
+
 Per-word work is numpy inside Arrow passes; everything between is Spark joins and
 aggregates over written tables.
 """
@@ -32,26 +37,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidegauge.session import materialise, ship, table
+from tidegauge.llm.columns import column, fresh
+from tidegauge.session import exists, materialise, remove, shared_dir, ship, table
 
 WINDOW, GRAM = 20, 8
-#: Batches that the query loads one after another, and runs before a compaction.
-BATCHES, FAN_IN = 2, 2
+#: Batches that the query loads one after another, and historical runs up to which none is compacted.
+BATCHES, FAN_IN = 2, 4
 #: Occurrences of an anchor that go to one group.
 GROUP = 2000
 NO_ID = (1 << 63) - 1
-_REMEMBERED = 100_000
+#: Bytes of words that a task remembers the hashes of.
+_REMEMBERED = 8 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words, remembered for the length of a task."""
+    """Two independent 64-bit hashes of words, remembered up to a number of bytes."""
+
+    held = 0
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _REMEMBERED:
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        self.held += len(word)
+        if self.held > _REMEMBERED:
             self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, 20)
+            self.held = len(word)
+        self[word] = found = (xxhash.xxh64_intdigest(word, 20), xxhash.xxh3_64_intdigest(word, 21))
         return found
 
 
@@ -84,12 +95,12 @@ def anchors(words: list[bytes], known: _WordHashes, window: int = WINDOW, gram:
     none = np.zeros(0, np.uint64)
     if len(words) < window:
         return none.astype(np.int64), none, none
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    grams = _rolling(h, gram, _B)
+    both = np.array(list(map(known.__getitem__, words)), np.uint64)
+    grams = _rolling(both[:, 0].copy(), gram, _B)
     inside = window - gram + 1
     low = np.lib.stride_tricks.sliding_window_view(grams, inside).argmin(axis=1)
     at = np.arange(len(low)) + low
-    return at, grams[at], _rolling(_mix(h ^ _C), window, _C)
+    return at, grams[at], _rolling(both[:, 1].copy(), window, _C)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -97,93 +108,166 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (anchor, key, n): the anchors of each text and how often each occurs."""
     known = _WordHashes()
     for batch in batches:
-        ids, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        names = batch.column(0).to_numpy(zero_copy_only=False)
         for at in range(0, batch.num_rows, 512):
-            own, key, found, counts = [], [], [], []
-            for k, text in enumerate(batch.column(2).slice(at, 512).to_pylist(), at):
+            key, found, counts = [], [], []
+            for k, text in enumerate(batch.column(1).slice(at, 512).to_pylist(), at):
                 where, hashes, _ = anchors(_words(text), known)
                 if len(where):
                     new = np.concatenate(([True], where[1:] != where[:-1]))
                     values, n = np.unique(hashes[new], return_counts=True)
                     found.append(values.view(np.int64))
-                    counts.append(n)
-                    own.append(np.full(len(values), ids[k], np.int64))
+                    counts.append(n.astype(np.int32))
                     key.append(np.full(len(values), names[k], np.int64))
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (own, key, found, counts)], ["id", "key", "anchor", "n"])
+            if key:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, key, counts)], ["anchor", "key", "n"])
 
 
-class AnchorIndex:
-    """Immutable sorted runs (anchor, n) as bucketed tables of the session's catalogue."""
+class WindowIndex:
+    """Sorted immutable runs of window anchors in a folder, to which batches of documents are added.
+
+    ``folder`` holds the runs (run-*), their list (log, one version each change) and,
+    with ``keep_texts``, the documents (texts). Opening the folder of an earlier
+    session continues it; its number of buckets then holds. ``close`` takes the
+    session's table names back, ``drop`` the files as well.
+    """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN) -> None:
-        self.spark, self.fan_in = spark, fan_in
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, fan_in: int = FAN_IN, keep_texts: bool = True) -> None:
+        self.spark, self.fan_in, self.keep_texts = spark, fan_in, keep_texts
+        self.folder = folder or f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name, self.runs, self.made = f"anchors_{uuid.uuid4().hex}", [], 0
+        self.prefix, self.runs, self.made, self.version = f"windows_{uuid.uuid4().hex}", {}, 0, -1
+        self.tables: set[str] = set()
+        if folder and exists(spark, f"{folder}/log"):
+            last = spark.read.parquet(f"{folder}/log").orderBy(F.desc("version")).first()
+            self.version, self.buckets, self.made = last["version"], last["buckets"], last["made"]
+            for number in last["runs"]:
+                name = f"{self.prefix}_{number}"
+                spark.sql(
+                    f"CREATE TABLE {name} (anchor BIGINT, key BIGINT, n INT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) "
+                    f"INTO {self.buckets} BUCKETS LOCATION '{folder}/run-{number:06d}'"
+                )
+                self.runs[number] = name
+                self.tables.add(name)
+
+    def __enter__(self) -> WindowIndex:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def _write(self, rows: DataFrame) -> tuple[int, str]:
+        number, self.made = self.made, self.made + 1
+        name = f"{self.prefix}_{number}"
+        self.tables.add(name)
+        dealt = rows.repartition(self.buckets, "anchor").write.mode("overwrite").bucketBy(self.buckets, "anchor").sortBy("anchor")
+        dealt.option("path", f"{self.folder}/run-{number:06d}").saveAsTable(name)
+        return number, name
+
+    def _log(self) -> None:
+        self.version += 1
+        row = [(self.version, self.buckets, self.made, sorted(self.runs))]
+        self.spark.createDataFrame(row, "version int, buckets int, made int, runs array<int>").write.mode("append").parquet(f"{self.folder}/log")
 
-    def _write(self, counts: DataFrame) -> str:
-        name, self.made = f"{self.name}_{self.made}", self.made + 1
-        counts.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
-        return name
+    def compact(self) -> None:
+        """Merges all runs into one that takes their place."""
+        if len(self.runs) > 1:
+            every = None
+            for name in self.runs.values():
+                every = self.spark.table(name) if every is None else every.unionByName(self.spark.table(name))
+            number, name = self._write(every)
+            old, self.runs = self.runs, {number: name}
+            self._log()
+            for number, name in old.items():
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                remove(self.spark, f"{self.folder}/run-{number:06d}")
+
+    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", earlier: DataFrame | None = None, group: int = GROUP) -> DataFrame:
+        """Adds a batch; rows (id, print, start, mask): its windows that stand earlier in it or in the index.
+
+        ``earlier`` holds the documents of all earlier batches where the caller has
+        them; by default they are read from what the index keeps.
+        """
+        rows = _documents(docs, doc_id, text)
+        if len(self.runs) > self.fan_in:
+            self.compact()
+        old = list(self.runs.values())
+        number, new = self._write(rows.select("key", "text").mapInArrow(_emit_anchors, "anchor long, key long, n int"))
+        run = self.spark.table(new)
+        total = run.groupBy("anchor").agg(F.sum("n").alias("n"))
+        for k, name in enumerate(old):
+            past = self.spark.table(name).groupBy("anchor").agg(F.sum("n").alias(f"n{k}"))
+            total = total.join(past, "anchor", "left").withColumn("n", F.col("n") + F.coalesce(f"n{k}", F.lit(0))).drop(f"n{k}")
+        repeated = total.where("n > 1").select("anchor", F.ceil(F.col("n") / group).cast("int").alias("groups"))
+        found = None
+        for name in [new, *old]:
+            part = self.spark.table(name).join(repeated, "anchor").select("key", F.struct("anchor", "groups").alias("hit"))
+            found = part if found is None else found.unionByName(part)
+        # Sets, so that repeated rows of one document do not multiply.
+        hits = found.groupBy("key").agg(F.collect_set("hit").alias("hits"))
+        rows = rows.withColumn("gen", F.lit(1))
+        if old:
+            past = self.spark.read.parquet(f"{self.folder}/texts").select("id", "print", "key", "text") if earlier is None else _documents(earlier, doc_id, text)
+            rows = rows.unionByName(past.withColumn("gen", F.lit(0)))
+        packed = rows.join(hits, "key").select("gen", "id", "print", "key", "text", "hits").mapInArrow(_emit_windows, _PACKED)
+        first = materialise(_first_round(packed).where("(mask <> 0 and gen = 1) or (keep and groups > 1)"), "judged")
+        second = _second_round(first.where("keep and groups > 1"))
+        marks = first.where("mask <> 0 and gen = 1").select("id", "print", "start", "mask").unionByName(second)
+        if self.keep_texts:
+            _documents(docs, doc_id, text).write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/texts")
+        self.runs[number] = new
+        self._log()
+        return materialise(marks, "marks")
+
+    def close(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs, self.tables = {}, set()
 
-    def add(self, found: DataFrame) -> DataFrame:
-        """Adds a batch's anchors (anchor, n) as a run.
+    def drop(self) -> None:
+        self.close()
+        remove(self.spark, self.folder)
 
-        Gives rows (anchor, n): those of the batch that it or an earlier run
-        repeats, with the number of occurrences so far.
-        """
-        name = self._write(found.groupBy("anchor").agg(F.sum("n").alias("n")))
-        total = self.spark.table(name)
-        for run in self.runs:
-            old = self.spark.table(run).withColumnRenamed("n", "m")
-            total = total.join(old, "anchor", "left").select("anchor", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-        repeated = materialise(total.where("n > 1"), "repeated")
-        self.runs.append(name)
-        return repeated
 
-    def compact(self) -> None:
-        """Merges the runs into one if there are more than ``fan_in``."""
-        if len(self.runs) >= self.fan_in:
-            every = self.spark.table(self.runs[0])
-            for run in self.runs[1:]:
-                every = every.unionByName(self.spark.table(run))
-            merged = self._write(every.groupBy("anchor").agg(F.sum("n").alias("n")))
-            for run in self.runs:
-                self.spark.sql(f"DROP TABLE {run}")
-            self.runs = [merged]
+def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows (id, print, key, text) of the documents with a text.
 
-    def drop(self) -> None:
-        for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+    A document is an id and a text: null ids share one id. Documents whose keys
+    collide share their hits, which are only candidates.
+    """
+    name, mark = _named(doc_id, text)
+    rows = docs.select(name.alias("id"), mark.alias("print"), column(text).cast("string").alias("text")).where("text is not null")
+    return rows.select("id", "print", F.xxhash64("id", "print").alias("key"), "text")
 
 
-_PACKED = "anchor long, salt int, groups int, id long, print long, start int, at int, windows binary"
+_PACKED = "anchor long, salt int, groups int, gen int, id long, print long, start int, at int, windows binary"
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, print, key, text, hits): a row for each occurrence of a repeated anchor.
+    """From (gen, id, print, key, text, hits): a row for each occurrence of a repeated anchor.
 
     Groups are dealt by key, so copies under different ids spread and repeated rows
     of one document meet. Of these only the first is read where they stand together.
     """
     known, last = _WordHashes(), None
-    schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("groups", pa.int32()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("windows", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("groups", pa.int32()), ("gen", pa.int32()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("windows", pa.binary())])
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             rows = []
             for row in batch.slice(k, 256).to_pylist():
-                if (row["id"], row["print"]) == last:
+                if (row["gen"], row["id"], row["print"]) == last:
                     continue
-                last = (row["id"], row["print"])
+                last = (row["gen"], row["id"], row["print"])
                 where, hashes, digests = anchors(_words(row["text"]), known)
                 groups = {h["anchor"]: h["groups"] for h in row["hits"]}
                 edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True]))) if len(where) else np.zeros(1, np.int64)
                 names = hashes.view(np.int64)[edges[:-1]].tolist()
                 for name, a, b in zip(names, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     if (n := groups.get(name)) is not None:
-                        rows.append((name, row["key"] % n, n, row["id"], row["print"], a, int(where[a]), digests[a:b].tobytes()))
+                        rows.append((name, row["key"] % n, n, row["gen"], row["id"], row["print"], a, int(where[a]), digests[a:b].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -191,20 +275,20 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (anchor, salt, id, print, start): marks all but the first of equal windows.
+    """Over rows sorted by (anchor, salt, gen, id, print, start): marks all but the first of equal windows.
 
     Adds mask with a bit for each marked window, and keep where one is unmarked.
     """
     group, seen = None, {}
     for batch in batches:
         keep, masks = [], []
-        columns = [batch.column(c).to_pylist() for c in ("anchor", "salt", "id", "print", "start", "at", "windows")]
-        for anchor, salt, own, text, start, at, packed in zip(*columns, strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("anchor", "salt", "gen", "id", "print", "start", "at", "windows")]
+        for anchor, salt, gen, own, text, start, at, packed in zip(*columns, strict=True):
             if (anchor, salt) != group:
                 group, seen = (anchor, salt), {}
             mask, me = 0, None
             for k, digest in enumerate(memoryview(packed).cast("Q").tolist()):
-                me = (own, text, start + k)
+                me = (gen, own, text, start + k)
                 if seen.setdefault((at - start - k, digest), me) != me:
                     mask |= 1 << k
             masks.append(mask)
@@ -215,14 +299,14 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each unmarked window of judged rows."""
-    schema = pa.schema([("anchor", pa.int64()), ("offset", pa.int32()), ("digest", pa.int64()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int32())])
+    schema = pa.schema([("anchor", pa.int64()), ("offset", pa.int32()), ("digest", pa.int64()), ("gen", pa.int32()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int32())])
     for batch in batches:
         for low in range(0, batch.num_rows, 2048):
             part = batch.slice(low, 2048)
-            columns = [part.column(c).to_pylist() for c in ("anchor", "id", "print", "start", "at", "windows", "mask")]
+            columns = [part.column(c).to_pylist() for c in ("anchor", "gen", "id", "print", "start", "at", "windows", "mask")]
             rows = [
-                (anchor, at - start - k, digest, own, text, start + k)
-                for anchor, own, text, start, at, packed, mask in zip(*columns, strict=True)
+                (anchor, at - start - k, digest, gen, own, text, start + k)
+                for anchor, gen, own, text, start, at, packed, mask in zip(*columns, strict=True)
                 for k, digest in enumerate(memoryview(packed).cast("q").tolist())
                 if not mask >> k & 1
             ]
@@ -231,7 +315,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_round(packed: DataFrame) -> DataFrame:
-    dealt = packed.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "print", "start")
+    dealt = packed.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "gen", "id", "print", "start")
     return dealt.mapInArrow(_judge, _PACKED + ", mask int, keep boolean")
 
 
@@ -241,53 +325,41 @@ def _second_round(judged: DataFrame) -> DataFrame:
     Windows are keyed by what makes them equal, so an anchor with a different window
     in each text is spread, and a window has at most one document for each group.
     """
-    windows = judged.mapInArrow(_unpack, "anchor long, offset int, digest long, id long, print long, start int")
-    order = Window.partitionBy("anchor", "offset", "digest").orderBy("id", "print", "start")
+    windows = judged.mapInArrow(_unpack, "anchor long, offset int, digest long, gen int, id long, print long, start int")
+    order = Window.partitionBy("anchor", "offset", "digest").orderBy("gen", "id", "print", "start")
     # Equal ranks are repeated rows of one document, which do not mark each other.
-    return windows.withColumn("place", F.rank().over(order)).where("place > 1").select("id", "print", "start", F.lit(1).alias("mask"))
+    return windows.withColumn("place", F.rank().over(order)).where("place > 1 and gen = 1").select("id", "print", "start", F.lit(1).alias("mask"))
 
 
-def _named(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+def _named(doc_id: str, text: str) -> tuple[Column, Column]:
+    return F.coalesce(column(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(column(text).cast("string"), F.lit("")))
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, group: int = GROUP) -> DataFrame:
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, group: int = GROUP, fan_in: int = FAN_IN) -> DataFrame:
     """Rows (id, print, start, mask): windows whose words also start earlier.
 
     id is the doc_id (null ids count as the largest), print a hash of the text,
     start the first window of a run of at most 13; mask has a bit for each of them.
+    Batches are ranges of ids, added to an index one after another.
     """
     spark = docs.sparkSession
     ship(spark)
-    name, mark = _named(docs, doc_id, text)
-    rows = docs.select(name.alias("id"), mark.alias("print"), F.col(text).cast("string").alias("text")).where("text is not null")
-    # A document is an id and a text: null ids share one id. Documents whose keys collide share their hits, which are only candidates.
-    rows = rows.withColumn("key", F.xxhash64("id", "print"))
-    found = materialise(rows.select("id", "key", "text").mapInArrow(_emit_anchors, "id long, key long, anchor long, n long"), "anchors")
-
-    index = AnchorIndex(spark)
-    bounds = found.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)]).alias("cut")).first()["cut"] if batches > 1 else []
+    name, _ = _named(doc_id, text)
+    bounds = docs.agg(F.percentile_approx(name, [k / batches for k in range(1, batches)]).alias("cut")).first()["cut"] if batches > 1 else []
     bounds = sorted({b for b in bounds or []})
-    repeated = None
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = found if low is None else found.where(F.col("id") > low)
-        part = part if high is None else part.where(F.col("id") <= high)
-        new = index.add(part.select("anchor", "n"))
-        index.compact()
-        repeated = new if repeated is None else repeated.unionByName(new)
-    index.drop()
-    # Each anchor once, with its largest count: that of the last batch that has it.
-    repeated = materialise(repeated.groupBy("anchor").agg(F.ceil(F.max("n") / group).cast("int").alias("groups")), "repeated")
-
-    # Sets, so that repeated rows of one document do not multiply.
-    hits = found.select("key", "anchor").join(repeated, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "groups")).alias("hits"))
-    packed = rows.join(hits, "key").select("id", "print", "key", "text", "hits").mapInArrow(_emit_windows, _PACKED)
-    first = materialise(_first_round(packed).where("mask <> 0 or (keep and groups > 1)"), "judged")
-    second = _second_round(first.where("keep and groups > 1"))
-    return first.select("id", "print", "start", "mask").where("mask <> 0").unionByName(second)
-
-
-def _strip(at: int, spans: int, width: int):
+    index, marks = WindowIndex(spark, fan_in=fan_in, keep_texts=False), None
+    try:
+        for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+            part = docs if low is None else docs.where(name > low)
+            part = part if high is None else part.where(name <= high)
+            new = index.add(part, doc_id, text, None if low is None else docs.where(name <= low), group)
+            marks = new if marks is None else marks.unionByName(new)
+    finally:
+        index.drop()
+    return marks
+
+
+def _strip(at: int, spans: int, width: int, names: list[str]):
     """Adds (n_words, n_removed, kept) from the text column and the marked windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,12 +380,23 @@ def _strip(at: int, spans: int, width: int):
                     removed.append(len(words) - int(stay.sum()))
                     kept.append(b" ".join([w for w, ok in zip(words, stay.tolist(), strict=True) if ok]).decode())
                 new = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != spans], *new], [*[n for i, n in enumerate(part.schema.names) if i != spans], "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != spans], *new], [*[n for i, n in enumerate(part.schema.names) if i != spans], *names])
 
     return run
 
 
-def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, group: int = GROUP) -> DataFrame:
+def _stripped(docs: DataFrame, names: list[str], doc_id: str, text: str, batches: int, group: int, fan_in: int) -> DataFrame:
+    """The rows with three more columns of the given names: words, removed words, what is kept."""
+    marks = repeated_windows(docs, doc_id, text, batches, group, fan_in)
+    own_id, own_print, spans = fresh(docs, "key_id", "key_print", "key_spans")
+    found = marks.groupBy(F.col("id").alias(own_id), F.col("print").alias(own_print)).agg(F.collect_set(F.struct("start", "mask")).alias(spans))
+    name, mark = _named(doc_id, text)
+    joined = docs.join(found, (name == F.col(own_id)) & (mark == F.col(own_print)), "left").select(*map(column, docs.columns), spans)
+    added = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.StringType()), strict=True)]
+    return joined.mapInArrow(_strip(docs.columns.index(text), len(docs.columns), WINDOW, names), T.StructType([*docs.schema.fields, *added]))
+
+
+def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, group: int = GROUP, fan_in: int = FAN_IN) -> DataFrame:
     """The rows with n_words, n_removed and kept: the words not in a repeated window.
 
     A window is repeated if its word sequence also starts earlier: at a smaller
@@ -323,14 +406,9 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     and short texts keep all they have. An empty table gives no rows. Input columns
     named n_words, n_removed or kept are left out.
     """
-    marks = repeated_windows(docs, doc_id, text, batches, group)
-    spans = marks.groupBy("id", "print").agg(F.collect_set(F.struct("start", "mask")).alias("_spans"))
-    name, mark = _named(docs, doc_id, text)
-    own = docs.drop("n_words", "n_removed", "kept")
-    joined = own.withColumn("_id", name).withColumn("_print", mark)
-    joined = joined.join(spans.withColumnsRenamed({"id": "_id", "print": "_print"}), ["_id", "_print"], "left").select(*own.columns, "_spans")
-    schema = T.StructType([*own.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return joined.mapInArrow(_strip(own.columns.index(text), len(own.columns), WINDOW), schema)
+    names = ["n_words", "n_removed", "kept"]
+    own = docs.select(*[column(c) for c in docs.columns if c.lower() not in names])
+    return _stripped(own, names, doc_id, text, batches, group, fan_in)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,13 +418,23 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(docs: DataFrame) -> DataFrame:
-    """The documents with repeated passages cut out; those left without a word go."""
-    found = strip_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    """The documents with repeated passages cut out; those left without a word go.
+
+    n_chars, where there is one, follows the text; other columns, of any name, stay as
+    they are. Null and empty texts stay.
+    """
+    words, removed, kept = fresh(docs, "n_words", "n_removed", "kept")
+    found = _stripped(docs, [words, removed, kept], "doc_id", "text", BATCHES, GROUP, FAN_IN).where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
+    cut = F.col(removed) > 0
+    out = []
+    for field in docs.schema.fields:
+        own = column(field.name)
+        if field.name == "text":
+            own = F.when(cut, F.col(kept)).otherwise(own)
+        elif field.name == "n_chars":
+            own = F.when(cut, F.length(kept).cast(field.dataType)).otherwise(own)
+        out.append(own.alias(field.name))
+    return found.select(*out)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
