@@ -27,6 +27,7 @@ aggregates over written tables.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,17 +54,28 @@ _C = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _WordHashes(dict):
-    """Two independent 64-bit hashes of words, remembered up to a number of bytes."""
+    """Codes of words, with two independent 64-bit hashes each, remembered up to a number of bytes."""
 
-    held = 0
+    def __init__(self) -> None:
+        super().__init__()
+        self.held, self.first, self.second = 0, array("Q"), array("Q")
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         self.held += len(word)
+        self[word] = code = len(self.first)
+        self.first.append(xxhash.xxh64_intdigest(word, 20))
+        self.second.append(xxhash.xxh3_64_intdigest(word, 21))
+        return code
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """Of the words of one text; they hold until the next text."""
         if self.held > _REMEMBERED:
             self.clear()
-            self.held = len(word)
-        self[word] = found = (xxhash.xxh64_intdigest(word, 20), xxhash.xxh3_64_intdigest(word, 21))
-        return found
+            self.__init__()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self, codes: np.ndarray, which: int) -> np.ndarray:
+        return np.frombuffer(self.second if which else self.first, np.uint64)[codes]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,17 +102,26 @@ def _rolling(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     return _mix(total)
 
 
-def anchors(words: list[bytes], known: _WordHashes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window start: its anchor's position, the anchor's hash, the window's digest."""
+def _least(values: np.ndarray, size: int) -> np.ndarray:
+    """The place of the first least value in each run of ``size`` values, by doubling."""
+    at, have = np.arange(len(values)), 1
+    while have < size:
+        step = min(have, size - have)
+        a, b = at[:-step], at[step:]
+        at = np.where(values[b] < values[a], b, a)
+        have += step
+    return at
+
+
+def anchors(words: list[bytes], known: _WordHashes, digests: bool = True, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """For each window start: its anchor's position, the anchor's hash, the window's digest if asked for."""
     none = np.zeros(0, np.uint64)
     if len(words) < window:
         return none.astype(np.int64), none, none
-    both = np.array(list(map(known.__getitem__, words)), np.uint64)
-    grams = _rolling(both[:, 0].copy(), gram, _B)
-    inside = window - gram + 1
-    low = np.lib.stride_tricks.sliding_window_view(grams, inside).argmin(axis=1)
-    at = np.arange(len(low)) + low
-    return at, grams[at], _rolling(both[:, 1].copy(), window, _C)
+    codes = known.codes(words)
+    grams = _rolling(known.hashes(codes, 0), gram, _B)
+    at = _least(grams, window - gram + 1)
+    return at, grams[at], _rolling(known.hashes(codes, 1), window, _C) if digests else None
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -115,7 +136,7 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, batch.num_rows, 512):
             key, found, counts = [], [], []
             for k, text in enumerate(batch.column(1).slice(at, 512).to_pylist(), at):
-                where, hashes, _ = anchors(_words(text), known)
+                where, hashes, _ = anchors(_words(text), known, digests=False)
                 if len(where):
                     new = np.concatenate(([True], where[1:] != where[:-1]))
                     values, n = np.unique(hashes[new], return_counts=True)
@@ -212,7 +233,7 @@ class WindowIndex:
         if old:
             past = self.spark.read.parquet(f"{self.folder}/texts").select("id", "print", "key", "text") if earlier is None else _documents(earlier, doc_id, text)
             rows = rows.unionByName(past.withColumn("gen", F.lit(0)))
-        packed = rows.join(hits, "key").select("gen", "id", "print", "key", "text", "hits").mapInArrow(_emit_windows, _PACKED)
+        packed = rows.join(hits, "key").select("gen", "id", "print", "key", "text", "hits.anchor", "hits.groups").mapInArrow(_emit_windows, _PACKED)
         first = materialise(_first_round(packed).where("(mask <> 0 and gen = 1) or (keep and groups > 1)"), "judged")
         second = _second_round(first.where("keep and groups > 1"))
         marks = first.where("mask <> 0 and gen = 1").select("id", "print", "start", "mask").unionByName(second)
@@ -247,7 +268,7 @@ _PACKED = "anchor long, salt int, groups int, gen int, id long, print long, star
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (gen, id, print, key, text, hits): a row for each occurrence of a repeated anchor.
+    """From (gen, id, print, key, text, anchors hit, their groups): a row for each occurrence of a repeated anchor.
 
     Groups are dealt by key, so copies under different ids spread and repeated rows
     of one document meet. Of these only the first is read where they stand together.
@@ -255,25 +276,31 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     known, last = _WordHashes(), None
     schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("groups", pa.int32()), ("gen", pa.int32()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("windows", pa.binary())])
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            rows = []
-            for row in batch.slice(k, 256).to_pylist():
-                if (row["gen"], row["id"], row["print"]) == last:
+        gens, ids, prints, keys = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in range(4))
+        for low in range(0, batch.num_rows, 256):
+            rows, part = [], batch.slice(low, 256)
+            for k, text in enumerate(part.column(4).to_pylist()):
+                own = gens[low + k], ids[low + k], prints[low + k]
+                if own == last:
+                    continue
+                last = own
+                where, hashes, digests = anchors(_words(text), known)
+                if not len(where):
                     continue
-                last = (row["gen"], row["id"], row["print"])
-                where, hashes, digests = anchors(_words(row["text"]), known)
-                groups = {h["anchor"]: h["groups"] for h in row["hits"]}
-                edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True]))) if len(where) else np.zeros(1, np.int64)
-                names = hashes.view(np.int64)[edges[:-1]].tolist()
-                for name, a, b in zip(names, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    if (n := groups.get(name)) is not None:
-                        rows.append((name, row["key"] % n, n, row["gen"], row["id"], row["print"], a, int(where[a]), digests[a:b].tobytes()))
+                edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True])))
+                names = hashes.view(np.int64)[edges[:-1]]
+                hit, groups = (part.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (5, 6))
+                order = np.argsort(hit)
+                place = np.minimum(np.searchsorted(hit, names, sorter=order), len(hit) - 1)
+                dealt = order[place]
+                for e in np.flatnonzero(hit[dealt] == names).tolist():
+                    n, a, b = int(groups[dealt[e]]), int(edges[e]), int(edges[e + 1])
+                    rows.append((int(names[e]), keys[low + k] % n, n, *own, a, int(where[a]), digests[a:b].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 
-
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by (anchor, salt, gen, id, print, start): marks all but the first of equal windows.
 
