@@ -123,12 +123,17 @@ def test_decontamination(spark, docs, bench):
         try:
             out = op2.decontaminate(docs, bench)
             got = out.collect()
-            plan = op2.find_windows(docs.select(op2._key("doc_id", "text").alias("key"), "text"), bench)._jdf.queryExecution().executedPlan().toString()
+            plan = op2.find_windows(docs.select(op2._key("doc_id", "text").alias("key"), "text"), bench)[1]._jdf.queryExecution().executedPlan().toString()
+            split = docs.select(op2._key("doc_id", "text").alias("key"), op2.words(F.col("text")).alias("w"))
+            placed = op2.occurrences(split, op2.benchmark_windows(bench).select(F.col("win")[0].alias("token")), tokens)._jdf.queryExecution().executedPlan().toString()
             counted = op2.corpus_counts(docs.select(op2.words(F.col("text")).alias("w")), op2.benchmark_windows(bench))._jdf.queryExecution().executedPlan().toString()
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
             op2.find_windows.__defaults__ = whole
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
+        assert ("SortMergeJoin" in placed) == (tokens == 0)
+        if not tokens:  # what is shuffled by token: the key, places and three words
+            assert re.search(r"Project \[key#\d+, n#\d+, pos#\d+, token#\d+, w#\d+\[\(pos#\d+ - 1\)\] AS before#\d+, w#\d+\[\(pos#\d+ \+ 1\)\] AS after#\d+\]", placed)
         assert "Python" not in plan and "Generate" not in plan  # texts come back whole, once for each document
         assert re.search(r"Exchange hashpartitioning\(token[^\n]*\n[^\n]*HashAggregate\(keys=\[token[^\n]*partial_count", counted)
     assert op2.decontaminate(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
@@ -351,11 +356,18 @@ def test_failed_load_leaves_nothing(spark, docs, monkeypatch):
 
 def test_word_hashes_are_independent_and_bounded():
     known = op5._WordHashes()
-    a, b = known[b"word"]
-    assert a != b and known[b"word"] == (a, b)
+    codes = known.codes([b"word", b"other", b"word"])
+    assert codes.tolist() == [0, 1, 0] and known.hashes(codes, 0)[0] == xxhash.xxh64_intdigest(b"word", 20) != known.hashes(codes, 1)[0]
     for k in range(40):
-        known[bytes([k]) * 1_000_000]
-    assert sum(map(len, known)) <= op5._REMEMBERED
+        known.codes([bytes([k]) * 1_000_000])
+    assert sum(map(len, known)) <= op5._REMEMBERED + 1_000_000
+
+
+def test_least_of_runs():
+    rng = np.random.default_rng(0)
+    for size in (1, 2, 3, 8, 13):
+        values = rng.integers(0, 30, 200).astype(np.uint64)
+        assert op5._least(values, size).tolist() == [k + int(np.argmin(values[k : k + size])) for k in range(200 - size + 1)]
 
 
 def test_embeddings(spark):

@@ -8,9 +8,9 @@ window would start; the length and positional bounds drop starts that do not
 fit, and comparing the window-sized slice verifies containment exactly.
 
 Rarity is the number of occurrences in the whole corpus. The joined rows are
-(row key, place, token): no text travels with its words, whatever the size of the
-benchmark. The texts of documents with candidates come back once each, for the
-slices.
+(row key, place, token and its two neighbours): no text travels with its words,
+whatever the size of the benchmark. The texts of documents with candidates come
+back once each, for the slices.
 """
 
 from __future__ import annotations
@@ -66,26 +66,40 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return best.where("found = width").select("best.token", "best.offset", "width", "win", "items")
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
-    """Rows (key, at, width, items): every occurrence of a benchmark window.
+def occurrences(split: DataFrame, probes: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """Rows (key, n, pos, token, before, after): where rarest words stand in texts of n words.
+
+    Each text also has a row at pos n with an empty token. ``split`` has key and w.
+    """
+    rare = materialise(probes.select("token").union(split.sparkSession.range(1).select(F.lit(""))).distinct(), "rare")
+    rare = F.broadcast(rare) if rare.count() <= broadcast_tokens else rare
+    w = F.concat("w", F.array(F.lit("")))
+    here = split.select("key", F.size("w").alias("n"), w.alias("w")).select("key", "n", "w", F.posexplode("w").alias("pos", "token"))
+    here = here.select("key", "n", "pos", "token", F.get("w", F.col("pos") - 1).alias("before"), F.get("w", F.col("pos") + 1).alias("after"))
+    return here.join(rare, "token", "left_semi")
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_tokens: int = BROADCAST_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, n) of all texts, and rows (key, at, width, items) of every occurrence of a benchmark window.
 
     ``docs`` has columns key and text; equal keys mean equal texts. at is the
-    0-based word position.
+    0-based word position, n the number of words.
     """
     windows = materialise(benchmark_windows(benchmark, window=window), "windows")
     split = docs.select("key", words(F.col("text")).alias("w"))
     counts = materialise(corpus_counts(split, windows), "counts")
-    probes = materialise(prefixes(windows, counts), "probes")
-    rare = materialise(probes.select("token").distinct(), "rare")
-    rare = F.broadcast(rare) if rare.count() <= broadcast_tokens else rare
-    here = split.select("key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token")).join(rare, "token", "left_semi")
+    near = [F.when(F.col("offset") > 0, F.get("win", F.col("offset") - 1)).alias("left"), F.get("win", F.col("offset") + 1).alias("right")]
+    probes = materialise(prefixes(windows, counts).select("*", *near), "probes")
+    here = materialise(occurrences(split, probes, broadcast_tokens), "here")
     start = F.col("pos") - F.col("offset")
     inside = (start >= 0) & (start + F.col("width") <= F.col("n"))
-    found = here.join(probes, "token").where(inside).select("key", start.alias("at"), "width", "win", "items")
+    fits = (F.col("left").isNull() | (F.col("left") == F.col("before"))) & (F.col("right").isNull() | (F.col("right") == F.col("after")))
+    found = here.where("token <> ''").join(probes, "token").where(inside & fits).select("key", start.alias("at"), "width", "win", "items")
     candidates = materialise(found.distinct(), "candidates")
     texts = docs.join(candidates.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     slices = texts.select("key", words(F.col("text")).alias("w")).join(candidates, "key")
-    return slices.where(F.slice("w", F.col("at") + 1, F.col("width")) == F.col("win")).select("key", "at", "width", "items")
+    hits = slices.where(F.slice("w", F.col("at") + 1, F.col("width")) == F.col("win")).select("key", "at", "width", "items")
+    return here.where("token = ''").select("key", "n"), hits
 
 
 def _covered(spans: Column) -> Column:
@@ -106,19 +120,13 @@ def _key(doc_id: str, text: str) -> Column:
     return F.struct(F.coalesce(own, F.lit(0).cast("long")).alias("id"), own.isNull().alias("none"), mark.alias("print"))
 
 
-def _n_words(text: Column) -> Column:
-    """The number of words, without making them: letters of either case count as one kind."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)).cast("long")
-
-
 def _judge(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, window: int, share: int) -> DataFrame:
     """Rows (key, n_words, n_hit, items, contaminated), one per input row."""
     rows = docs.select(_key(doc_id, text).alias("key"), column(text).cast("string").alias("text"))
-    found = find_windows(rows, benchmark, window)
+    sizes, found = find_windows(rows, benchmark, window)
     hits = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "width"))).alias("spans"), F.collect_set("items").alias("lists"))
     hits = hits.select("key", _covered(F.col("spans")).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items"))
-    judged = rows.select("key", _n_words(F.col("text")).alias("n_words"))
-    judged = judged.join(hits, "key", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+    judged = sizes.select("key", F.col("n").cast("long").alias("n_words")).join(hits, "key", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
     return judged.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
     )
