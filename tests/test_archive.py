@@ -122,6 +122,68 @@ def test_stream_ingest(spark, archive, tmp_path):
     assert store.read_runs(spark, str(tmp_path / "out")).select("g").distinct().count() == 2
 
 
+def test_stream_ingest_refuses_bad_files(spark, tmp_path):
+    from tidegauge.streaming import jobs
+
+    inbox, base = tmp_path / "in", str(tmp_path)
+    inbox.mkdir()
+    text = lambda day, *more: run(f"2024-01-{day:02d}T00:00:00Z") + "".join(m + "\n" for m in more)
+    at = lambda day: (f"urn:obs:activity:2024-01-{day:02d}T00:00:00Z", f"urn:obs:run:2024-01-{day:02d}T00:00:00Z")
+    done = lambda day: line(at(day)[0], f"{NS}dormantCount", '"1"', at(day)[1])
+    (inbox / "good.nq").write_text(text(1))
+    (inbox / "line.nq").write_text(text(2, "<urn:s> broken"))
+    (inbox / "header.nq").write_text(line(at(3)[0], RDF_TYPE, f"<{PROV}Activity>", at(3)[1]) + "\n")
+    (inbox / "default.nq").write_text(text(4, line("urn:s", "urn:p", '"x"', None), done(4)))
+    (inbox / "contradiction.nq").write_text(text(5, line(at(5)[0], f"{NS}dormantEndpoint", "<http://e.org/sparql>", at(5)[1]), done(5)))
+    (inbox / "tie.nq").write_text(text(1).replace("urn:obs:run:2024-01-01", "urn:obs:run:other"))
+    (inbox / "last.nq").write_text(text(7))
+    faults = []
+    load = lambda: jobs.ingest(jobs.archive_stream(spark, str(inbox)), f"{base}/out", f"{base}/log", on_refused=lambda f: faults.extend((r.src_file.rsplit("/", 1)[1], r.fault) for r in f.collect())).awaitTermination()
+    load()
+    assert set(faults) == {
+        ("line.nq", "line"), ("header.nq", "header fragment"), ("default.nq", "default graph"), ("contradiction.nq", "contradiction"), ("tie.nq", "tie"), ("good.nq", "tie"),
+    }
+    graphs = lambda: {str(r.g)[-20:] for r in store.read_runs(spark, f"{base}/out").select("g").distinct().collect()}
+    assert graphs() == {"2024-01-07T00:00:00Z"}
+    # Later files against what is stored: dormancy of what has facts, a tie, and a run that comes again.
+    faults.clear()
+    (inbox / "rewrite.nq").write_text("\n".join([line(at(7)[0], f"{NS}dormantEndpoint", "<http://e.org/sparql>", at(7)[1]), done(7)]) + "\n")
+    (inbox / "next.nq").write_text(text(8))
+    load()
+    assert faults == [("rewrite.nq", "rewritten history")] and graphs() == {"2024-01-07T00:00:00Z", "2024-01-08T00:00:00Z"}
+    faults.clear()
+    (inbox / "tie2.nq").write_text(text(7).replace("urn:obs:run:2024-01-07", "urn:obs:run:again-07"))
+    load()
+    assert faults == [("tie2.nq", "tie")]
+    faults.clear()
+    (inbox / "again.nq").write_text(text(7).replace('"42"', '"43"'))
+    load()
+    assert faults == [] and {r.o for r in store.read_runs(spark, f"{base}/out").where(f"g like '%07T00%' and p = '{NS}elapsedMs'").collect()} == {"43"}
+
+
+def test_rebuild_refuses_ties(spark, archive):
+    (archive / "c.nq").write_text(run().replace("urn:obs:run:2024-01-01", "urn:obs:run:other"))
+    q = quads.read_quads(spark, str(archive))
+    assert current.rebuild_current(q).count() == 1  # the tie is not for the newest run
+    (archive / "d.nq").write_text(run("2024-01-02T00:00:00Z").replace("urn:obs:run:2024-01-02", "urn:obs:run:other2"))
+    with pytest.raises(ValueError):
+        current.rebuild_current(quads.read_quads(spark, str(archive)))
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from tidegauge import session
+
+    class Fake:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Fake)
+
+
 def test_store_query_checks_every_run(spark, sf, monkeypatch):
     whole = archive_queries.archive(spark, sf).select("g").distinct()
     lost = whole.where("g like 'urn:run:2024-01-2%'").agg(F.min("g")).first()[0]

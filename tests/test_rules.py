@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import text as t
 from tidegauge.functions.rotation import fnv1a, rotation_bucket
-from tidegauge.operators import current, declarations, facts, planning, profile, registry, rollup, verdicts
+from tidegauge.operators import current, declarations, facts, planning, profile, readers, registry, rollup, verdicts
 from tidegauge.plans import quad_queries
 from tidegauge.schemas import RDF_TYPE, SD, VOID
 
@@ -44,6 +44,52 @@ def test_ties_are_refused(spark):
         current.refuse_ties(r, ["endpoint"])
 
 
+def test_a_run_that_is_loaded_again_replaces_its_text(spark):
+    old = readings(spark, ("e", "m", D(1), "absent", None, 5), ("e", "m", D(2), "verified", None, 9), ("f", "m", D(2), "verified", None, 9))
+    new = readings(spark, ("e", "m", D(2), "absent", None, 1))
+    got = {r.endpoint: (r.verdict, r.elapsed_ms) for r in current.merge_current(current.current_readings(old), new).collect()}
+    assert got == {"e": ("absent", 1), "f": ("verified", 9)}
+    assert {r.endpoint: r.elapsed_ms for r in current.merge_current(current.current_readings(old), readings(spark, ("e", "m", D(1), "verified", None, 1))).collect()} == {"e": 9, "f": 9}
+
+
+INDEX = "endpoint string, own_run string, own_at int, own_emission string, own_finalised boolean, newest_run string, newest_emission string, newest_finalised boolean, measured_at int"
+STATUS = [
+    # own run unfinished only where it says how it is written
+    (("own", 5, "1", None, "own", "1", None, 5), (), (), {"unfinished"}), (("own", 5, None, None, "own", None, None, 5), (), (), set()), (("own", 5, "1", True, "own", "1", True, 5), (), (), set()),
+    # a newer run stopped before this endpoint
+    (("own", 5, "1", True, "new", "1", None, 5), (), (), {"not_reached"}), (("own", 5, "1", True, "new", None, None, 5), (), (), set()), (("own", 5, "1", True, "new", "1", None, 5), ("new",), (), set()),
+    (("own", 5, "1", True, "new", "1", None, 5), (), ("new",), {"declined_to_ask"}), (("own", 5, "1", True, None, None, None, 5), (), (), set()),
+    # a newer run finished without it
+    (("own", 5, "1", True, "new", "1", True, 5), (), (), {"newest_recorded_nothing"}), (("own", 5, "1", True, "new", None, True, 5), (), (), {"newest_recorded_nothing"}),
+    (("own", 5, "1", True, "new", "1", True, 5), ("new",), (), set()), (("own", 5, "1", True, "new", "1", True, 5), ("old",), ("old",), {"newest_recorded_nothing"}),
+    (("own", 5, "1", True, "new", "1", True, 5), (), ("new",), {"newest_recorded_nothing", "declined_to_ask"}),
+    # the own run's declaration is no second sweep; a reading older than its run
+    (("own", 5, "1", True, "own", "1", True, 5), (), ("own",), set()), (("own", 5, "1", True, "own", "1", True, 4), (), (), {"older_than_header"}), (("own", 5, "1", True, "own", "1", True, None), (), (), set()),
+]
+
+
+def test_run_status(spark):
+    rows, done, dormant = [], [], []
+    for k, (row, completed, declared, _) in enumerate(STATUS):
+        rows.append((f"e{k}", *row))
+        done += [(run, f"e{k}") for run in completed]
+        dormant += [(run, f"e{k}") for run in declared]
+    facts_of = lambda f: spark.createDataFrame(f, "run string, endpoint string")
+    got = {r.endpoint: r for r in readers.run_status(spark.createDataFrame(rows, INDEX), facts_of(done), facts_of(dormant)).collect()}
+    flags = ("unfinished", "not_reached", "newest_recorded_nothing", "declined_to_ask", "older_than_header")
+    for k, (*_, want) in enumerate(STATUS):
+        assert {f for f in flags if got[f"e{k}"][f]} == want, STATUS[k]
+
+
+def test_places_are_the_plain_order(spark):
+    rng = random.Random(4)
+    rows = [(f"http{'s' if rng.random() < 0.5 else ''}://{rng.choice('abc')}{rng.randrange(300)}.org/x{k}", rng.choice([None, *[D(d, h) for d in (1, 2, 9) for h in (0, 5)]])) for k in range(200)]
+    got = {r.url: r.place for r in planning._places(spark.createDataFrame(rows, "url string, last_probed timestamp")).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or D(1), r[0]))
+    assert got == {url: k + 1 for k, (url, _) in enumerate(order)}
+    assert planning._places(spark.createDataFrame([], "url string, last_probed timestamp")).isEmpty()
+
+
 def test_replaced_run_equals_rebuild(spark):
     old = readings(spark, ("e", "m", D(1), "absent", None, 5), ("e", "m", D(2), "verified", None, 5), ("e", "n", D(2), "absent", None, 1))
     new = old.where("run <> 'r0200' or metric = 'n'")
@@ -272,11 +318,34 @@ def test_merge_names_reads_every_event(spark, tmp_path):
 
 def test_overlap_and_sampling(spark):
     q = spark.createDataFrame([(f"s{k}", RDF_TYPE, "C", "iri", None, "g") for k in range(300)], "s string, p string, o string, o_kind string, o_datatype string, g string")
-    plan = profile.ladder(profile.typed_subjects(q), (10, 20, 30))
+    asked = spark.createDataFrame([("C", "", 504), ("C", "0", None), ("C", "00", 503)], "class string, prefix string, status int")
+    plan = profile.sampling_plan(profile.typed_subjects(q), asked)
     assert plan.first().sampling == "first-n" and profile.profile_classes(q, plan=plan).first().subjects == 200
     assert profile.dataset_counts(q).first().triples == 300
 
 
+@pytest.mark.parametrize(
+    ("start", "rungs"), [("", ["", "0", "00", None]), ("0", ["0", "00", None]), ("00", ["00", None]), ("abc", ["abc"]), (None, [None])]
+)
+def test_ladder_goes_down_from_its_start(start, rungs):
+    assert profile.ladder(start) == rungs
+
+
+def test_sampling_plan_retries_only_what_was_too_much(spark):
+    asked = [
+        ("whole", "", 200), ("sixteenth", "", 504), ("sixteenth", "0", 200), ("lost", "", None), ("lost", "0", None), ("lost", "00", 200), ("refused", "", 400), ("refused late", "", 500), ("refused late", "0", 404),
+        ("spent", "", 504), ("spent", "0", 504), ("spent", "00", 504), ("spent", None, 599), ("untried", "", 502),
+    ]
+    classes = spark.createDataFrame([(c,) for c in {a[0] for a in asked} | {"new"}], "class string")
+    attempts = spark.createDataFrame(asked, "class string, prefix string, status int")
+    got = {r["class"]: (r.prefix, r.sampling) for r in profile.sampling_plan(classes, attempts).collect()}
+    assert got == {
+        "whole": ("", "exact"), "sixteenth": ("0", "hash-prefix"), "lost": ("00", "hash-prefix"), "refused": (None, None), "refused late": (None, None), "spent": (None, None), "untried": ("0", "hash-prefix"), "new": ("", "exact"),
+    }
+    late = {r["class"]: r.prefix for r in profile.sampling_plan(classes, attempts, "00").collect()}
+    assert late["whole"] == late["lost"] == "00" and late["spent"] is None
+
+
 def test_fingerprint_depends_on_order(spark):
     m = spark.createDataFrame([(1, "a"), (2, "b")], "position int, id string")
     other = m.withColumn("position", 3 - F.col("position"))

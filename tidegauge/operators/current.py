@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.schemas import is_policy
+from tidegauge.schemas import NAMESPACE, is_policy
 
 PAIR = ["endpoint", "metric"]
 
@@ -71,9 +71,21 @@ def latest_declarations(facts: DataFrame, declarations: DataFrame) -> DataFrame:
     return current_run(facts).join(declarations.drop("run_at"), ["endpoint", "run"], "left")
 
 
+def rebuild_current(quads: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
+    """Current readings from all quads of an archive; runs that tie for newest are refused."""
+    from tidegauge.operators import facts, gates
+
+    return current_readings(refuse_ties(facts.readings(gates.cut_to_last_terminator(quads, namespace), namespace), PAIR))
+
+
 def merge_current(current: DataFrame, delta: DataFrame) -> DataFrame:
-    """Current state with new runs; the order of arrival does not matter."""
-    return current_readings(current.unionByName(delta))
+    """Current state with new runs; the order of arrival does not matter.
+
+    What a run that is loaded again says of a pair takes the place of what it said
+    before. A pair that its new text no longer states needs ``replace_current``.
+    """
+    again = delta.select(*PAIR, "run").distinct()
+    return current_readings(current.join(again, [*PAIR, "run"], "left_anti").unionByName(delta))
 
 
 def replace_current(current: DataFrame, archive: DataFrame, replaced: DataFrame) -> DataFrame:

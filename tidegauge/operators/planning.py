@@ -41,6 +41,25 @@ def _hold(now: Column) -> Column:
     )
 
 
+def _places(queue: DataFrame) -> DataFrame:
+    """The place of each url in the order of (last_probed, url), nulls first, without one sort of them all.
+
+    Counted by days (in one row), inside a day by instants and the first letters of
+    the URLs, and sorted only inside these.
+    """
+    rows = queue.withColumns({"day": F.to_date("last_probed"), "part": F.substring("url", 1, 16)})
+    parts = rows.groupBy("day", "last_probed", "part").agg(F.count("*").alias("n"))
+    days = parts.groupBy("day").agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("day", "n"))).alias("all"))
+    days = days.select("all", F.posexplode("all").alias("k", "d")).select(
+        F.col("d.day").alias("that"), F.aggregate(F.slice("all", 1, F.col("k")), F.lit(0).cast("long"), lambda total, d: total + d["n"]).alias("earlier")
+    )
+    inside = Window.partitionBy("day").orderBy(F.col("last_probed").asc_nulls_first(), "part")
+    parts = parts.withColumn("before", F.sum("n").over(inside) - F.col("n")).join(days, F.col("day").eqNullSafe(F.col("that")))
+    parts = parts.select(F.col("last_probed").alias("at"), F.col("part").alias("in"), (F.col("before") + F.col("earlier")).alias("before"))
+    placed = rows.withColumn("k", F.row_number().over(Window.partitionBy("last_probed", "part").orderBy("url")))
+    return placed.join(parts, F.col("last_probed").eqNullSafe(F.col("at")) & (F.col("part") == F.col("in"))).select("url", (F.col("k") + F.col("before")).alias("place"))
+
+
 def plan(state: DataFrame, endpoints: DataFrame, now: Column, thresholds: Thresholds = Thresholds(), full: bool = True, last_sweep: Column | None = None) -> DataFrame:
     """Each endpoint with action (probe or skip) and the reason of a skip.
 
@@ -56,9 +75,7 @@ def plan(state: DataFrame, endpoints: DataFrame, now: Column, thresholds: Thresh
     size = F.greatest(F.least(F.ceil(F.col("governed") * gap / F.lit(float(thresholds.cadence_days))), F.col("governed")), F.lit(1))
     totals = totals.select("replay", F.when(F.col("governed") > 0, size).otherwise(0).alias("slice"))
     # The slice is the due endpoints up to a place; the order is total.
-    queue = rows.where(due).select("url", "last_probed")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("last_probed").asc_nulls_first(), "url"))
-    admitted = queue.withColumn("place", place).select("url", "place")
+    admitted = _places(rows.where(due).select("url", "last_probed"))
     judged = rows.join(admitted, "url", "left").crossJoin(F.broadcast(totals))  # one row
     reason = F.when(F.col("effect") == "dormant", "operator-hold")
     if full:

@@ -10,8 +10,8 @@ from tidegauge.functions import text as t
 from tidegauge.operators.verdicts import term_state
 from tidegauge.schemas import RDF_TYPE, VOID
 
-#: Subjects of a class up to which it is profiled whole, by one and by two hex digits.
-LADDER = (200_000, 3_200_000, 51_200_000)
+#: Digest prefixes of the hash rungs; the empty one takes all subjects.
+RUNGS = ("", "0", "00")
 FIRST_N = 200
 MAX_AGE_DAYS = 30
 
@@ -20,23 +20,61 @@ def typed_subjects(quads: DataFrame, type_iri: str = RDF_TYPE) -> DataFrame:
     return quads.where(F.col("p") == type_iri).select("s", F.col("o").alias("class")).distinct()
 
 
-def ladder(subjects: DataFrame, rungs: tuple[int, ...] = LADDER) -> DataFrame:
-    """How each class is sampled, by its size: whole, by a digest prefix, or the first subjects."""
-    sizes = subjects.groupBy("class").agg(F.count("*").alias("instances"))
-    prefix = F.when(F.col("instances") <= rungs[0], "").when(F.col("instances") <= rungs[1], "0").when(F.col("instances") <= rungs[2], "00")
-    return sizes.withColumn("prefix", prefix).withColumn("sampling", F.when(F.col("prefix") == "", "exact").when(F.col("prefix").isNotNull(), "hash-prefix").otherwise("first-n"))
+def ladder(start: str | None = "") -> list[str | None]:
+    """The digest prefixes to try for a class, from ``start`` to ever smaller samples.
+
+    Empty: all subjects. None: the first subjects, the last resort. A prefix that is
+    no rung is the only one to try, and so is the last resort.
+    """
+    return [*RUNGS[RUNGS.index(start) :], None] if start in RUNGS else [start]
+
+
+def sampling_plan(classes: DataFrame, attempts: DataFrame, start: str | None = "") -> DataFrame:
+    """How each class (column class) is sampled: the first rung that was not too much for the endpoint.
+
+    ``attempts`` has class, prefix (null: first subjects) and status: the HTTP status
+    of that rung's query, null where there was no response. No response and 5xx ask
+    for a smaller sample; any other failure refuses them all (sampling null), as does
+    a ladder that failed to its end. A rung that was not tried is the next to try.
+    """
+    rungs = ladder(start)
+    number = F.lit(None).cast("int")
+    for k, prefix in enumerate(rungs):
+        number = F.when(F.col("prefix").eqNullSafe(F.lit(prefix)), k).otherwise(number)
+    tried = attempts.withColumn("k", number).where("k is not null")
+    large = F.col("status").isNull() | F.col("status").between(500, 599)
+    # At most one entry for each rung of the ladder.
+    outcomes = tried.groupBy("class").agg(
+        F.collect_set(F.when(large, F.col("k"))).alias("large"), F.collect_set(F.when(~large & ~F.col("status").between(200, 299), F.col("k"))).alias("refused")
+    )
+    rows = classes.select("class").distinct().join(outcomes, "class", "left")
+    steps = F.array(*[F.lit(k) for k in range(len(rungs))])
+    first = F.try_element_at(F.filter(steps, lambda k: ~F.array_contains(F.coalesce("large", F.array().cast("array<int>")), k)), F.lit(1))
+    rows = rows.withColumn("k", first).withColumn("k", F.when(~F.coalesce(F.array_contains("refused", F.col("k")), F.lit(False)), F.col("k")))
+    prefix, sampling = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, rung in enumerate(rungs):
+        prefix = F.when(F.col("k") == k, F.lit(rung)).otherwise(prefix)
+        sampling = F.when(F.col("k") == k, "first-n" if rung is None else "exact" if rung == "" else "hash-prefix").otherwise(sampling)
+    return rows.select("class", prefix.alias("prefix"), sampling.alias("sampling"))
+
+
+#: Parts of a class that its first subjects are looked for in.
+_PARTS = 64
 
 
 def sampled_subjects(subjects: DataFrame, plan: DataFrame, first_n: int = FIRST_N) -> DataFrame:
     """Subjects (class, s) that each class's sampling keeps.
 
-    ``first-n`` takes the least subjects: stable, but not representative.
+    ``first-n`` takes the least subjects: stable, but not representative. They are
+    the least of the least of each part, so no task sorts a whole class.
     """
     rows = subjects.join(plan.select("class", "prefix", "sampling"), "class")
     hashed = rows.where("sampling <> 'first-n'").where(F.startswith(F.sha2("s", 256), "prefix"))
-    place = F.row_number().over(Window.partitionBy("class").orderBy("s"))
-    first = rows.where("sampling = 'first-n'").withColumn("k", place).where(F.col("k") <= first_n).drop("k")
-    return hashed.unionByName(first).select("class", "s")
+    order = Window.partitionBy("class").orderBy("s")
+    first = rows.where("sampling = 'first-n'").withColumn("part", F.pmod(F.xxhash64("s"), F.lit(_PARTS)))
+    first = first.withColumn("k", F.row_number().over(Window.partitionBy("class", "part").orderBy("s"))).where(F.col("k") <= first_n)
+    first = first.withColumn("k", F.row_number().over(order)).where(F.col("k") <= first_n)
+    return hashed.select("class", "s").unionByName(first.select("class", "s"))
 
 
 def profile_classes(quads: DataFrame, type_iri: str = RDF_TYPE, plan: DataFrame | None = None) -> DataFrame:

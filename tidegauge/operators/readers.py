@@ -18,7 +18,8 @@ def index(current: DataFrame, pointers: DataFrame, runs: DataFrame) -> DataFrame
     """
     own = runs.select(F.col("run").alias("own_run"), F.col("run_at").alias("own_at"), F.col("emission").alias("own_emission"), F.col("finalised").alias("own_finalised"))
     read = runs.select(F.col("run").alias("reading_run"), F.col("run_at").alias("measured_at"))
-    newest = runs.agg(F.max(F.struct("run_at", "run", "finalised")).alias("n")).select(F.col("n.run").alias("newest_run"), F.col("n.run_at").alias("newest_at"), F.col("n.finalised").alias("newest_finalised"))
+    newest = runs.agg(F.max(F.struct("run_at", "run", "emission", "finalised")).alias("n"))
+    newest = newest.select(F.col("n.run").alias("newest_run"), F.col("n.run_at").alias("newest_at"), F.col("n.emission").alias("newest_emission"), F.col("n.finalised").alias("newest_finalised"))
     rows = current.drop("run_at").withColumnRenamed("run", "reading_run")
     joined = rows.join(pointers.select("endpoint", F.col("run").alias("own_run")), "endpoint").join(own, "own_run")
     return joined.where("own_at is not null").join(read, "reading_run", "left").crossJoin(F.broadcast(newest))  # newest is one row
@@ -29,14 +30,31 @@ def endpoint_measurements(index_rows: DataFrame, endpoint: str) -> DataFrame:
     return index_rows.where(F.col("endpoint") == endpoint)
 
 
-def run_status(index_rows: DataFrame) -> DataFrame:
-    """Five conditions of a row's run, null-safe."""
-    return index_rows.withColumns(
+def run_status(index_rows: DataFrame, completions: DataFrame, dormancy: DataFrame) -> DataFrame:
+    """What the endpoint's own run and the newest run say of a row, all null-safe.
+
+    ``completions`` and ``dormancy`` have run and endpoint: what a run finished, and
+    what it declared dormant.
+
+    * ``unfinished``: the own run says how it is written (emission) and lacks its end.
+    * ``not_reached``: a newer such run stopped before this endpoint, without having
+      declared it dormant.
+    * ``newest_recorded_nothing``: a newer run finished, but not this endpoint.
+    * ``declined_to_ask``: a newer run declared this endpoint dormant, finished or not.
+    * ``older_than_header``: the reading is older than the own run.
+    """
+    of_newest = lambda facts, flag: facts.select(F.col("run").alias("newest_run"), "endpoint").distinct().withColumn(flag, F.lit(True))
+    rows = index_rows
+    for facts, flag in ((completions, "newest_completed"), (dormancy, "newest_dormant")):
+        rows = rows.join(of_newest(facts, flag), ["newest_run", "endpoint"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
+    newer = F.col("newest_run").isNotNull() & ~F.col("newest_run").eqNullSafe(F.col("own_run"))
+    return rows.withColumns(
         {
-            "unfinished": ~F.coalesce(F.col("own_finalised"), F.lit(False)),
-            "not_reached": (F.col("newest_at") > F.col("own_at")) & ~F.col("newest_run").eqNullSafe(F.col("own_run")),
-            "newest_recorded_nothing": ~F.coalesce(F.col("newest_finalised"), F.lit(False)) & ~F.col("newest_run").eqNullSafe(F.col("own_run")),
-            "declined_to_ask": F.col("kind") == "declined",
+            "unfinished": F.col("own_emission").isNotNull() & ~yes("own_finalised"),
+            "not_reached": newer & F.col("newest_emission").isNotNull() & ~yes("newest_finalised") & ~F.col("newest_completed") & ~F.col("newest_dormant"),
+            "newest_recorded_nothing": newer & yes("newest_finalised") & ~F.col("newest_completed"),
+            "declined_to_ask": newer & F.col("newest_dormant"),
             "older_than_header": F.coalesce(F.col("measured_at") < F.col("own_at"), F.lit(False)),
         }
     )

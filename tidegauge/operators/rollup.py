@@ -145,6 +145,16 @@ def changed_pairs(readings: DataFrame, whole: bool = False) -> DataFrame:
     return marked.groupBy(*PAIR).agg(F.coalesce(F.bool_or((F.col("before") != F.col("value")) & F.col("before").isNotNull()), F.lit(False)).alias("changed"))
 
 
+def _following(readings: DataFrame) -> DataFrame:
+    """The next run of the archive after each (run_at, next_at): inside its day, else the first of the next day with runs."""
+    days = readings.select("run_at").distinct().groupBy(F.to_date("run_at").alias("day")).agg(F.array_sort(F.collect_list("run_at")).alias("all"))
+    # One row: an entry for each day of the archive.
+    firsts = days.agg(F.array_sort(F.collect_list(F.struct("day", F.col("all")[0].alias("first")))).alias("days"))
+    after = firsts.select("days", F.posexplode("days").alias("k", "d")).select(F.col("d.day").alias("day"), F.get("days", F.col("k") + 1)["first"].alias("next_day"))
+    rows = days.join(after, "day").select("all", "next_day", F.posexplode("all").alias("k", "run_at"))
+    return rows.select("run_at", F.coalesce(F.get("all", F.col("k") + 1), "next_day").alias("next_at"))
+
+
 def transitions(readings: DataFrame) -> DataFrame:
     """First sightings, changes and disappearances of each pair, run by run.
 
@@ -152,11 +162,8 @@ def transitions(readings: DataFrame) -> DataFrame:
     next run of the archive. Only runs where something changed come back.
     """
     state = readings.select(*PAIR, "run_at", display_state(F.col("kind"), F.col("verdict")).alias("state"))
-    # The next run of the archive after each: runs are few, so one small window.
-    instants = readings.select("run_at").distinct()
-    following = instants.withColumn("next_at", F.lead("run_at").over(Window.partitionBy(F.lit(0)).orderBy("run_at")))
     w = Window.partitionBy(*PAIR).orderBy("run_at")
-    placed = state.join(F.broadcast(following), "run_at")
+    placed = state.join(_following(readings), "run_at")
     steps = placed.withColumns({"before": F.lag("state").over(w), "before_next": F.lag("next_at").over(w), "after_at": F.lead("run_at").over(w)})
     gap = (F.col("before_next") < F.col("run_at")) & F.col("before").isNotNull()
     from_state = F.when(gap, F.lit(NOT_MEASURED)).otherwise(F.col("before"))

@@ -128,7 +128,7 @@ def q_completions(spark, sf):
 
 def q_rebuild(spark, sf):
     """Current state from the archive's quads."""
-    c = current.current_readings(facts.readings(gates.cut_to_last_terminator(archive(spark, sf))))
+    c = current.rebuild_current(archive(spark, sf))
     return _text(c.select("endpoint", "metric", "run", "run_at", "kind", "verdict", "reason"), "run_at")
 
 
@@ -146,13 +146,13 @@ def q_void_rows(spark, sf):
 
 
 def q_store(spark, sf):
-    """All runs written, one day written again, every run checked, that day read back by graph."""
+    """All runs written, one day written again, every run checked, all read back by graph."""
     a = archive(spark, sf)
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     store.write_runs(a, path)
     store.write_runs(a.where(F.col("g").startswith("urn:run:2024-01-05")), path)
     missing = store.incomplete_graphs(a, store.read_runs(spark, path)).agg(F.count("*").alias("missing"))
-    return store.read_runs(spark, path).where("g like 'urn:run:2024-01-05%'").groupBy(F.col("g").cast("string").alias("g")).agg(F.count_if(F.col("p") == f"{NS}completedEndpoint").alias("endpoints")).crossJoin(missing)  # one row
+    return store.read_runs(spark, path).groupBy(F.col("g").cast("string").alias("g")).agg(F.count_if(F.col("p") == f"{NS}completedEndpoint").alias("endpoints")).crossJoin(missing)  # one row
 
 
 def q_pending(spark, sf):
@@ -224,10 +224,18 @@ def q_fingerprint(spark, sf):
     return verdicts.definition_fingerprint(n, ["n_name", "n_regionkey"])
 
 
+def q_enumerate(spark, sf):
+    """The first five classes that samples and profiles name, and whether there are more."""
+    a = archive(spark, sf)
+    classes = facts.class_profiles(a).select(F.lit(RDF_TYPE).alias("p"), F.concat("class", F.lit("/"), "endpoint").alias("o"))
+    found, cut = profile.enumerate_classes(classes, 5)
+    return found.withColumn("truncated", F.lit(cut))
+
+
 def q_unreached(spark, sf):
     a = archive(spark, sf)
     d = facts.declarations(a).select(F.explode("classes").alias("class"))
-    return profile.unreached_classes(d, facts.class_profiles(a).where("denominator < 20"))
+    return profile.unreached_classes(d, facts.class_profiles(a).where("denominator < 7 and denominator > 1"))
 
 
 def q_vocabulary_status(spark, sf):
@@ -384,7 +392,7 @@ SELECT 'class' AS kind, count(*) AS rows, count(DISTINCT observed_count % 7) AS
 UNION ALL SELECT 'declared-class', count(*), count(DISTINCT observed_count % 7), 0, NULL FROM a UNION ALL SELECT 'declared-property', count(*), 0, count(DISTINCT observed_count % 5), NULL FROM a
 UNION ALL SELECT 'document', count(*), 0, 0, sum(elapsed_ms) FROM b UNION ALL SELECT 'claimed', count(*), 0, 0, sum(observed_count) FROM b WHERE observed_count % 4 = 0""",
     ),
-    "s4_s5_store": (q_store, f"{READINGS_SQL} SELECT run AS g, count(DISTINCT endpoint) AS endpoints, 0 AS missing FROM readings WHERE run LIKE 'urn:run:2024-01-05%' GROUP BY 1"),
+    "s4_s5_store": (q_store, f"{READINGS_SQL} SELECT run AS g, count(DISTINCT endpoint) AS endpoints, 0 AS missing FROM readings GROUP BY 1"),
     "s3_pending": (q_pending, f"{READINGS_SQL} SELECT DISTINCT run || '.nq' AS key FROM readings WHERE run_at >= '2024-01-15' OR run LIKE '%03T04%'"),
     "s11_publish": (q_publish, f"{READINGS_SQL} SELECT metric, count(*) AS n, 1 AS reapable FROM readings WHERE extract(day FROM run_at) <= 30 GROUP BY 1"),
     "s8_registry_table": (
@@ -414,7 +422,12 @@ SELECT metric, verdict, CASE verdict WHEN 'verified' THEN 0 WHEN 'undeclared-but
 SELECT CASE WHEN d IS NULL THEN 'indeterminate' WHEN d THEN CASE WHEN endpoint LIKE '%4' THEN 'verified' ELSE 'undeclared-but-verified' END WHEN endpoint LIKE '%4' THEN 'declared-only' ELSE 'absent' END AS verdict, count(*) AS n FROM (SELECT DISTINCT endpoint FROM readings) LEFT JOIN p USING (endpoint) GROUP BY 1""",
     ),
     "j13_fingerprint": (q_fingerprint, "SELECT sha256(string_agg(n_name || chr(1) || n_regionkey, chr(3) ORDER BY n_nationkey)) AS fingerprint FROM nation"),
-    "p7_unreached": (q_unreached, f"{READINGS_SQL} SELECT DISTINCT 'urn:c:' || (observed_count % 7) AS class FROM readings WHERE {_M1} AND observed_count % 7 NOT IN (SELECT observed_count % 7 FROM readings WHERE {_M1} AND observed_count < 20)"),
+    "p7_unreached": (q_unreached, f"{READINGS_SQL} SELECT DISTINCT 'urn:c:' || (observed_count % 7) AS class FROM readings WHERE {_M1} AND observed_count % 7 NOT IN (SELECT observed_count % 7 FROM readings WHERE {_M1} AND observed_count > 1 AND observed_count < 7)"),
+    "p7_enumerated": (
+        q_enumerate,
+        f"""{READINGS_SQL}, c AS (SELECT DISTINCT 'urn:c:' || (observed_count % 7) || '/' || endpoint AS class FROM readings WHERE {_M1})
+SELECT class, (SELECT count(*) > 5 FROM c) AS truncated FROM c ORDER BY class LIMIT 5""",
+    ),
     "p13_vocabulary_status": (
         q_vocabulary_status,
         f"""{READINGS_SQL}, p AS (SELECT endpoint, count(DISTINCT observed_count % 7) AS n, bool_and(observed_count % 11 > 0) AS ex FROM readings WHERE {_M1} AND observed_count > 700 GROUP BY 1), s AS (SELECT endpoint, count(DISTINCT observed_count % 5) AS n FROM readings WHERE observed_count < 40 GROUP BY 1)

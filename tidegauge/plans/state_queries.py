@@ -73,6 +73,15 @@ def q_merge_current(spark, sf):
     return _text(merged.select("endpoint", "metric", "run", "run_at", "kind", "verdict", "reason", "elapsed_ms"), "run_at")
 
 
+def q_reloaded_run(spark, sf):
+    """A day's runs were loaded with a wrong text and are loaded again; the result must be the rebuild."""
+    r = readings(spark, sf)
+    day = F.to_date("run_at") == "2024-01-20"
+    wrong = r.withColumn("verdict", F.when(day & (F.col("kind") == "measured"), "zzz").otherwise(F.col("verdict"))).withColumn("elapsed_ms", F.when(day, F.lit(10**9)).otherwise(F.col("elapsed_ms")))
+    merged = current.merge_current(current.current_readings(wrong), r.where(day))
+    return _text(merged.select("endpoint", "metric", "run", "run_at", "kind", "verdict", "reason", "elapsed_ms"), "run_at")
+
+
 def q_check_current(spark, sf):
     r = readings(spark, sf)
     stale = current.current_readings(r.where("run_at < '2024-01-25'"))
@@ -224,9 +233,20 @@ def q_endpoint_measurements(spark, sf):
 
 
 def q_run_status(spark, sf):
-    r = readings(spark, sf)
-    rows = readers.run_status(readers.index(current.current_readings(r), current.current_run(r), _runs(r)))
-    return rows.select("endpoint", "metric", "unfinished", "not_reached", "newest_recorded_nothing", "declined_to_ask", "older_than_header")
+    """R3 over two archives: all runs (the newest lacks its end), and those that have theirs (the newest is whole).
+
+    Runs before the 3rd do not say how they are written. A run completes the
+    endpoints it measured, and declares every fifth user dormant whom it did not.
+    """
+    every, out = readings(spark, sf), None
+    for name, r in (("all", every), ("ended", every.where("hour(run_at) <> 23"))):
+        runs = _runs(r).withColumn("emission", F.when(F.dayofmonth("run_at") >= 3, "1"))
+        done = r.where("kind = 'measured'").select("run", "endpoint").distinct()
+        dormant = runs.select("run").crossJoin(F.broadcast(r.select("endpoint").distinct().where("substr(endpoint, -1) in ('0', '5')")))
+        dormant = dormant.join(r.select("run", "endpoint").distinct(), ["run", "endpoint"], "left_anti")
+        rows = readers.run_status(readers.index(current.current_readings(r), current.current_run(r), runs), done, dormant).withColumn("archive", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("archive", "endpoint", "metric", "unfinished", "not_reached", "newest_recorded_nothing", "declined_to_ask", "older_than_header")
 
 
 def q_endpoint_content(spark, sf):
@@ -293,6 +313,23 @@ pointers AS (SELECT endpoint, max(run_at) AS own_at FROM readings GROUP BY 1),
 top AS (SELECT run AS newest_run, run_at AS newest_at, finalised AS newest_finalised FROM runs ORDER BY run_at DESC LIMIT 1),
 idx AS (SELECT c.endpoint, c.metric, c.kind, c.verdict, c.reason, o.run AS own_run, o.run_at AS own_at, o.finalised AS own_finalised, c.run AS reading_run, m.run_at AS measured_at, top.*
   FROM current_readings c JOIN pointers p USING (endpoint) JOIN runs o ON o.run_at = p.own_at LEFT JOIN runs m ON m.run = c.run CROSS JOIN top)"""
+def _status_sql() -> str:
+    """One part for each archive; the newest run is the one of the latest instant."""
+    parts = []
+    for name, where in (("all", "true"), ("ended", "extract(hour FROM run_at) <> 23")):
+        parts.append(f"""SELECT '{name}' AS archive, c.endpoint, c.metric, o.day >= 3 AND NOT o.finalised AS unfinished,
+  n.run <> o.run AND n.day >= 3 AND NOT n.finalised AND NOT done AND NOT dorm AS not_reached, n.run <> o.run AND n.finalised AND NOT done AS newest_recorded_nothing,
+  n.run <> o.run AND dorm AS declined_to_ask, c.run_at < o.run_at AS older_than_header
+FROM (SELECT endpoint, metric, run_at, row_number() OVER (PARTITION BY endpoint, metric ORDER BY kind = 'measured' DESC, coalesce(reason, '') NOT IN ('cadence', 'cost-ceiling') DESC, run_at DESC) AS k FROM readings WHERE {where}) c
+JOIN (SELECT endpoint, max(run_at) AS run_at FROM readings WHERE {where} GROUP BY 1) p ON p.endpoint = c.endpoint
+JOIN rs o ON o.run_at = p.run_at JOIN rs n ON n.run_at = (SELECT max(run_at) FROM readings WHERE {where})
+JOIN (SELECT e.endpoint, bool_or(coalesce(x.kind = 'measured', false)) AS done, e.endpoint[-1] IN ('0', '5') AND count(x.run) = 0 AS dorm FROM (SELECT DISTINCT endpoint FROM readings WHERE {where}) e
+  LEFT JOIN (SELECT * FROM readings WHERE run_at = (SELECT max(run_at) FROM readings WHERE {where})) x ON x.endpoint = e.endpoint GROUP BY 1) d ON d.endpoint = c.endpoint
+WHERE c.k = 1""")
+    return f"{READINGS_SQL}, rs AS (SELECT DISTINCT run, run_at, extract(day FROM run_at) AS day, extract(hour FROM run_at) <> 23 AS finalised FROM readings) " + " UNION ALL ".join(parts)
+
+
+_STATUS_SQL = _status_sql()
 _STATE = "CASE WHEN kind = 'declined' THEN 'not-measured' ELSE verdict END"
 _STATES = "(VALUES ('verified'), ('undeclared-but-verified'), ('declared-only'), ('absent'), ('declared-but-wrong'), ('indeterminate'), ('not-measured')) s(state)"
 _MATRIX_SQL = f"""{READINGS_SQL}, {CURRENT_SQL}, cells AS (SELECT metric, {_STATE} AS state, count(*) AS cells FROM current_readings GROUP BY ALL),
@@ -335,6 +372,7 @@ d AS (SELECT endpoint, run, bool_or(verdict = 'verified') AS read, count(*) AS c
 SELECT endpoint, run, {_s("run_at")}, read, classes FROM p LEFT JOIN d USING (endpoint, run)""",
     ),
     "c9_merge_current": (q_merge_current, f"{READINGS_SQL}, {CURRENT_SQL} SELECT endpoint, metric, run, {_s('run_at')}, kind, verdict, reason, elapsed_ms FROM current_readings"),
+    "c9_reloaded_run": (q_reloaded_run, f"{READINGS_SQL}, {CURRENT_SQL} SELECT endpoint, metric, run, {_s('run_at')}, kind, verdict, reason, elapsed_ms FROM current_readings"),
     "c10_check_current": (
         q_check_current,
         f"""{READINGS_SQL}, {CURRENT_SQL}, old_readings AS (SELECT * FROM readings WHERE run_at < '2024-01-25'), stored AS ({CURRENT_SQL.removeprefix("current_readings AS (").removesuffix(")").replace("FROM readings", "FROM old_readings")})
@@ -456,8 +494,7 @@ SELECT endpoint, metric, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VA
     "r2_endpoint_measurements": (q_endpoint_measurements, f"{_INDEX_SQL} SELECT endpoint, metric, verdict, reason, own_run, reading_run FROM idx WHERE endpoint = 'urn:user:42'"),
     "r3_run_status": (
         q_run_status,
-        f"""{_INDEX_SQL} SELECT endpoint, metric, NOT own_finalised AS unfinished, newest_at > own_at AND newest_run <> own_run AS not_reached, NOT newest_finalised AND newest_run <> own_run AS newest_recorded_nothing,
-kind = 'declined' AS declined_to_ask, coalesce(measured_at < own_at, false) AS older_than_header FROM idx""",
+        _STATUS_SQL,
     ),
     "r4_endpoint_content": (q_endpoint_content, READINGS_SQL + " " + _top("run_at DESC", "observed_count > 500", "endpoint, metric, run, observed_count")),
     "r5_history": (

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import rollup
 from tidegauge.operators.planning import Thresholds
-from tidegauge.plans.adapters import FLEET_SQL, RUN_TEXT, fleet_readings, readings
+from tidegauge.plans.adapters import FLEET_SQL, READINGS_SQL, RUN_TEXT, fleet_readings, readings
+from tidegauge.plans.archive_queries import archive
 from tidegauge.plans.state_queries import _text
+from tidegauge.schemas import NAMESPACE as NS
 from tidegauge.schemas import display_state
 from tidegauge.session import shared_dir, ship
+from tidegauge.sources import quads as nq
+from tidegauge.sources import store
 from tidegauge.streaming import jobs
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -83,6 +87,29 @@ def q_current_stream(spark, sf):
     return out.join(F.broadcast(newest), F.col("gen") == F.col("g")).groupBy("kind", "verdict", "reason").agg(F.count("*").alias("n"))
 
 
+def q_ingest(spark, sf):
+    """The archive as run files, loaded with all gates; runs that contradict themselves (V4) are refused."""
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    a = archive(spark, sf)
+    lines = a.select("src_file", "line_no", nq.to_line().alias("value")).groupBy("src_file").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("all"))
+    # A file for each run, as a sweep leaves it.
+    files = lines.select(F.regexp_replace("src_file", "[^A-Za-z0-9.-]", "_").alias("name"), F.array_join(F.transform("all", lambda x: x["value"]), "\n").alias("value"))
+    files.repartition("name").write.partitionBy("name").text(f"{base}/runs")
+    faults = f"{base}/refused"
+    stream = jobs.archive_stream(spark, f"{base}/runs/*", files_per_trigger=10_000)
+    jobs.ingest(stream, f"{base}/store", f"{base}/log", on_refused=lambda f: f.write.mode("append").parquet(faults)).awaitTermination()
+    loaded = store.read_runs(spark, f"{base}/store").groupBy(F.col("g").cast("string").alias("run")).agg(F.count_if(F.col("p") == f"{NS}completedEndpoint").alias("endpoints"))
+    refused = spark.read.parquet(faults).where("fault = 'contradiction'").agg(F.count("*").alias("refused"))
+    return loaded.crossJoin(refused)  # one row
+
+
+def q_summary_gaps(spark, sf):
+    """Closed days that a stream of the first three weeks has not summarised."""
+    r = fleet_readings(spark, sf)
+    summary = _run(jobs.daily_stream(_stream(spark, r.where("run_at < '2024-01-22'"))))
+    return _text(jobs.summary_gaps(rollup.closed_days(r.where("kind = 'measured'")), summary), "day")
+
+
 def q_staleness(spark, sf):
     r = readings(spark, sf)
     out = jobs.staleness(r.select("run", "run_at").distinct(), F.lit("2024-02-01 00:00:00").cast("timestamp"))
@@ -112,6 +139,17 @@ SELECT endpoint, metric, strftime(run_at, '%Y-%m-%d %H:%M:%S') AS run_at, was, n
         q_current_stream,
         f"""{FLEET_SQL.replace("(user_id % 10)", "user_id")}, c AS (SELECT *, row_number() OVER (PARTITION BY endpoint, metric ORDER BY kind = 'measured' DESC, coalesce(reason, '') NOT IN ('cadence', 'cost-ceiling') DESC, run_at DESC) AS k FROM readings)
 SELECT kind, verdict, reason, count(*) AS n FROM c WHERE k = 1 GROUP BY ALL""",
+    ),
+    "x1_ingest": (
+        q_ingest,
+        f"""{READINGS_SQL}, bad AS (SELECT DISTINCT run FROM readings WHERE metric = 'm0' AND verdict = 'absent')
+SELECT run, count(DISTINCT endpoint) AS endpoints, (SELECT count(*) FROM bad) AS refused FROM readings WHERE run NOT IN (SELECT run FROM bad) GROUP BY 1""",
+    ),
+    "x3_summary_gaps": (
+        q_summary_gaps,
+        f"""{FLEET_SQL}, m AS (SELECT max(run_at) - INTERVAL 3 DAY AS mark FROM readings WHERE kind = 'measured' AND run_at < '2024-01-22'),
+d AS (SELECT DISTINCT CAST(run_at AS DATE) AS day FROM readings WHERE kind = 'measured'), c AS (SELECT day FROM (SELECT day, row_number() OVER (ORDER BY day DESC) AS k FROM d) WHERE k > 3)
+SELECT CAST(day AS VARCHAR) AS day FROM c, m WHERE day + INTERVAL 1 DAY > mark""",
     ),
     "x7_staleness": (q_staleness, f"{FLEET_SQL} SELECT strftime(max(run_at), '%Y-%m-%dT%H:%M:%SZ') AS newest, CAST(epoch(TIMESTAMP '2024-02-01 00:00:00' - max(run_at)) AS BIGINT) AS age_s, epoch(TIMESTAMP '2024-02-01 00:00:00' - max(run_at)) > 7200 AS stale FROM readings"),
 }

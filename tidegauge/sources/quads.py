@@ -72,13 +72,18 @@ def _term(value: Column, kind: Column, datatype: Column, lang: Column) -> Column
     return F.when(kind == "literal", literal).when(kind == "blank", value).otherwise(F.concat(F.lit("<"), value, F.lit(">")))
 
 
-def to_lines(quads: DataFrame) -> DataFrame:
-    """One N-Quads line per quad (column value), in no promised order."""
+def to_line() -> Column:
+    """The N-Quads line of a quad."""
     none = F.lit(None).cast("string")
     subject = _term(F.col("s"), F.col("s_kind"), none, none)
     obj = _term(F.col("o"), F.col("o_kind"), F.col("o_datatype"), F.col("o_lang"))
     graph = F.when(F.col("g").isNotNull(), F.concat(F.lit(" <"), F.col("g"), F.lit(">"))).otherwise("")
-    return quads.select(F.concat(subject, F.lit(" <"), F.col("p"), F.lit("> "), obj, graph, F.lit(" .")).alias("value"))
+    return F.concat(subject, F.lit(" <"), F.col("p"), F.lit("> "), obj, graph, F.lit(" ."))
+
+
+def to_lines(quads: DataFrame) -> DataFrame:
+    """One N-Quads line per quad (column value), in no promised order."""
+    return quads.select(to_line().alias("value"))
 
 
 def to_nquads(readings: DataFrame, namespace: str = NAMESPACE) -> DataFrame:

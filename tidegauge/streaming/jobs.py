@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.window import Window
 
 from tidegauge.operators import current as cur
 from tidegauge.operators import facts, gates
 from tidegauge.operators.planning import Thresholds
 from tidegauge.schemas import NAMESPACE
+from tidegauge.session import exists, materialise, release
 from tidegauge.sources.quads import parse_lines
-from tidegauge.sources.store import write_runs
+from tidegauge.sources.store import read_runs, write_runs
 
 
 def archive_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -28,16 +28,49 @@ def archive_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
     return files.select(F.regexp_replace(F.col("_metadata.file_path"), "\\.gz$", "").alias("src_file"), "value")
 
 
+def load_faults(quads: DataFrame, stored: DataFrame | None, namespace: str = NAMESPACE) -> DataFrame:
+    """Rows (src_file, fault) of run files that must not be loaded.
+
+    Lines that do not parse; V2 fragments of a header; V3 wrong graphs; V4 a graph
+    that contradicts itself; V5 dormancy of what a stored graph has facts of; V6 a
+    run at the instant of another run. Only what stands before the last terminator
+    counts, but for lines that do not parse and graphs.
+    """
+    good = quads.where("bad is null")
+    kept = gates.cut_to_last_terminator(good, namespace)
+    graphs = kept.select("g", "src_file").distinct()
+    of_graph = lambda found, fault: found.select("g").distinct().join(graphs, "g").select("src_file", F.lit(fault).alias("fault"))
+    runs = facts.runs(kept, namespace).select("run", "run_at")
+    instants, others = runs.unionByName(facts.runs(stored, namespace).select("run", "run_at")) if stored is not None else runs, F.min("run") != F.max("run")
+    tied = instants.groupBy("run_at").agg(others.alias("tied")).where("tied").join(runs, "run_at").select(F.col("run").alias("g"))
+    found = [
+        quads.where("bad is not null").select("src_file", F.lit("line").alias("fault")), gates.cuts(good, namespace).where("refused").select("src_file", F.lit("header fragment").alias("fault")),
+        gates.graph_faults(good, namespace).select("src_file", "fault"), of_graph(gates.contradictions(kept, namespace), "contradiction"), of_graph(tied, "tie"),
+    ]
+    if stored is not None:
+        found.append(of_graph(gates.rewrites(kept, stored, namespace), "rewritten history"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def ingest(stream: DataFrame, store: str, checkpoint: str, namespace: str = NAMESPACE, on_refused: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Validates each micro-batch, writes its graphs, and leaves violations to a callback."""
+    """Validates each micro-batch and writes the graphs of its sound files; a stored graph is replaced whole.
+
+    A batch is parsed once. ``on_refused`` gets the violations (src_file, fault).
+    """
 
     def load(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
         lines = batch.select("src_file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
-        quads = parse_lines(lines.select("src_file", (F.col("n") + 1).cast("long").alias("line_no"), "value"))
-        bad = quads.where("bad is not null").select("src_file").union(gates.graph_faults(quads.where("bad is null"), namespace).select("src_file")).distinct()
+        quads = materialise(parse_lines(lines.select("src_file", (F.col("n") + 1).cast("long").alias("line_no"), "value")), "incoming")
+        refused = materialise(load_faults(quads, read_runs(spark, store) if exists(spark, store) else None, namespace), "refused")
         if on_refused:
-            on_refused(bad)
-        write_runs(gates.cut_to_last_terminator(quads.where("bad is null").join(bad, "src_file", "left_anti"), namespace), store)
+            on_refused(refused)
+        write_runs(gates.cut_to_last_terminator(quads.where("bad is null").join(refused.select("src_file").distinct(), "src_file", "left_anti"), namespace), store)
+        release(quads)
+        release(refused)
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -125,15 +158,19 @@ def transition_stream(readings: DataFrame) -> DataFrame:
 def current_stream(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keeps current state up to date: each batch is merged with what is stored.
 
-    The merge does not depend on the order of arrival. Each batch writes a new
-    generation and the next reads the newest.
+    The merge does not depend on the order of arrival; a run that comes again
+    replaces what it said of a pair. Two runs that are both newest stop the job.
+    Each batch writes a new generation and the next reads the newest.
     """
     spark = readings.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = cur.current_readings(batch)
         if number:
-            new = cur.merge_current(spark.read.schema(new.schema).parquet(f"{path}/gen={number - 1:09d}"), new)
+            stored = spark.read.schema(batch.schema).parquet(f"{path}/gen={number - 1:09d}")
+            cur.refuse_ties(stored.unionByName(batch), cur.PAIR)
+            new = cur.merge_current(stored, batch)
+        else:
+            new = cur.current_readings(cur.refuse_ties(batch, cur.PAIR))
         new.write.mode("overwrite").parquet(f"{path}/gen={number:09d}")
 
     return readings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -148,12 +185,3 @@ def staleness(runs: DataFrame, now, hours: int = 2) -> DataFrame:  # noqa: ANN00
 def summary_gaps(closed: DataFrame, summary: DataFrame) -> DataFrame:
     """Closed days that the stream has not summarised."""
     return closed.select("day").join(summary.select("day").distinct(), "day", "left_anti")
-
-
-def numbered_runs(readings: DataFrame) -> DataFrame:
-    """Runs with their place in time, for replays in order; the run list is small."""
-    return readings.select("run", "run_at").distinct().withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("run_at", "run")))
-
-
-def facts_of(quads: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
-    return facts.readings(quads, namespace)
