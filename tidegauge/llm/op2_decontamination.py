@@ -29,6 +29,9 @@ SHARE = 20
 #: Distinct rarest words that are broadcast (some 100 bytes each) to thin out the words of the
 #: corpus; beyond that the words are shuffled for the same join.
 BROADCAST_TOKENS = 500_000
+#: Documents with candidates whose keys (some 100 bytes each) are broadcast to fetch their texts;
+#: beyond that all texts are shuffled once.
+BROADCAST_KEYS = 1_000_000
 
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,7 +99,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, br
     fits = (F.col("left").isNull() | (F.col("left") == F.col("before"))) & (F.col("right").isNull() | (F.col("right") == F.col("after")))
     found = here.where("token <> ''").join(probes, "token").where(inside & fits).select("key", start.alias("at"), "width", "win", "items")
     candidates = materialise(found.distinct(), "candidates")
-    texts = docs.join(candidates.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    keys = materialise(candidates.select("key").distinct(), "keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    texts = docs.join(keys, "key", "left_semi").dropDuplicates(["key"])
     slices = texts.select("key", words(F.col("text")).alias("w")).join(candidates, "key")
     hits = slices.where(F.slice("w", F.col("at") + 1, F.col("width")) == F.col("win")).select("key", "at", "width", "items")
     return here.where("token = ''").select("key", "n"), hits
@@ -163,6 +168,8 @@ def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     (bad,) = fresh(docs, "bad")
     found = _judge(docs, benchmark, "doc_id", "text", WINDOW, SHARE).where("contaminated").select(F.col("key").alias(bad)).distinct()
+    found = materialise(found, "contaminated")
+    found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
     return docs.join(found, _key("doc_id", "text") == F.col(bad), "left_anti")
 
 
