@@ -23,6 +23,7 @@ from tidegauge.llm import op8_html as op8
 from tidegauge.llm import op9_sharding as op9
 from tidegauge.llm import op10_token_counts as op10
 from tidegauge.llm.components import connected_components
+from tidegauge.llm.selection import threshold
 from tidegauge.llm.transducer import Lexicon, compile_lexicon
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -515,13 +516,58 @@ def test_quality(spark, docs):
     assert len(odd) == len(ROWS) and not any(r.selected for r in odd if r.doc_id in (4, 5))
 
 
+def test_quality_against_brute_force(spark):
+    """Weights and selection of a table by plain loops over dictionaries."""
+    rows = [(k, None if k == 7 else "" if k == 8 else _text(k, 30 + k) + (" Gut! %%% ###" * (k % 5)), "x") for k in range(60)] + [(None, _text(3, 40), "x")]
+    marks = {k: (int(k % 3 != 0), int(k % 11 == 0)) for k in range(0, 60, 2)}
+    table = spark.createDataFrame(rows, "doc_id long, text string, log_weight string")
+    labels = spark.createDataFrame([(k, *v) for k, v in marks.items()], "doc_id long, quality int, toxic int")
+    m64, odd, even = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(t, 5) for t in re.findall(r"\w+|[^\w\s]+", text or "")]
+        return [("w", (x * even & m64) >> 46) for x in h] + [("p", ((a * odd + b) * even & m64) >> 54) for a, b in zip(h, h[1:], strict=False)]
+
+    def fold(name, text):
+        return xxhash.xxh64_intdigest(str(name) if name is not None else text or "", 77) & 1
+
+    raw, target = {}, ({}, {})
+    for i, t, _ in rows:
+        for g in grams(t):
+            raw[g] = raw.get(g, 0) + 1
+            if marks.get(i) == (1, 0):
+                target[fold(i, t)][g] = target[fold(i, t)].get(g, 0) + 1
+    share = {(f, kind): sum(n for g, n in target[f].items() if g[0] == kind) / sum(n for g, n in raw.items() if g[0] == kind) for f in (0, 1) for kind in "wp"}
+    weights = []
+    for i, t, _ in rows:
+        f, total = 1 - fold(i, t), 0.0
+        for g in grams(t):
+            ratio = np.log((target[f].get(g, 0) + op1.PRIOR) / (raw[g] * share[f, g[0]] + op1.PRIOR))
+            total += np.sign(ratio) * max(abs(ratio) - op1.DEAD, 0)
+        weights.append((i, len(grams(t)), total, total - np.log(-np.log((xxhash.xxh64_intdigest(str(i) if i is not None else t or "", 9) + 0.5) / 2.0**64))))
+    k = round(len(rows) * sum(v == (1, 0) for v in marks.values()) / len(marks))
+    chosen = {i for i, *_ in sorted((w for w in weights if w[1]), key=lambda w: -w[3])[:k]}
+    got = {r.doc_id: r for r in op1.resample(table, labels).collect()}
+    assert len(got) == len(rows)
+    for i, n, weight, noisy in weights:
+        assert got[i].n_grams == n and abs(got[i].log_weight - weight) < 1e-3 and abs(got[i].noisy - noisy) < 1e-3
+    assert {i for i, r in got.items() if r.selected} == chosen
+
+
+def test_threshold_of_large_keys(spark):
+    keys = [(1 << 62) - k * k for k in range(500)] + [-(1 << 61)] * 3
+    df = spark.createDataFrame([(k,) for k in keys], "q long")
+    for k in (1, 2, 250, 499, 501):
+        assert threshold(df, k, bins=16) == sorted(keys, reverse=True)[k - 1]
+
+
 def test_token_counts(docs):
     pieces = set(op10.vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
 
     def greedy(word):
         n = 0
         while word:
-            size = next(k for k in range(min(len(word), 80), 0, -1) if k == 1 or word[:k] in pieces)
+            size = next(k for k in range(min(len(word), longest), 0, -1) if k == 1 or word[:k] in pieces)
             word, n = word[size:], n + 1
         return n
 
@@ -529,8 +575,7 @@ def test_token_counts(docs):
     for r in op10.count_tokens(docs).collect():
         words = next(_split(t) for i, t in ROWS if i == r.doc_id)
         assert r.n_words == len(words)
-        if longest <= 80 or all(len(set(w)) > 1 for w in words):
-            assert r.n_tokens == sum(greedy(b" " + w) for w in words)
+        assert r.n_tokens == sum(greedy(b" " + w) for w in words)
 
 
 def test_empty_tables(docs, bench):

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from tidegauge.session import ship, table
 
 PARTS = ("keys", "targets", "fails", "pops")
-BLOCK, REMEMBERED = 256, 150_000
+#: Texts handled at once, and bytes of words remembered by a worker.
+BLOCK, REMEMBERED = 256, 24 << 20
 #: Words longer than this are walked one by one.
 LONG = 256
 
@@ -82,6 +83,7 @@ class Counter:
     def __init__(self, arrays: dict[str, np.ndarray]) -> None:
         self.keys, self.targets, self.fails, self.pops = (arrays[p] for p in PARTS)
         self.known: dict[bytes, int] = {}
+        self.held = 0
         self.edges: dict[int, int] | None = None
 
     def counts(self, words: list[bytes]) -> list[int]:
@@ -134,10 +136,12 @@ class Counter:
     def block(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(words, pieces) of each text."""
         split = [t.encode().split() if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         new = list({w for s in split for w in s}.difference(self.known))
         self.known.update(zip(new, self.counts([b" " + w for w in new]), strict=True))
+        self.held += 96 * len(new) + sum(map(len, new))
         look = self.known.__getitem__
         return [(len(s), sum(map(look, s))) for s in split]
 

@@ -37,13 +37,18 @@ PRIOR, DEAD = 3.0, 0.4
 _WORDS, _PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
 _SIZE = _WORDS + _PAIRS
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_REMEMBERED = 150_000
+#: Bytes of tokens that a worker remembers the hashes of.
+_REMEMBERED = 16 << 20
 
 
 class _TokenHashes(dict):
+    held = 0
+
     def __missing__(self, token: str) -> int:
-        if len(self) > _REMEMBERED:
+        self.held += 64 + len(token)
+        if self.held > _REMEMBERED:
             self.clear()
+            self.held = 64 + len(token)
         self[token] = found = xxhash.xxh64_intdigest(token, 5)
         return found
 
@@ -65,21 +70,24 @@ def fold(name: object, text: str | None) -> int:
     return xxhash.xxh64_intdigest(str(name) if name is not None else text or "", 77) & 1
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, _SIZE), np.int64)
-    for batch in batches:
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py()
-            np.add.at(total[fold(name, text)], features(text), 1)
-    folds, some = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(folds), pa.array(some), pa.array(total[folds, some])], ["fold", "bucket", "n"])
+def _count(folds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((folds, _SIZE), np.int64)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                np.add.at(total[fold(name, text) % folds], features(text), 1)
+        parts, some = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(some), pa.array(total[parts, some])], ["fold", "bucket", "n"])
+
+    return run
 
 
-def bucket_counts(texts: DataFrame) -> np.ndarray:
-    """Occurrences of every bucket in each fold of a frame (id, text); a fixed-size array."""
-    rows = texts.mapInArrow(_count, "fold long, bucket long, n long").groupBy("fold", "bucket").agg(F.sum("n").alias("n"))
+def bucket_counts(texts: DataFrame, folds: int) -> np.ndarray:
+    """Occurrences of every bucket in each fold (one or two) of a frame (id, text); a fixed-size array."""
+    rows = texts.mapInArrow(_count(folds), "fold long, bucket long, n long").groupBy("fold", "bucket").agg(F.sum("n").alias("n"))
     found = rows.toPandas()
-    total = np.zeros((2, _SIZE))
+    total = np.zeros((folds, _SIZE))
     total[found["fold"], found["bucket"]] = found["n"]
     return total
 
@@ -140,7 +148,7 @@ def resample(
     target = known.where("good").where(near).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"))
     chosen = docs.join(F.broadcast(target), F.col(doc_id) == F.col("_id"), "left_semi")
     pair = [F.col(doc_id).cast("long"), F.col(text).cast("string")]
-    target_counts, raw_counts = bucket_counts(chosen.select(*pair)), bucket_counts(docs.select(*pair)).sum(axis=0)
+    target_counts, raw_counts = bucket_counts(chosen.select(*pair), 2), bucket_counts(docs.select(*pair), 1)[0]
     ratio = np.stack([log_ratio(part, raw_counts) for part in target_counts])
     scored = materialise(score(docs, ratio, doc_id, text), "scored")
     # 2^-20 is the resolution at which keys count as tied.

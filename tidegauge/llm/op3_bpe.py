@@ -31,8 +31,8 @@ from tidegauge.session import materialise, ship, table
 
 #: Words in the lexicon: the bound of what comes to the driver.
 LEXICON_WORDS = 120_000
-#: Texts handled at once, and words remembered by a worker.
-BLOCK, REMEMBERED = 256, 250_000
+#: Texts handled at once, and bytes of words and ids remembered by a worker.
+BLOCK, REMEMBERED = 256, 48 << 20
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACE = "\\t-\\r \\x85\\xa0"
 
@@ -63,7 +63,7 @@ class WordBpe:
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.symbols = _byte_symbols()
-        self.lexicon, self.known = lexicon, {}
+        self.lexicon, self.known, self.held = lexicon, {}, 0
 
     def words(self, text: str) -> list[str]:
         """The normalised pieces of a text without special tokens."""
@@ -128,12 +128,14 @@ class WordBpe:
     def encode_block(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self.segments(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         new = list(set().union(*pieces).difference(self.known))
         found = self.lexicon.lookup(new) if self.lexicon else [None] * len(new)
         for word, ids in zip(new, found, strict=True):
-            self.known[word] = ids if ids is not None else b"".join(i.to_bytes(4, "little") for i in self.merge(word))
+            self.known[word] = ids = ids if ids is not None else b"".join(i.to_bytes(4, "little") for i in self.merge(word))
+            self.held += 128 + len(word) + len(ids)
         look = self.known.__getitem__
         return [b"".join(map(look, p)) for p in pieces]
 
@@ -167,7 +169,7 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LE
     spark = docs.sparkSession
     pieces = docs.select(F.explode(F.split(F.lower(F.col(text)), "[^\\p{L}]+")).alias("word")).where("word <> '' and length(word) <= 64")
     # A hash decides between words of one count, so about ``size`` words pass the threshold.
-    rank = F.shiftleft(F.col("n"), 24).bitwiseOR(F.xxhash64("word").bitwiseAND((1 << 24) - 1))
+    rank = F.shiftleft(F.least("n", F.lit((1 << 38) - 1)), 24).bitwiseOR(F.xxhash64("word").bitwiseAND((1 << 24) - 1))
     counts = materialise(pieces.groupBy("word").agg(F.count("*").alias("n")).select("word", rank.alias("q")), "words")
     cut = threshold(counts.select("q"), size)
     top = counts if cut is None else counts.where(F.col("q") >= cut)

@@ -33,8 +33,9 @@ SAMPLE = 800
 #: Windows that go through the network at once.
 BATCH = 64
 UNKNOWN = "und"
-#: The pipeline keeps a text if one language has more than this share of it.
-MIN_SHARE = 0.5
+#: The pipeline keeps a text if one language has more than this share of it; a text
+#: in one language with long passages in others is still of a known language.
+MIN_SHARE = 0.4
 #: Bytes of text that a worker cuts into windows at once (a longer text is taken alone).
 CHUNK = 1 << 22
 

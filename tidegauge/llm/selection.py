@@ -15,7 +15,7 @@ def threshold(keys: DataFrame, k: int, bins: int = 4096) -> int | None:
     need = k
     while low < high:
         width = -(-(high - low + 1) // bins)
-        part = keys.where(F.col("q").between(low, high)).groupBy(((F.col("q") - low) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+        part = keys.where(F.col("q").between(low, high)).groupBy(F.expr(f"(q - ({low})) div {width}L").alias("bin")).agg(F.count("*").alias("n"))
         for row in sorted(part.collect(), key=lambda r: -r["bin"]):
             if row["n"] >= need:
                 low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width - 1)
