@@ -266,6 +266,18 @@ def test_prefixes_are_distinct(spark):
     assert len(set(got.values())) == 5 and got["http://xmlns.com/foaf/0.1/"] == "foaf" and got["http://z.org/foaf#"] == "foaf2" and got["http://a.org/onto#"] == "onto"
 
 
+def test_prefixes_move_on(spark):
+    """Numbered names that meet other stems, against the fold one namespace at a time."""
+    rng = random.Random(7)
+    rows = [(f"http://h{k}.org/{rng.choice(['onto', 'onto2', 'onto22', 'Onto3', 'x9', 'x', 'foaf'])}#", rng.randint(1, 9)) for k in range(60)] + [("http://xmlns.com/foaf/0.1/", 3)]
+    got = {r.namespace: r.prefix for r in t.allocate_prefixes(spark.createDataFrame(rows, "namespace string, n int"), [F.desc("n"), F.col("namespace")]).collect()}
+    want = {"http://xmlns.com/foaf/0.1/": "foaf"}
+    for namespace, _ in sorted(rows[:-1], key=lambda r: (-r[1], r[0])):
+        stem = namespace.rstrip("#").rsplit("/", 1)[-1].lower()
+        want[namespace] = next(p for p in itertools.chain([stem], (f"{stem}{i}" for i in itertools.count(2))) if p not in set(want.values()))
+    assert got == want
+
+
 def test_merge_names_fold(spark):
     rows = [("u", 1, None, "d1", 7), ("u", 2, "T", None, None), ("u", 3, "S", "d3", 9)]
     got = registry.merge_names(spark.createDataFrame(rows, "url string, position int, title string, domain string, datasets long")).first()

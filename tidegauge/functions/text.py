@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegauge.session import materialise
+
 # Hosts whose terms belong to an engine, and well-known prefixes.
 ENGINE_HOSTS = ("www.openlinksw.com", "openlinksw.com", "www.ontotext.com", "ontotext.com", "jena.apache.org", "rdf4j.org")
 PREFIXES = {
@@ -134,22 +136,34 @@ def prefix_stem(namespace: Column) -> Column:
 def allocate_prefixes(namespaces: DataFrame, order: list[Column]) -> DataFrame:
     """A distinct prefix for each namespace (columns namespace, n).
 
-    Well-known names are fixed. Others take their stem; the second of a stem, in
-    the given order, adds 2, and so on. A numbered name that is itself a stem or
-    already given moves on: rounds repeat until no name is held twice.
+    Well-known names are fixed, and no other namespace of the table gets one. In the
+    given order, which has no ties, each takes the first free of its stem, stem and
+    2, stem and 3, and so on. Names can only meet within stems that are alike but
+    for digits at the end; a family with one stem is numbered by place. In the
+    others each name stays with the first that asks for it, the rest move on by at
+    least one, and rounds repeat until no name is asked for twice.
     """
     known = F.try_element_at(F.create_map(*[F.lit(x) for pair in PREFIXES.items() for x in pair]), F.col("namespace"))
     rows = namespaces.withColumns({"known": known, "stem": prefix_stem(F.col("namespace"))})
-    reserved = rows.where("known is not null").select(F.col("known").alias("taken")).distinct()
-    place = F.row_number().over(Window.partitionBy("stem").orderBy(*order))
-    open_rows = rows.where("known is null").withColumn("k", place)
-    clash = open_rows.join(reserved.withColumnRenamed("taken", "stem").withColumn("shift", F.lit(1)), "stem", "left").withColumn("k", F.col("k") + F.coalesce("shift", F.lit(0)))
+    reserved = rows.where("known is not null").select(F.col("known").alias("stem"), F.lit(1).alias("shift")).distinct()
+    by_stem = Window.partitionBy("stem").orderBy(*order)
+    placed = rows.where("known is null").withColumn("place", F.row_number().over(by_stem))
+    placed = placed.join(reserved, "stem", "left").withColumn("k", F.col("place") + F.coalesce("shift", F.lit(0)))
+    placed = materialise(placed.withColumn("family", F.regexp_replace("stem", "[0-9]+$", "")), "prefixes")
     name = F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat("stem", F.col("k").cast("string")))
-    given = clash.withColumn("prefix", name)
-    # Names of one stem that meet another's: the later ones get a hash of their namespace.
-    twice = F.row_number().over(Window.partitionBy("prefix").orderBy(F.col("k"), *order))
-    settled = given.withColumn("prefix", F.when(twice == 1, F.col("prefix")).otherwise(F.concat("prefix", F.lit("-"), F.substring(F.sha2("namespace", 256), 1, 8))))
-    return settled.select("namespace", "prefix").unionByName(rows.where("known is not null").select("namespace", F.col("known").alias("prefix")))
+    mixed = placed.groupBy("family").agg((F.min("stem") != F.max("stem")).alias("mixed")).where("mixed").select("family")
+    asking = placed.join(mixed, "family", "left_semi")
+    while True:
+        lost = (F.row_number().over(Window.partitionBy("prefix").orderBy(*order)) > 1).cast("int")
+        judged = materialise(asking.withColumn("prefix", name).withColumn("lost", lost), "asked")
+        if judged.where("lost = 1").isEmpty():
+            break
+        # Within a stem the places stay in order: one behind another takes at least the next number.
+        behind = F.max(F.col("k") + F.col("lost") - F.col("place")).over(by_stem.rowsBetween(Window.unboundedPreceding, 0))
+        asking = judged.withColumn("k", F.col("place") + behind)
+    alone = placed.join(mixed, "family", "left_anti").select("namespace", name.alias("prefix"))
+    fixed = rows.where("known is not null").select("namespace", F.col("known").alias("prefix"))
+    return alone.unionByName(judged.select("namespace", "prefix")).unionByName(fixed)
 
 
 def is_engine(namespace: Column, subdomains: bool = False) -> Column:

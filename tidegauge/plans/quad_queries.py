@@ -178,6 +178,25 @@ def q_merge_names(spark, sf):
     return registry.merge_names(rows)
 
 
+def q_dump_digests(spark, sf):
+    """Pages as dump files; every third claim is wrong."""
+    p = table(spark, sf, "pages").withColumn("path", F.concat(F.lit("dump"), "page_id"))
+    files = p.select("path", F.coalesce("html", F.lit("")).alias("content"))
+    claims = p.select("path", F.sha2(F.when(F.col("page_id") % 3 > 0, F.coalesce("html", F.lit(""))).otherwise(F.col("url")), 256).alias("sha256"))
+    return registry.dump_digests(files, claims)
+
+
+def q_last_namespace(spark, sf):
+    return table(spark, sf, "pages").select("page_id", t.namespace_at_last(F.col("url")).alias("namespace"))
+
+
+def q_document_triples(spark, sf):
+    """The triples of two documents, by predicate."""
+    q = quads(spark, sf)
+    graphs = q.where("g like '%:nation' or g like '%:supplier'").select(F.col("g").alias("graph"))
+    return facts.document_triples(q, graphs).groupBy("g", "p").agg(F.count("*").alias("n"))
+
+
 def q_aliases(spark, sf):
     r = readings(spark, sf)
     names = r.select("endpoint").distinct().where(F.col("endpoint").rlike("[05]$")).select(F.col("endpoint").alias("url"), F.concat(F.lit("urn:main:"), F.right("endpoint", F.lit(1))).alias("preferred"))
@@ -494,7 +513,15 @@ e AS (SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(a, '([^
 SELECT url, CASE WHEN count(DISTINCT page_id % 11) = 1 THEN 'Set ' || arg_min(page_id % 11, page_id) END AS title, CASE WHEN count(DISTINCT page_id % 11) > 1 THEN count(DISTINCT page_id % 11) END AS datasets, 'dom' || (min(page_id) FILTER (WHERE page_id % 3 > 0) % 4) AS domain FROM e GROUP BY 1""",
     ),
     "g9_host_groups": (q_host_groups, f"{_DIRTY_SQL} SELECT CASE WHEN host_key = '' THEN low ELSE host_key END AS host, count(DISTINCT url) AS endpoints, CAST(sum(page_id % 100) AS BIGINT) AS serial_ms FROM keyed GROUP BY 1"),
-    "g5_merge_names": (q_merge_names, None),
+    "g5_merge_names": (
+        q_merge_names,
+        """WITH e AS (SELECT 'urn:user:' || user_id AS url, list(struct_pack(title := CASE WHEN event_id % 5 = 0 THEN 'T' || event_id END, domain := CASE WHEN event_id % 4 = 1 THEN 'D' || event_id END, datasets := CASE WHEN event_id % 3 = 2 THEN event_id END) ORDER BY event_id) AS entries FROM events GROUP BY 1),
+f AS (SELECT url, list_reduce(entries, lambda a, b: struct_pack(title := coalesce(a.title, b.title), domain := coalesce(a.domain, b.domain), datasets := CASE WHEN a.title IS NULL AND b.title IS NOT NULL THEN b.datasets WHEN a.title IS NOT NULL AND b.title IS NULL THEN a.datasets ELSE coalesce(a.datasets, b.datasets) END)) AS m FROM e)
+SELECT url, m.title AS title, m.domain AS domain, m.datasets AS datasets FROM f""",
+    ),
+    "g10_dump_digests": (q_dump_digests, "SELECT 'dump' || page_id AS path, CASE WHEN page_id % 3 > 0 THEN sha256(coalesce(html, '')) ELSE sha256(url) END AS sha256, sha256(coalesce(html, '')) AS found FROM pages WHERE page_id % 3 = 0 AND coalesce(html, '') <> url"),
+    "t2_last_namespace": (q_last_namespace, "SELECT page_id, regexp_extract(url, '^(.*[#/])?', 0) AS namespace FROM pages"),
+    "f10_document_triples": (q_document_triples, f"{QUADS_SQL} SELECT g, p, count(*) AS n FROM quads WHERE g IN ('urn:g:nation', 'urn:g:supplier') GROUP BY 1, 2"),
     "g6_aliases": (q_aliases, f"{READINGS_SQL} SELECT CASE WHEN regexp_matches(endpoint, '[05]$') THEN 'urn:main:' || right(endpoint, 1) ELSE endpoint END AS endpoint, count(*) AS n FROM readings GROUP BY 1"),
     "g8_alive": (q_alive, f"{READINGS_SQL} SELECT DISTINCT endpoint AS url FROM readings WHERE metric = 'm2' AND verdict IN ('verified', 'undeclared-but-verified') AND regexp_matches(endpoint, '[5-9]$')"),
     "t20_display_name": (
@@ -583,7 +610,11 @@ q AS (SELECT g.*, row_number() OVER (PARTITION BY due ORDER BY ago DESC NULLS FI
 r AS (SELECT CASE WHEN effect = 'dormant' THEN 'operator-hold' WHEN effect = 'awake' OR NOT dormant OR (due AND place <= slice) THEN NULL ELSE 'automatic' END AS reason FROM q, n)
 SELECT CASE WHEN reason IS NULL THEN 'probe' ELSE 'skip' END AS action, reason, count(*) AS n FROM r GROUP BY 1, 2""",
     ),
-    "t11_rotation": (q_rotation, None),
+    "t11_rotation": (
+        q_rotation,
+        f"""{READINGS_SQL} SELECT DISTINCT endpoint, CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(endpoint, ''), lambda c: ord(c)::UHUGEINT)),
+lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) % 7 AS BIGINT) AS bucket FROM readings""",
+    ),
     "s7_registry_dump": (
         q_registry_dump,
         "SELECT 'set' || (page_id % 50) AS dataset, url, 'T set' || (page_id % 50) AS title, 'set' || (page_id % 50) || '#' || lpad(CAST(row_number() OVER (PARTITION BY page_id % 50 ORDER BY url) - 1 AS VARCHAR), 6, '0') AS position FROM pages",
