@@ -27,8 +27,8 @@ def test_against_sql(name, spark, sf):
     assert sorted(map(repr, cursor.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
 
 
-def test_ten_operators_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in registry.queries()} == set(range(1, 11))
+def test_operators_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in registry.queries()} == set(range(1, 14))
 
 
 def test_pipeline(spark, sf, tmp_path):
