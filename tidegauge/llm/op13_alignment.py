@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidegauge.llm.batches import blocks
 from tidegauge.llm.columns import column
 from tidegauge.llm.op3_bpe import _HIGH, _SPACE, _byte_symbols, _ranges
 from tidegauge.llm.selection import threshold
 from tidegauge.session import materialise, ship, table
 
-#: Texts handled at once, their characters, and bytes of words remembered by a worker.
-BLOCK, BLOCK_CHARS, REMEMBERED = 256, 2 << 20, 48 << 20
+#: Bytes of words remembered by a worker.
+REMEMBERED = 48 << 20
 #: Id pairs sent to all tasks; links with others are shuffled.
 HEAD_PAIRS = 500_000
 #: Groups with more links than this are counted by distinct ids of either side.
@@ -227,19 +228,6 @@ def _worker(byte_level: str, pieces: str) -> Coders:
     return _coders[byte_level, pieces]
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of at most BLOCK texts and about BLOCK_CHARS characters; a longer text stands alone."""
-    start = held = 0
-    for k, text in enumerate(texts):
-        size = len(text or "")
-        if k > start and (k - start == BLOCK or held + size > BLOCK_CHARS):
-            yield start, k
-            start, held = k, 0
-        held += size
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
 
@@ -266,7 +254,7 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
         coders = _worker(*names)
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for low, high in _blocks(texts):
+            for low, high in blocks(texts):
                 found, part = align_block(coders, texts[low:high]), batch.slice(low, high - low)
                 sizes = np.bincount(found["keys"] >> 2 * ID_BITS, minlength=high - low)
                 digests = [hashlib.sha256(g).hexdigest() if g else "" for g in found["groups"]]

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op1_quality", "op2_decontamination", "op3_bpe", "op4_language", "op5_substrings", "op6_embeddings", "op7_simhash", "op8_html", "op9_sharding", "op10_token_counts", "op13_alignment")
+MODULES = ("op1_quality", "op2_decontamination", "op3_bpe", "op4_language", "op5_substrings", "op6_embeddings", "op7_simhash", "op8_html", "op9_sharding", "op10_token_counts", "op11_mixing", "op12_phrases", "op13_alignment")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
