@@ -7,10 +7,14 @@ a setting that is already there.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +44,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of an application on one machine that names none, by application id.
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
     Only a session on one machine may do without that setting (tests, a laptop): a
-    temporary folder is made then. On a cluster its absence is an error, since no
-    one else could read what an executor wrote there.
+    temporary folder is made then, which goes when the process ends. On a cluster its
+    absence is an error, since no one else could read what an executor wrote there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            folder = tempfile.mkdtemp(prefix="spark-shared-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own_folders[app] = "file://" + folder
+        found = _own_folders[app]
     return found.rstrip("/")
 
 
@@ -62,17 +74,37 @@ def _folder(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+#: What is written within each ``scratch`` block that is open, innermost last.
+_scratches: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what ``materialise`` wrote within it.
+
+    A result that reads such frames must be written or collected inside the block.
+    """
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            remove(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back.
 
     Cuts the lineage in a way that outlives a lost executor. What is written goes
-    with ``release``, or when the application ends.
+    with ``release``, at the end of a ``scratch`` block, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     files, place = _folder(spark, path)
     files.deleteOnExit(place)
+    if _scratches:
+        _scratches[-1].append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_at = path
     return back
@@ -95,6 +127,13 @@ def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder and all in it."""
     files, place = _folder(spark, path)
     files.delete(place, True)
+    files.cancelDeleteOnExit(place)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder removed when the application ends."""
+    files, place = _folder(spark, path)
+    files.deleteOnExit(place)
 
 
 _shipped: set[str] = set()
