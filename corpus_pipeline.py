@@ -17,7 +17,7 @@ from tidegauge.llm.op3_bpe import digests, encode
 from tidegauge.llm.op4_language import language_stage
 from tidegauge.llm.op5_substrings import substring_stage
 from tidegauge.llm.op7_simhash import near_duplicates_stage
-from tidegauge.session import shared_dir, table
+from tidegauge.session import remove, remove_at_end, scratch, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table.
+
+    A stage's intermediate frames go when it is written, its output when the next
+    stage is, and the last output when the application ends.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        remove_at_end(spark, path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
