@@ -355,6 +355,63 @@ def test_failed_load_leaves_nothing(spark, docs, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("windows_")]
 
 
+def test_a_batch_added_again_after_a_failure_counts_once(spark, tmp_path, monkeypatch):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first, second = frame([(1, _text(5, 60))]), frame([(2, f"{_text(6, 30)} {PASSAGE}"), (3, f"{PASSAGE} {_text(7, 30)}")])
+    with op5.WindowIndex(spark, f"file://{tmp_path}/clean", buckets=3) as index:
+        index.add(first)
+        want = _marked(index.add(second))
+        state = index.made, sorted(index.runs), index.batches
+    assert {k[0] for k in want} == {3}
+    for step in ("materialise", "_log"):
+        folder = f"file://{tmp_path}/{step}"
+        with op5.WindowIndex(spark, folder, buckets=3) as index:
+            index.add(first)
+            with monkeypatch.context() as broken:
+                if step == "_log":  # when all but the log is written
+                    broken.setattr(op5.WindowIndex, "_log", lambda *_: 1 / 0)
+                else:
+                    broken.setattr(op5, "materialise", lambda *_: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    index.add(second)
+            assert _marked(index.add(second)) == want
+            assert (index.made, sorted(index.runs), index.batches) == state
+        with op5.WindowIndex(spark, folder) as index:  # and in a later session
+            assert index.batches == state[2]
+            assert {k[0] for k in _marked(index.add(frame([(9, PASSAGE)])))} == {9}
+
+
+def test_the_query_compacts_runs(spark, docs, monkeypatch):
+    runs = []
+    monkeypatch.setattr(op5.WindowIndex, "compact", lambda self, own=op5.WindowIndex.compact: (runs.append(sorted(self.runs)), own(self)))
+    many = spark.createDataFrame([(k, f"{_text(k % 9, 30)} {PASSAGE}") for k in range(40)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in op5.strip_repeats(many).collect()}
+    assert runs == [[0, 1]]
+    assert got == {r.doc_id: r.n_removed for r in op5.strip_repeats(many, batches=1).collect()}
+
+
+def test_index_in_a_process_whose_workers_lack_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    script = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from tidegauge.llm.op5_substrings import WindowIndex
+from tidegauge.session import get_session
+spark = get_session(cores=2, partitions=2)
+with WindowIndex(spark) as index:
+    index.add(spark.createDataFrame([(1, "a b c " * 30)], "doc_id long, text string"))
+    print("RUNS", len(index.runs))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "RUNS 1" in done.stdout, done.stderr[-2000:]
+
+
 def test_word_hashes_are_independent_and_bounded():
     known = op5._WordHashes()
     codes = known.codes([b"word", b"other", b"word"])

@@ -42,8 +42,11 @@ from tidegauge.llm.columns import column, fresh
 from tidegauge.session import exists, materialise, remove, shared_dir, ship, table
 
 WINDOW, GRAM = 20, 8
-#: Batches that the query loads one after another, and historical runs up to which none is compacted.
-BATCHES, FAN_IN = 2, 4
+#: Historical runs up to which none is compacted.
+FAN_IN = 4
+#: Where the query cuts the documents, by id, into the batches that it loads one after another. The
+#: first two are small, since a batch reads again what stands before it; the third compacts their runs.
+BATCHES, QUERY_FAN_IN = (0.125, 0.25), 1
 #: Occurrences of an anchor that go to one group.
 GROUP = 2000
 NO_ID = (1 << 63) - 1
@@ -150,21 +153,25 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class WindowIndex:
     """Sorted immutable runs of window anchors in a folder, to which batches of documents are added.
 
-    ``folder`` holds the runs (run-*), their list (log, one version each change) and,
-    with ``keep_texts``, the documents (texts). Opening the folder of an earlier
-    session continues it; its number of buckets then holds. ``close`` takes the
-    session's table names back, ``drop`` the files as well.
+    ``folder`` holds the runs (run-*), with ``keep_texts`` the documents of each batch
+    (texts-*), and the log, one version each change, which names the runs and batches
+    that count. A batch that fails leaves nothing the log names; when it is added again
+    it takes the place of what it left. Opening the folder of an earlier session
+    continues it; its number of buckets then holds. ``close`` takes the session's table
+    names back, ``drop`` the files as well.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, fan_in: int = FAN_IN, keep_texts: bool = True) -> None:
+        ship(spark)
         self.spark, self.fan_in, self.keep_texts = spark, fan_in, keep_texts
         self.folder = folder or f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.prefix, self.runs, self.made, self.version = f"windows_{uuid.uuid4().hex}", {}, 0, -1
         self.tables: set[str] = set()
+        self.batches: list[int] = []
         if folder and exists(spark, f"{folder}/log"):
             last = spark.read.parquet(f"{folder}/log").orderBy(F.desc("version")).first()
-            self.version, self.buckets, self.made = last["version"], last["buckets"], last["made"]
+            self.version, self.buckets, self.made, self.batches = last["version"], last["buckets"], last["made"], list(last["batches"])
             for number in last["runs"]:
                 name = f"{self.prefix}_{number}"
                 spark.sql(
@@ -181,17 +188,21 @@ class WindowIndex:
         self.close()
 
     def _write(self, rows: DataFrame) -> tuple[int, str]:
-        number, self.made = self.made, self.made + 1
-        name = f"{self.prefix}_{number}"
+        number, name = self.made, f"{self.prefix}_{self.made}"
         self.tables.add(name)
         dealt = rows.repartition(self.buckets, "anchor").write.mode("overwrite").bucketBy(self.buckets, "anchor").sortBy("anchor")
         dealt.option("path", f"{self.folder}/run-{number:06d}").saveAsTable(name)
         return number, name
 
-    def _log(self) -> None:
-        self.version += 1
-        row = [(self.version, self.buckets, self.made, sorted(self.runs))]
-        self.spark.createDataFrame(row, "version int, buckets int, made int, runs array<int>").write.mode("append").parquet(f"{self.folder}/log")
+    def _log(self, runs: dict[int, str], batches: list[int]) -> None:
+        """Makes a change count: from here on the index has these runs and batches."""
+        row = [(self.version + 1, self.buckets, self.made + 1, sorted(runs), batches)]
+        shape = "version int, buckets int, made int, runs array<int>, batches array<int>"
+        self.spark.createDataFrame(row, shape).coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
+        self.version, self.made, self.runs, self.batches = self.version + 1, self.made + 1, runs, batches
+
+    def _texts(self, number: int) -> str:
+        return f"{self.folder}/texts-{number:06d}"
 
     def compact(self) -> None:
         """Merges all runs into one that takes their place."""
@@ -200,8 +211,8 @@ class WindowIndex:
             for name in self.runs.values():
                 every = self.spark.table(name) if every is None else every.unionByName(self.spark.table(name))
             number, name = self._write(every)
-            old, self.runs = self.runs, {number: name}
-            self._log()
+            old = self.runs
+            self._log({number: name}, self.batches)
             for number, name in old.items():
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
                 remove(self.spark, f"{self.folder}/run-{number:06d}")
@@ -231,17 +242,17 @@ class WindowIndex:
         hits = found.groupBy("key").agg(F.collect_set("hit").alias("hits"))
         rows = rows.withColumn("gen", F.lit(1))
         if old:
-            past = self.spark.read.parquet(f"{self.folder}/texts").select("id", "print", "key", "text") if earlier is None else _documents(earlier, doc_id, text)
+            past = self.spark.read.parquet(*map(self._texts, self.batches)) if earlier is None else _documents(earlier, doc_id, text)
             rows = rows.unionByName(past.withColumn("gen", F.lit(0)))
         packed = rows.join(hits, "key").select("gen", "id", "print", "key", "text", "hits.anchor", "hits.groups").mapInArrow(_emit_windows, _PACKED)
         first = materialise(_first_round(packed).where("(mask <> 0 and gen = 1) or (keep and groups > 1)"), "judged")
         second = _second_round(first.where("keep and groups > 1"))
         marks = first.where("mask <> 0 and gen = 1").select("id", "print", "start", "mask").unionByName(second)
         if self.keep_texts:
-            _documents(docs, doc_id, text).write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/texts")
-        self.runs[number] = new
-        self._log()
-        return materialise(marks, "marks")
+            _documents(docs, doc_id, text).write.mode("overwrite").option("compression", "zstd").parquet(self._texts(number))
+        out = materialise(marks, "marks")
+        self._log(self.runs | {number: new}, [*self.batches, number])
+        return out
 
     def close(self) -> None:
         for name in self.tables:
@@ -362,17 +373,19 @@ def _named(doc_id: str, text: str) -> tuple[Column, Column]:
     return F.coalesce(column(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(column(text).cast("string"), F.lit("")))
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, group: int = GROUP, fan_in: int = FAN_IN) -> DataFrame:
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int | tuple[float, ...] = BATCHES, group: int = GROUP, fan_in: int = QUERY_FAN_IN) -> DataFrame:
     """Rows (id, print, start, mask): windows whose words also start earlier.
 
     id is the doc_id (null ids count as the largest), print a hash of the text,
     start the first window of a run of at most 13; mask has a bit for each of them.
-    Batches are ranges of ids, added to an index one after another.
+    Batches are ranges of ids, cut at the given shares (or into equal ones), added to
+    an index one after another.
     """
     spark = docs.sparkSession
     ship(spark)
     name, _ = _named(doc_id, text)
-    bounds = docs.agg(F.percentile_approx(name, [k / batches for k in range(1, batches)]).alias("cut")).first()["cut"] if batches > 1 else []
+    shares = [k / batches for k in range(1, batches)] if isinstance(batches, int) else list(batches)
+    bounds = docs.agg(F.percentile_approx(name, shares).alias("cut")).first()["cut"] if shares else []
     bounds = sorted({b for b in bounds or []})
     index, marks = WindowIndex(spark, fan_in=fan_in, keep_texts=False), None
     try:
@@ -412,7 +425,7 @@ def _strip(at: int, spans: int, width: int, names: list[str]):
     return run
 
 
-def _stripped(docs: DataFrame, names: list[str], doc_id: str, text: str, batches: int, group: int, fan_in: int) -> DataFrame:
+def _stripped(docs: DataFrame, names: list[str], doc_id: str, text: str, batches: int | tuple[float, ...], group: int, fan_in: int) -> DataFrame:
     """The rows with three more columns of the given names: words, removed words, what is kept."""
     marks = repeated_windows(docs, doc_id, text, batches, group, fan_in)
     own_id, own_print, spans = fresh(docs, "key_id", "key_print", "key_spans")
@@ -423,7 +436,7 @@ def _stripped(docs: DataFrame, names: list[str], doc_id: str, text: str, batches
     return joined.mapInArrow(_strip(docs.columns.index(text), len(docs.columns), WINDOW, names), T.StructType([*docs.schema.fields, *added]))
 
 
-def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, group: int = GROUP, fan_in: int = FAN_IN) -> DataFrame:
+def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int | tuple[float, ...] = BATCHES, group: int = GROUP, fan_in: int = QUERY_FAN_IN) -> DataFrame:
     """The rows with n_words, n_removed and kept: the words not in a repeated window.
 
     A window is repeated if its word sequence also starts earlier: at a smaller
@@ -451,7 +464,7 @@ def substring_stage(docs: DataFrame) -> DataFrame:
     they are. Null and empty texts stay.
     """
     words, removed, kept = fresh(docs, "n_words", "n_removed", "kept")
-    found = _stripped(docs, [words, removed, kept], "doc_id", "text", BATCHES, GROUP, FAN_IN).where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
+    found = _stripped(docs, [words, removed, kept], "doc_id", "text", BATCHES, GROUP, QUERY_FAN_IN).where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
     cut = F.col(removed) > 0
     out = []
     for field in docs.schema.fields:
