@@ -2,8 +2,11 @@
 
 A page is read once, from front to end, as a flat list of text blocks. Each block
 has its word count and link density, those of its neighbours, whether it is a
-heading, and what the elements around it say. A small decision tree, grown on the
-labelled pages of ``op8_pages``, keeps or drops each block.
+heading or paragraph, and what the elements around it say. A small decision tree,
+grown on the labelled pages of ``op8_pages``, keeps or drops each block.
+
+Class names are a hint only. They never count against the article itself, nor against
+an element that holds what text there is: what stands beside it is weighed first.
 
 Time is linear in the length of a page: the scanner never goes back, and a closing
 mark that is not found once is not searched for again.
@@ -19,8 +22,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tidegauge.llm.columns import column
 from tidegauge.llm.op8_pages import PAGES
 from tidegauge.session import ship, table
 
@@ -43,18 +46,27 @@ HINTS = frozenset(
     "share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
+#: Of HINTS, those of reader comments, which alone may be longer than the article.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 #: What a class says of the page as a whole, not of what it holds.
 STATES = ("has-", "no-", "with-", "is-", "without-")
+#: Words beside a hint that leave it as it is; with others it may name something else (share-story).
+NEUTRAL = frozenset(
+    "a area articles bar bottom box button buttons blocks body block container content feed footer form global group icons inner item items left link links list "
+    "main message outer panel posts primary right row secondary section site stories text title top unit wrap wrapper zone".split()
+)
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "content", "chrome")
-#: Words of a block that counts as running text.
-RUNNING = 15
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "paragraph", "content", "chrome", "alone", "rest")
+#: Words of a block that counts as running text, and of a text that a plain hint cannot hide.
+RUNNING, LONG = 15, 40
+#: Kinds of hints: none, a name among other words, a plain name; and reader comments.
+NONE, VAGUE, PLAIN = 0, 1, 2
 
 
 class Tree:
     """A binary decision tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 2) -> None:
         self.share = float(y.mean()) if len(y) else 0.0
         self.feature: int | None = None
         if depth and len(y) > 1 and 0 < self.share < 1:
@@ -94,31 +106,36 @@ _HIDDEN = re.compile(r"\shidden(?=[\s/=]|\Z)|display\s*:\s*none", re.I)
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW | SKIP}
 
 
-def _hinted(attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element's names say (main text, something else)."""
-    content = chrome = False
+def _hinted(attributes: str, inside: bool) -> tuple[bool, bool, int, bool]:
+    """What an element's names say: main text, something else by its role, a kind of hint, comments."""
+    content = role = comments = False
+    hint = NONE
     for kind, value in _NAMES.findall(attributes):
         for name in value.strip("\"'").lower().split():
             if kind.lower() == "role":
-                content, chrome = content or name in CONTENT, chrome or name in ROLES
+                content, role = content or name in CONTENT, role or name in ROLES
             elif not name.startswith(STATES):
-                words = set(re.split(r"[^a-z0-9]+", name)) & HINTS
-                chrome = chrome or bool(words - {"header"} if inside else words)
-    return content, chrome
+                words = {w for w in re.split(r"[^a-z0-9]+", name) if w}
+                if found := (words & HINTS) - ({"header"} if inside else set()):
+                    hint = max(hint, VAGUE if words - HINTS - NEUTRAL else PLAIN)
+                    comments |= bool(found & COMMENTS)
+    return content, role, hint, comments
 
 
 class _Elements:
     """The elements of a page that say something of what they hold, in the order they open."""
 
     def __init__(self) -> None:
-        self.parent, self.content, self.chrome, self.named, self.within = [-1], [False], [False], [False], [False]
+        self.parent, self.content, self.chrome, self.hint, self.comments, self.within = [-1], [False], [False], [NONE], [False], [False]
         self.words, self.running = [0], [0]
+        self.rest = 0
 
-    def open(self, parent: int, content: bool, chrome: bool, named: bool, words: int, running: int) -> int:
+    def open(self, parent: int, content: bool, chrome: bool, hint: int, comments: bool, words: int, running: int) -> int:
         self.parent.append(parent)
         self.content.append(content)
-        self.chrome.append(chrome)
-        self.named.append(named)
+        self.chrome.append(chrome or hint > NONE)
+        self.hint.append(NONE if chrome else hint)
+        self.comments.append(comments)
         self.within.append(content or self.within[parent])
         self.words.append(-words)
         self.running.append(-running)
@@ -128,32 +145,65 @@ class _Elements:
         self.words[at] += words
         self.running[at] += running
 
-    def settle(self, words: int) -> None:
-        """Frees wrappers of the text from their names, then gives children what their parents say."""
+    def _anchor(self, words: int) -> int:
+        """The article: the largest element of main text; of others' names its own does not count against it."""
         n = len(self.parent)
         inside = [False] * n
         for e in range(1, n):
-            inside[e] = self.chrome[e] or inside[self.parent[e]]
-        outside = words - sum(self.words[e] for e in range(1, n) if self.chrome[e] and not inside[self.parent[e]])
+            up = self.parent[e]
+            inside[e] = inside[up] or (self.chrome[up] and up > 0)
+        outside = words - sum(self.words[e] for e in range(1, n) if self.chrome[e] and not self.content[e] and not inside[e])
         articles = [e for e in range(1, n) if self.content[e]]
-        anchor = max((e for e in articles if not inside[e]), key=lambda e: (self.words[e], -e), default=0)
-        if not anchor:  # an article in a form or the like counts if it is most of the page
-            anchor = max((e for e in articles if self.words[e] > outside), key=lambda e: (self.words[e], -e), default=0)
-        around = self.parent[anchor] if anchor else 0
+        size = lambda e: self.words[e] * (1 if self.hint[e] == NONE else 0.25 if self.comments[e] else 0.5)
+        found = max((e for e in articles if not inside[e]), key=lambda e: (size(e), -e), default=0)
+        if not found:  # an article in a form or the like counts if it is most of the page
+            found = max((e for e in articles if self.words[e] > outside), key=lambda e: (size(e), -e), default=0)
+        return found
+
+    def settle(self, words: int) -> None:
+        """Frees the article and what holds most of the text from their names, then gives children what their parents say."""
+        n = len(self.parent)
+        children: list[list[int]] = [[] for _ in range(n)]
+        for e in range(1, n):
+            children[self.parent[e]].append(e)
+        anchor = self._anchor(words)
+        around = anchor
         while around > 0:
             self.chrome[around] = False
             around = self.parent[around]
-        if not anchor and outside < RUNNING:
-            for e in range(1, n):
-                if self.named[e] and self.running[e] >= 3 and 2 * self.words[e] > words:
-                    self.chrome[e] = False
+        scope, size = anchor, self.words[anchor] if anchor else words
+        while True:
+            top, todo = [], list(children[scope])
+            while todo:
+                e = todo.pop()
+                if self.chrome[e]:
+                    top.append(e)
+                else:
+                    todo += children[e]
+            self.rest = size - sum(self.words[e] for e in top)
+            free = [e for e in top if self._speaks(e, size, self.rest, anchor > 0)]
+            if not free:
+                break
+            for e in free:
+                self.chrome[e] = False
+            if len(free) == 1 and 2 * self.words[free[0]] > size:  # goes on in what holds the text
+                scope, size = free[0], self.words[free[0]]
         for e in range(1, n):
             self.content[e] |= self.content[self.parent[e]]
             self.chrome[e] |= self.chrome[self.parent[e]]
 
+    def _speaks(self, e: int, size: int, rest: int, within: bool) -> bool:
+        """Whether an element's text outweighs its name: nothing much stands beside it, or the name is vague."""
+        words, hint = self.words[e], self.hint[e]
+        if hint == NONE or words < (RUNNING if within or hint == VAGUE else LONG):
+            return False
+        if self.comments[e]:
+            return rest < 5
+        return rest < RUNNING or 8 * rest < words or (hint == VAGUE and words >= LONG and 4 * words >= size)
+
 
 class _Reader:
-    """One pass over a page: blocks as (text, words, linked words, heading, element, named otherwise)."""
+    """One pass over a page: blocks as (text, words, linked words, heading, paragraph, element, kind of hint or hidden)."""
 
     def __init__(self, page: str) -> None:
         self.page, self.elements, self.found = page, _Elements(), []
@@ -161,7 +211,8 @@ class _Reader:
         self.open_names: Counter = Counter()
         self.pieces: list[str] = []
         self.linked = self.words = self.running = self.hiding = self.top = 0
-        self.link = self.link_text = self.heading = self.hinted = False
+        self.link = self.link_text = self.heading = self.paragraph = False
+        self.hinted = NONE
         self.ends: dict[str, int] = {}
 
     def add(self, raw: str) -> None:
@@ -177,7 +228,8 @@ class _Reader:
         words = "".join(self.pieces).split()
         if words:
             n, linked = len(words), min(self.linked, len(words))
-            self.found.append((" ".join(words), n, linked, self.heading, self.top, self.hinted))
+            named = self.hinted == PLAIN or (self.hinted == VAGUE and n - linked < LONG)
+            self.found.append((" ".join(words), n, linked, self.heading, self.paragraph, self.top, named))
             self.words += n - linked
             self.running += n - linked >= RUNNING
         self.pieces.clear()
@@ -260,7 +312,8 @@ class _Reader:
                 self.pop()  # they hold no blocks: their end is missing
             self.close_block()
             self.heading = not ending and name in HEADING
-            self.hinted = False
+            self.paragraph = not ending and name in ("p", "pre", "blockquote", "dd")
+            self.hinted = NONE
             if ending:
                 if name in CONTAINER:
                     self.pop_to(name)
@@ -270,26 +323,35 @@ class _Reader:
 
     def block(self, name: str, attributes: str, closed: bool) -> None:
         within = self.elements.within[self.top]
-        content, chrome = _hinted(attributes, within) if attributes else (False, False)
+        content, chrome, hint, comments = _hinted(attributes, within) if attributes else (False, False, NONE, False)
         hidden = bool(attributes) and bool(_HIDDEN.search(attributes))
         if name not in CONTAINER:
-            self.hinted = chrome or hidden
+            self.hinted = PLAIN if hidden or chrome else hint
         elif not closed:
-            content, named = content or name in CONTENT, chrome or name == "form"
-            chrome |= name in CHROME and not (name == "header" and within)
+            content = content or name in CONTENT
+            chrome |= name in CHROME and name != "form" and not (name == "header" and within)
+            if name == "form" and not chrome:
+                hint = PLAIN
             element = 0
-            if content or chrome:
-                element = self.top = self.elements.open(self.top, content, chrome, named, self.words, self.running)
+            if content or chrome or hint:
+                element = self.top = self.elements.open(self.top, content, chrome, hint, comments, self.words, self.running)
             self.push(name, element, int(hidden))
 
 
 def blocks(page: str) -> list[tuple[str, np.ndarray]]:
-    """The text blocks of a page in order: (text, [words, link density, heading, content, chrome])."""
+    """The text blocks of a page in order: (text, [words, link density, heading, paragraph, content, chrome, alone, rest]).
+
+    alone: whether the page has no article; rest: its words outside links and what is chrome.
+    """
     reader = _Reader(page)
     reader.read()
     e = reader.elements
     e.settle(reader.words)
-    return [(text, np.array([n, linked / n, head, e.content[k], e.chrome[k] or hinted], np.float64)) for text, n, linked, head, k, hinted in reader.found]
+    alone = not any(e.content)
+    return [
+        (text, np.array([n, linked / n, head, paragraph, e.content[k], e.chrome[k] or named, alone, e.rest], np.float64))
+        for text, n, linked, head, paragraph, k, named in reader.found
+    ]
 
 
 def with_neighbours(own: np.ndarray) -> np.ndarray:
@@ -348,7 +410,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
                 )
 
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(body).cast("string").alias("html"))
+    rows = pages.select(column(page_id).cast("long").alias("page_id"), column(url).cast("string").alias("url"), column(body).cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

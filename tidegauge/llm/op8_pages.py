@@ -63,6 +63,23 @@ PAGES = (
     # titles of one word behind a menu
     """<nav>{a1} {a1}</nav><main><h2>¶{1}</h2><p>¶{27}<p>¶{14}</main><footer>{3}</footer>""", """<ul><li>{a1}<li>{a1}</ul><article><h1>¶{1}</h1><p>¶{19}<p>¶{70}</article>""",
     """<header>{a2}</header><article><h1>¶{1}</h1><h2>¶{8}</h2><p>¶{51}</article><div>{a1}</div><div>{1}</div><div>{a2} {a1}</div><div>{1}</div><div>{11}</div>""",
+    # short paragraphs that are links, in and out of articles; short pages of even paragraphs
+    """<article><p>¶{3}<p>¶{a4}<p>¶{2}</article>""", """<article><h1>¶{3}</h1><p>¶{6}<p>¶{a5}<p>¶{7}<p>¶{a3}<p>¶{5}</article><ul><li>{a2}<li>{a3}</ul>""", """<nav>{a1}</nav><article><p>¶{12}<p>¶{a6}<p>¶{9}</article>""",
+    """<p>¶{3}<p>¶{a4}<p>¶{2}""", """<p>¶{5}<p>¶{a5}<p>¶{6}<p>¶{4}""", """<p>¶{6}<p>¶{5}<p>¶{6}<p>¶{5}<p>¶{4}<p>¶{6}<p>¶{5}<p>¶{6}<p>¶{5}<p>¶{5}<p>¶{6}<p>¶{4}""",
+    """<h1>¶{3}</h1><p>¶{8}<p>¶{9}<p>¶{7}<p>¶{9}<ul><li>{a2}<li>{a3}<li>{a2}</ul>""", """<div>{a2} {a1} {a2}</div><h2>¶{4}</h2><p>¶{7}<p>¶{9}<p>¶{6}<div>{a2} {a1}</div>""",
+    """<p>¶{4}<p>¶{a3}<p>¶{3}""", """<p>¶{2}<p>¶{a2}<p>¶{2}""", """<article><h1>¶{1}</h1><p>¶{28}<p>¶{28}<ul><li>{a2}<li>{a2}<li>{a2}</ul></article>""",
+    """<article><h1>¶{2}</h1><p>¶{40}<p>¶{22}<ul><li>{a1}<li>{a3}<li>{a2}<li>{a2}</ul></article><footer>{2}</footer>""", """<main><h1>¶{1}</h1><p>¶{30}<ul><li>{a3}<li>{a2}<li>{a3}</ul></main>""",
+    """<nav>{a1} {a3}</nav><article><p>¶{4}<p>¶{a3}<p>¶{3}</article><footer>{6}</footer>""", """<nav>{a2} {a2}</nav><article><h1>¶{2}</h1><p>¶{2}<p>¶{a5}<p>¶{3}<p>¶{a2}</article><footer>{3}</footer>""",
+    """<nav>{a1} {a3}</nav><p>¶{4}</p><p>¶{a3}</p><p>¶{3}</p><footer>{6}</footer>""", """<nav>{a2} {a1}</nav><p>¶{2}</p><p>¶{a5}</p><p>¶{2}</p><footer>{5}</footer>""",
+    # class names that say nothing, and names that do, around equal texts
+    """<nav>{a1}</nav><main><div class=widget><h1>¶{3}</h1><p>¶{60}<p>¶{44}</div></main><footer>{4}</footer>""", """<div class=tags-page><p>¶{9}<p>¶{8}</div>""",
+    """<article class="post sponsored"><h1>¶{4}</h1><p>¶{50}<div class=sponsored><p>{24}</div><p>¶{38}</article>""", """<div class=share-story><h2>¶{5}</h2><p>¶{70}<p>¶{33}</div><div class=share>{a1} {a1}</div>""",
+    # pages of well-known kinds: question and answer, changelog, index of a manual, wiki with notes
+    """<header><a href=/>{a1}</a><form>{2}</form></header><nav>{a1} {a1} {a2}</nav><div id=content><h1>¶{9}</h1><div class=post-text><p>¶{44}<pre>¶{18}</pre><p>¶{12}</div><div class=comments-link>{a3}</div></div><div id=sidebar><h4>{2}</h4><ul><li>{a9}<li>{a8}<li>{a10}</ul></div>""",
+    """<div class=topbar>{a1} {a1}</div><div class=page><h1>¶{2}</h1><h2>¶{3}</h2><ul><li>¶{9}<li>¶{12}<li>¶{7}</ul><h2>¶{3}</h2><ul><li>¶{6}<li>¶{14}</ul></div><div class=page-nav>{a2} {a2}</div>""",
+    """<div class=related><ul><li>{a1}<li>{a1}</ul></div><main><h1>¶{2}</h1><p>¶{26}<p>¶{a3}<p>¶{31}</main><div class=sphinxsidebar><h3>{3}</h3><ul><li>{a3}<li>{a2}</ul></div><div class=footer>{9} {a1}</div>""",
+    """<article><h1>¶{2}</h1><p>¶{33} {a2} {8}<figure><figcaption>¶{7}</figcaption></figure><p>¶{48}<table><tr><td>¶{2}<td>¶{3}</table><p>¶{20}</article><div class=catlinks>{a1} {a2} {a2}</div>""",
     # one paragraph, nothing around it
+    "<p>¶{4}", "<p>¶{3} {a2}", "<p>¶{2}", "<div>¶{6}</div>",
     "<p>¶{30}", "<p>¶{5}<p>¶{9}", "<h1>¶{4}</h1><p>¶{18}", "<article><p>¶{2}</article>", "<main><p>¶{12}<p>¶{1}</main>", "<article><h1>¶{a5}</h1><p>¶{25}<p>¶{60}</article>",
 )
