@@ -26,6 +26,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,7 @@ class Coders:
         spec = json.loads(Path(byte_level).read_text(encoding="utf-8"))
         names = {i: t for t, i in spec["model"]["vocab"].items()}
         self.a_bytes = [bytes(byte[c] for c in names.get(i, "") if c in byte) for i in range(max(names) + 1)]
+        self.merges = self._merges(spec["model"], names)
         self.b_bytes = [self._piece(i) for i in range(self.b.vocab_size())]
         self.sizes = [np.array([len(t) for t in tokens], np.int64) for tokens in (self.a_bytes, self.b_bytes)]
         #: Whether merges stay between the starts of runs of spaces.
@@ -70,6 +72,15 @@ class Coders:
         self.held = 0
         self.digits = _digit_table(max(len(self.a_bytes), len(self.b_bytes)))
 
+    def _merges(self, model: dict, names: dict[int, str]) -> tiktoken.Encoding | None:
+        """The same merges by rank, where ids rise with them: much faster for single words."""
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+        if made != sorted(set(made)) or any(len(self.a_bytes[i]) != 1 for i in names.keys() - set(made) if len(names[i]) == 1):
+            return None
+        ranks = {self.a_bytes[i]: i for i in made} | {self.a_bytes[i]: i for i in names if len(names[i]) == 1}
+        return tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
@@ -89,6 +100,8 @@ class Coders:
         """Ids of words as bytes; None where the tokens' bytes are not the word's."""
         if side:
             found = self.b.encode([w[1:] for w in new], num_threads=1) if new else []
+        elif self.merges:
+            found = list(map(self.merges._encode_single_piece, new))
         else:
             found = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
         tokens = self.b_bytes if side else self.a_bytes
