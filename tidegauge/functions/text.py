@@ -90,38 +90,6 @@ def word_score(word: Column, words: Column, haystack: Column) -> Column:
     )
 
 
-#: Queries that are broadcast at once.
-BLOCK = 10_000
-
-
-def each_block(asked: DataFrame, use: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
-    """``use`` of the queries (column query) in parts of about ``block``, dealt by hash, and all results."""
-    parts = -(-asked.count() // block)
-    out = use(asked if parts <= 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == 0))
-    for k in range(1, parts):
-        out = out.unionByName(use(asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == k)))
-    return out
-
-
-def search(terms: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Ranked terms for each query of a table.
-
-    ``terms`` has iri, local, prefix; ``queries`` has query (a stated set, read
-    against all terms in blocks, each of which is broadcast). Bands: ``match`` if every word scores 2 or more, ``close``
-    if at least half score at all. place is the rank within a query.
-    """
-    own = terms.select("iri", "local", "prefix", tokens(F.col("local")).alias("words"), F.lower(F.concat_ws(" ", "local", "prefix", "iri")).alias("hay"))
-    asked = queries.select("query", F.filter(F.split(F.lower(F.trim("query")), "\\s+"), lambda w: w != "").alias("asked"))
-    rows = each_block(asked, lambda part: own.join(F.broadcast(part), F.lit(True)), block)
-    scored = rows.withColumn("scores", F.transform("asked", lambda w: word_score(w, F.col("words"), F.col("hay"))))
-    total = F.aggregate("scores", F.lit(0), lambda a, s: a + s)
-    hit = F.size(F.filter("scores", lambda s: s >= 1))
-    band = F.when(F.size("asked") == 0, "all").when(F.forall("scores", lambda s: s >= 2), "match").when(hit * 2 >= F.size("asked"), "close")
-    ranked = scored.withColumns({"band": band, "score": total}).where("band is not null")
-    order = Window.partitionBy("query").orderBy(F.col("band") == "close", F.desc("score"), F.length("local"), "local", "iri")
-    return ranked.select("query", "iri", "local", "band", "score", F.row_number().over(order).alias("place"))
-
-
 def prefix_stem(namespace: Column) -> Column:
     """A label from the last path segment or the host."""
 

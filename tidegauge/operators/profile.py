@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.functions import text as t
+from tidegauge.operators import search
 from tidegauge.operators.verdicts import term_state
 from tidegauge.schemas import RDF_TYPE, VOID
 
@@ -236,16 +237,17 @@ def facet_counts(terms: DataFrame, **choice: object) -> DataFrame:
     return out
 
 
-def autocomplete(terms: DataFrame, queries: DataFrame, top: int = 8, block: int = t.BLOCK) -> DataFrame:
+def autocomplete(terms: DataFrame, queries: DataFrame, top: int = 8) -> DataFrame:
     """Up to ``top`` terms for each query of two letters or more.
 
     Local names that start with it come first, then those that hold it, then IRIs;
-    inside a bucket by endpoints (most first), length and IRI. Queries are read
-    in blocks, each of which is broadcast.
+    inside a bucket by endpoints (most first), length and IRI. Terms are found by
+    their pieces of three characters, never one by one.
     """
-    counted = terms.groupBy("term").agg(F.count_distinct("endpoint").alias("endpoints")).withColumn("local", F.lower(t.local_name(F.col("term"))))
-    asked = queries.select("query", F.lower(F.trim("query")).alias("q")).where("length(q) >= 2")
-    rows = t.each_block(asked, lambda part: counted.join(F.broadcast(part), F.contains(F.lower("term"), F.col("q"))), block)
+    counted = terms.groupBy("term").agg(F.count_distinct("endpoint").alias("endpoints"))
+    counted = counted.select("term", "endpoints", F.lower(t.local_name(F.col("term"))).alias("local"), F.lower("term").alias("hay"))
+    asked = queries.select("query", F.lower(F.trim("query")).alias("q")).where("length(q) >= 2").distinct()
+    rows = search.containing(counted, asked.select(F.col("q").alias("needle")), "term", "hay").withColumnRenamed("needle", "q").join(asked, "q")
     bucket = F.when(F.startswith("local", "q"), 0).when(F.contains("local", "q"), 1).otherwise(2)
     order = Window.partitionBy("query").orderBy("bucket", F.desc("endpoints"), F.length("term"), "term")
     return rows.withColumn("bucket", bucket).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("query", "term", "bucket", "endpoints", "place")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import text as t
 from tidegauge.functions.rotation import rotation_bucket
-from tidegauge.operators import facts, gates, planning, profile, readers, registry, rollup, verdicts
+from tidegauge.operators import facts, gates, planning, profile, readers, registry, rollup, search, verdicts
 from tidegauge.plans.adapters import QUADS_SQL, READINGS_SQL, quads, readings
 from tidegauge.session import table
 from tidegauge.sources import quads as nq
@@ -78,7 +78,7 @@ def q_autocomplete(spark, sf):
 
 def q_search(spark, sf):
     terms = _vocabulary(spark, sf).select(F.col("term").alias("iri")).distinct().withColumns({"local": t.local_name(F.col("iri")), "prefix": F.lit("v")})
-    return t.search(terms, _asked(spark, sf))
+    return search.search(terms, _asked(spark, sf))
 
 
 def q_tokens(spark, sf):
