@@ -94,10 +94,19 @@ def test_places_are_the_plain_order(spark):
 def test_replaced_run_equals_rebuild(spark):
     old = readings(spark, ("e", "m", D(1), "absent", None, 5), ("e", "m", D(2), "verified", None, 5), ("e", "n", D(2), "absent", None, 1))
     new = old.where("run <> 'r0200' or metric = 'n'")
-    merged = current.replace_current(current.current_readings(old), new, old.where("run = 'r0200'"))
+    merged = current.advance_current(current.current_readings(old), new.where("run = 'r0200'"), spark.createDataFrame([("r0200",)], "run string"), lambda stale: new)
     assert sorted(merged.collect()) == sorted(current.current_readings(new).collect())
 
 
+def test_a_reload_that_declines_shows_the_older_measurement(spark):
+    first = readings(spark, ("e", "m", D(1), "absent", None, 5), ("e", "m", D(2), "verified", None, 5), ("e", "n", D(3), "absent", None, 5), ("f", "m", D(2), "verified", None, 1))
+    again = readings(spark, ("e", "m", D(2), None, "liveness-failed", None), ("e", "n", D(2), "absent", None, 2), ("g", "m", D(2), "absent", None, 3))
+    whole = first.where("run <> 'r0200'").unionByName(again)
+    got = current.advance_current(current.current_readings(first), again, again.select("run"), lambda stale: whole)
+    assert sorted(got.collect()) == sorted(current.current_readings(whole).collect())
+    assert got.where("endpoint = 'e' and metric = 'm'").first().run == "r0100"
+
+
 def test_pinned_and_pointers(spark):
     runs = spark.createDataFrame([("r1", "a1"), ("r2", "a2"), ("r3", "a3")], "run string, activity string")
     cur = spark.createDataFrame([("r1", "x"), ("y", "a2")], "s string, o string")

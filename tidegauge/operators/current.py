@@ -6,6 +6,8 @@ shuffle, so a key with most of the history costs one row per task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,21 +84,25 @@ def merge_current(current: DataFrame, delta: DataFrame) -> DataFrame:
     """Current state with new runs; the order of arrival does not matter.
 
     What a run that is loaded again says of a pair takes the place of what it said
-    before. A pair that its new text no longer states needs ``replace_current``.
+    before; where the old text made the state, ``advance_current`` derives it anew.
     """
     again = delta.select(*PAIR, "run").distinct()
     return current_readings(current.join(again, [*PAIR, "run"], "left_anti").unionByName(delta))
 
 
-def replace_current(current: DataFrame, archive: DataFrame, replaced: DataFrame) -> DataFrame:
-    """C9 for rewritten runs: pairs that the old or new run states are derived anew.
+def advance_current(current: DataFrame, delta: DataFrame, reloaded: DataFrame, archive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Current state with new runs, some of them (``reloaded``, column run) loaded again.
 
-    ``archive`` already holds the new text; ``replaced`` has the pairs (endpoint,
-    metric) that either version states.
+    Only pairs whose state came from a reloaded run can change otherwise than by a
+    merge: what it said before may have hidden an older run. They are derived from
+    ``archive``, which gets their keys (endpoint, metric) and gives the readings of the
+    whole history that state them, the new text in place.
     """
-    keys = replaced.select(*PAIR).distinct()
-    kept = current.join(keys, PAIR, "left_anti")
-    return kept.unionByName(current_readings(archive.join(keys, PAIR, "left_semi")))
+    again = reloaded.select("run").distinct()
+    stale = current.join(again, "run", "left_semi").select(*PAIR).distinct()
+    kept = current.join(again, "run", "left_anti")
+    merged = current_readings(kept.unionByName(delta.join(stale, PAIR, "left_anti")))
+    return merged.unionByName(current_readings(archive(stale).join(stale, PAIR, "left_semi")))
 
 
 def check_current(current: DataFrame, derived: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.operators import rollup
 from tidegauge.operators.planning import Thresholds
@@ -22,32 +24,42 @@ from tidegauge.streaming import jobs
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _stream(spark: SparkSession, rows: DataFrame, order: str = "run_at", files: int = 3) -> DataFrame:
-    """The rows as a stream of deliveries in the order of a column, one a trigger."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    key = F.unix_seconds(order) if order != "endpoint" else F.pmod(F.xxhash64(order), F.lit(1000))
-    cuts = rows.agg(F.percentile_approx(key, [k / files for k in range(1, files)]).alias("c")).first()["c"] if files > 1 else []
+def _deliveries(rows: DataFrame, order: str = "run_at", n: int = 3) -> list[DataFrame]:
+    """The rows in ``n`` parts by a column."""
+    key = F.unix_seconds(order)
+    cuts = rows.agg(F.percentile_approx(key, [k / n for k in range(1, n)]).alias("c")).first()["c"] if n > 1 else []
+    parts = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows if low is None else rows.where(key > low)
-        part = part if high is None else part.where(key <= high)
-        part.coalesce(1).write.mode("append").parquet(path)  # one delivery after another
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        parts.append(part if high is None else part.where(key <= high))
+    return parts
+
 
+def _deliver(parts: list[DataFrame], start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Delivers parts one after another to a job that goes on from its checkpoint each time."""
+    spark = parts[0].sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        start(spark.readStream.schema(parts[0].schema).parquet(path)).awaitTermination()
 
-def _run(out: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream to its end into a table of the shared folder."""
-    spark = out.sparkSession
+
+def _run(job: Callable[[DataFrame], DataFrame], parts: list[DataFrame], mode: str = "append") -> DataFrame:
+    """Runs a stream over deliveries into a table of the shared folder."""
+    spark = parts[0].sparkSession
     base = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
     ship(spark)
     was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    try:
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        out = job(stream).writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True)
         if mode == "append":
-            query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-        else:
-            write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.parquet(f"{base}/out/batch-{n:06d}")
-            query = out.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-        query.awaitTermination()
+            return out.format("parquet").option("path", f"{base}/out").start()
+        return out.foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.parquet(f"{base}/out/batch-{n:06d}")).outputMode(mode).start()
+
+    try:
+        _deliver(parts, start)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
     path = f"{base}/out" if mode == "append" else f"{base}/out/batch-*"
@@ -55,13 +67,13 @@ def _run(out: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def q_daily_stream(spark, sf):
-    return _text(_run(jobs.daily_stream(_stream(spark, fleet_readings(spark, sf)))), "day")
+    return _text(_run(jobs.daily_stream, _deliveries(fleet_readings(spark, sf))), "day")
 
 
 def q_dedupe_stream(spark, sf):
     r = readings(spark, sf)
     twice = r.unionByName(r.where("endpoint like '%3'"))
-    out = _run(jobs.dedupe_stream(_stream(spark, twice, files=1)))
+    out = _run(jobs.dedupe_stream, [twice])
     return out.groupBy("metric", "kind").agg(F.count("*").alias("n"))
 
 
@@ -69,20 +81,30 @@ def q_strikes_stream(spark, sf):
     r = fleet_readings(spark, sf).where("kind = 'measured'")
     o = rollup.sweep_outcomes(r, r, "m0").join(r.select("run", "run_at").distinct(), "run")
     o = o.select(F.col("endpoint").alias("url"), F.col("run_at").alias("at"), "cost_ms", "positive", "liveness_failed")
-    states = _run(jobs.strikes_stream(_stream(spark, o, "at"), Thresholds(strikes=2, cost_ms=20_000)), "update")
+    states = _run(lambda s: jobs.strikes_stream(s, Thresholds(strikes=2, cost_ms=20_000)), _deliveries(o, "at"), "update")
     last = states.groupBy("url").agg(F.max_by(F.struct("strikes", "last_probed"), "last_probed").alias("s"))
     return last.select("url", "s.strikes", F.date_format("s.last_probed", "yyyy-MM-dd HH:mm:ss").alias("last_probed"))
 
 
 def q_transition_stream(spark, sf):
     r = fleet_readings(spark, sf).select("endpoint", "metric", "run_at", display_state(F.col("kind"), F.col("verdict")).alias("state"))
-    return _text(_run(jobs.transition_stream(_stream(spark, r))), "run_at")
+    return _text(_run(jobs.transition_stream, _deliveries(r)), "run_at")
 
 
 def q_current_stream(spark, sf):
+    """Late runs, and a day's runs that came with another text first; the result must be the rebuild.
+
+    The first text of the day had measured what it really declined, under an endpoint more.
+    """
+    r = readings(spark, sf)
+    day, extra = F.to_date("run_at") == "2024-01-20", F.lit(None).cast("string")
+    wrong = r.where(day).withColumns({"kind": F.lit("measured"), "verdict": F.lit("absent"), "reason": extra})
+    wrong = wrong.unionByName(wrong.withColumn("endpoint", F.concat("endpoint", F.lit("-gone"))))
+    late = F.to_date("run_at") < "2024-01-10"
     base = f"{shared_dir(spark)}/current-{uuid.uuid4().hex}"
-    jobs.current_stream(_stream(spark, readings(spark, sf), "endpoint"), base, f"{base}-log").awaitTermination()
-    out = spark.read.option("basePath", base).parquet(base)
+    parts = [r.where(~day & ~late).unionByName(wrong), r.where(day), r.where(late)]
+    _deliver(parts, lambda stream: jobs.current_stream(stream, base, f"{base}-log"))
+    out = spark.read.option("basePath", base).parquet(f"{base}/gen=*")
     newest = out.agg(F.max("gen").alias("g"))
     return out.join(F.broadcast(newest), F.col("gen") == F.col("g")).groupBy("kind", "verdict", "reason").agg(F.count("*").alias("n"))
 
@@ -106,7 +128,7 @@ def q_ingest(spark, sf):
 def q_summary_gaps(spark, sf):
     """Closed days that a stream of the first three weeks has not summarised."""
     r = fleet_readings(spark, sf)
-    summary = _run(jobs.daily_stream(_stream(spark, r.where("run_at < '2024-01-22'"))))
+    summary = _run(jobs.daily_stream, _deliveries(r.where("run_at < '2024-01-22'")))
     return _text(jobs.summary_gaps(rollup.closed_days(r.where("kind = 'measured'")), summary), "day")
 
 

@@ -123,6 +123,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def children(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Names in a folder that begin with ``prefix``; none where there is no such folder."""
+    files, place = _folder(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(place) if s.getPath().getName().startswith(prefix)] if files.exists(place) else []
+
+
+def modified_at(spark: SparkSession, path: str) -> float:
+    """When a file was last changed, in seconds since 1970."""
+    files, place = _folder(spark, path)
+    return files.getFileStatus(place).getModificationTime() / 1000
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder and all in it."""
     files, place = _folder(spark, path)

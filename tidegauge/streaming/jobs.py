@@ -13,9 +13,9 @@ from tidegauge.operators import current as cur
 from tidegauge.operators import facts, gates
 from tidegauge.operators.planning import Thresholds
 from tidegauge.schemas import NAMESPACE
-from tidegauge.session import exists, materialise, release
-from tidegauge.sources.quads import parse_lines
-from tidegauge.sources.store import read_runs, write_runs
+from tidegauge.session import children, exists, materialise, release, remove
+from tidegauge.sources.quads import parse_lines, pending_files
+from tidegauge.sources.store import RunStore
 
 
 def archive_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -28,53 +28,109 @@ def archive_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
     return files.select(F.regexp_replace(F.col("_metadata.file_path"), "\\.gz$", "").alias("src_file"), "value")
 
 
-def load_faults(quads: DataFrame, stored: DataFrame | None, namespace: str = NAMESPACE) -> DataFrame:
+def load_faults(quads: DataFrame, stored: RunStore | None, namespace: str = NAMESPACE, kept: DataFrame | None = None) -> DataFrame:
     """Rows (src_file, fault) of run files that must not be loaded.
 
     Lines that do not parse; V2 fragments of a header; V3 wrong graphs; V4 a graph
     that contradicts itself; V5 dormancy of what a stored graph has facts of; V6 a
     run at the instant of another run. Only what stands before the last terminator
-    counts, but for lines that do not parse and graphs.
+    (``kept``) counts, but for lines that do not parse and graphs.
+
+    Of what is stored, the catalogue gives the instants, and tells which runs might have
+    facts of endpoints now said to be dormant; only those runs are read.
     """
     good = quads.where("bad is null")
-    kept = gates.cut_to_last_terminator(good, namespace)
+    kept = gates.cut_to_last_terminator(good, namespace) if kept is None else kept
     graphs = kept.select("g", "src_file").distinct()
     of_graph = lambda found, fault: found.select("g").distinct().join(graphs, "g").select("src_file", F.lit(fault).alias("fault"))
     runs = facts.runs(kept, namespace).select("run", "run_at")
-    instants, others = runs.unionByName(facts.runs(stored, namespace).select("run", "run_at")) if stored is not None else runs, F.min("run") != F.max("run")
-    tied = instants.groupBy("run_at").agg(others.alias("tied")).where("tied").join(runs, "run_at").select(F.col("run").alias("g"))
+    instants = runs if stored is None else runs.unionByName(stored.catalogue().where("run_at is not null").select("run", "run_at"))
+    tied = instants.groupBy("run_at").agg((F.min("run") != F.max("run")).alias("tied")).where("tied").join(runs, "run_at").select(F.col("run").alias("g"))
     found = [
         quads.where("bad is not null").select("src_file", F.lit("line").alias("fault")), gates.cuts(good, namespace).where("refused").select("src_file", F.lit("header fragment").alias("fault")),
         gates.graph_faults(good, namespace).select("src_file", "fault"), of_graph(gates.contradictions(kept, namespace), "contradiction"), of_graph(tied, "tie"),
     ]
     if stored is not None:
-        found.append(of_graph(gates.rewrites(kept, stored, namespace), "rewritten history"))
+        # As many as the batch has runs, at most.
+        suspects = [r["g"] for r in stored.may_govern(gates.dormant(kept, namespace)).select("g").distinct().collect()]
+        if suspects:
+            found.append(of_graph(gates.rewrites(kept, stored.read(suspects), namespace), "rewritten history"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
     return out.distinct()
 
 
-def ingest(stream: DataFrame, store: str, checkpoint: str, namespace: str = NAMESPACE, on_refused: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def ingest(
+    stream: DataFrame, store: str, checkpoint: str, namespace: str = NAMESPACE, on_refused: Callable[[DataFrame], None] | None = None, current: str | None = None
+) -> StreamingQuery:
     """Validates each micro-batch and writes the graphs of its sound files; a stored graph is replaced whole.
 
-    A batch is parsed once. ``on_refused`` gets the violations (src_file, fault).
+    Files whose digest the store knows are passed over (S3). A batch is parsed once.
+    ``on_refused`` gets the violations (src_file, fault). With ``current``, current
+    readings are kept at that path, repaired where a run comes late or again (C9).
     """
 
     def load(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        lines = batch.select("src_file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
+        archive = RunStore(spark, store, namespace)
+        digests = batch.select(F.col("src_file").alias("key"), F.sha2(F.col("value").cast("binary"), 256).alias("digest"))
+        pending = materialise(pending_files(digests, archive.files()), "pending")
+        lines = batch.join(pending.select(F.col("key").alias("src_file")), "src_file").select("src_file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
         quads = materialise(parse_lines(lines.select("src_file", (F.col("n") + 1).cast("long").alias("line_no"), "value")), "incoming")
-        refused = materialise(load_faults(quads, read_runs(spark, store) if exists(spark, store) else None, namespace), "refused")
+        kept = materialise(gates.cut_to_last_terminator(quads.where("bad is null"), namespace), "kept")
+        refused = materialise(load_faults(quads, archive if archive.version() >= 0 else None, namespace, kept), "refused")
         if on_refused:
             on_refused(refused)
-        write_runs(gates.cut_to_last_terminator(quads.where("bad is null").join(refused.select("src_file").distinct(), "src_file", "left_anti"), namespace), store)
-        release(quads)
-        release(refused)
+        bad = refused.select("src_file").distinct()
+        sound = kept.join(bad, "src_file", "left_anti")
+        archive.write(sound, pending.join(bad, F.col("key") == F.col("src_file"), "left_anti"))
+        if current:
+            follow(archive, current)
+        for frame in (pending, quads, kept, refused):
+            release(frame)
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.removeprefix("gen=")) for n in children(spark, path, "gen=") if exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def advance(path: str, delta: DataFrame, changed: DataFrame, archive: Callable[[DataFrame], DataFrame], generation: int, keep: int = 2) -> None:
+    """Writes a generation of current readings from the one before it; runs that tie for newest are refused.
+
+    ``changed`` (run) names the runs that are new or loaded again, ``delta`` holds all
+    that they state now. Generations before the newest ``keep`` go. One that is written
+    again (after a failure) starts from the same predecessor.
+    """
+    spark = delta.sparkSession
+    known = [g for g in _generations(spark, path) if g < generation]
+    if not known:
+        new = cur.current_readings(cur.refuse_ties(delta, cur.PAIR))
+    else:
+        stored = spark.read.schema(delta.schema).parquet(f"{path}/gen={known[-1]:09d}")
+        cur.refuse_ties(stored.join(changed, "run", "left_anti").unionByName(delta), cur.PAIR)
+        again = not stored.join(changed, "run", "left_semi").isEmpty()
+        new = cur.advance_current(stored, delta, changed, archive) if again else cur.merge_current(stored, delta)
+    new.write.mode("overwrite").parquet(f"{path}/gen={generation:09d}")
+    for old in known[: max(0, len(known) + 1 - keep)]:
+        remove(spark, f"{path}/gen={old:09d}")
+
+
+def follow(archive: RunStore, path: str, keep: int = 2) -> None:
+    """Brings current readings up to the store's newest version, by the runs written since.
+
+    A generation has the number of the version it tells of, so a job that failed between
+    the two goes on from there.
+    """
+    known, version = _generations(archive.spark, path), archive.version()
+    if version > max(known, default=-1):
+        changed, quads = archive.changes(max(known, default=-1))
+        readings = facts.readings(quads, archive.namespace)
+        advance(path, readings, changed, lambda stale: facts.readings(archive.read(), archive.namespace), version, keep)
+
+
 def daily_stream(readings: DataFrame, keep_days: int = 3) -> DataFrame:
     """Sweeps by day, pair and verdict, in long form, once a day is closed.
 
@@ -155,27 +211,35 @@ def transition_stream(readings: DataFrame) -> DataFrame:
     )
 
 
-def current_stream(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps current state up to date: each batch is merged with what is stored.
+def current_stream(readings: DataFrame, path: str, checkpoint: str, keep: int = 2) -> StreamingQuery:
+    """Keeps current state up to date, whatever the order of arrival; a run that comes again is repaired.
 
-    The merge does not depend on the order of arrival; a run that comes again
-    replaces what it said of a pair. Two runs that are both newest stop the job.
-    Each batch writes a new generation and the next reads the newest.
+    A batch holds its runs whole; a run that an earlier batch had replaces all that it
+    said. Batches are kept beside the state (_history), so what a replaced run had hidden
+    is found again, from the rows of the pairs concerned only. Two runs that are both
+    newest stop the job. Each batch writes a new generation; the newest ``keep`` stay.
     """
     spark = readings.sparkSession
+    history = f"{path}/_history"
 
     def merge(batch: DataFrame, number: int) -> None:
-        if number:
-            stored = spark.read.schema(batch.schema).parquet(f"{path}/gen={number - 1:09d}")
-            cur.refuse_ties(stored.unionByName(batch), cur.PAIR)
-            new = cur.merge_current(stored, batch)
-        else:
-            new = cur.current_readings(cur.refuse_ties(batch, cur.PAIR))
-        new.write.mode("overwrite").parquet(f"{path}/gen={number:09d}")
+        batch.sortWithinPartitions(*cur.PAIR).write.mode("overwrite").parquet(f"{history}/gen={number:09d}")
+        delta = spark.read.schema(batch.schema).parquet(f"{history}/gen={number:09d}")
+        past = spark.read.schema(f"{_ddl(batch)}, gen int").option("basePath", history).parquet(f"{history}/gen=*").where(F.col("gen") <= number)
+        live = past.groupBy("run").agg(F.max("gen").alias("gen"))
+
+        def whole(stale: DataFrame) -> DataFrame:
+            return past.join(stale, cur.PAIR, "left_semi").join(live, ["run", "gen"]).select(*batch.columns)
+
+        advance(path, delta, delta.select("run").distinct(), whole, number, keep)
 
     return readings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def staleness(runs: DataFrame, now, hours: int = 2) -> DataFrame:  # noqa: ANN001
     """Age of the newest run and whether it is too old."""
     age = (F.unix_timestamp(now) - F.unix_timestamp(F.max("run_at"))).alias("age_s")
