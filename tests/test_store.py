@@ -165,3 +165,18 @@ def test_empty_stores_and_batches(spark, tmp_path):
     assert archive.version() == 0 and archive.catalogue().count() == 0
     archive.write(_rows(spark, 1, 3))
     assert archive.read().count() == 3 and gates.governed(archive.read()).count() == 0
+
+
+def test_sketches_of_runs_are_the_sketch_of_the_whole(spark, tmp_path):
+    from tidegauge.operators import rollup
+
+    archive = store.RunStore(spark, str(tmp_path))
+    archive.write(_rows(spark, 7, 300))
+    whole = rollup.merged_statistics(rollup.run_sketches(archive.read().withColumn("g", F.lit("all")), "urn:p")).drop("graphs").first()
+    parts = archive.statistics()
+    assert parts.drop("graphs").first() == rollup.merged_statistics(rollup.run_sketches(archive.read(), "urn:rdf")).drop("graphs").first()
+    exact = rollup.archive_statistics(archive.read(), "urn:rdf")
+    assert "Expand" not in exact._jdf.queryExecution().executedPlan().toString()
+    row = exact.first()
+    assert (row.triples, row.subjects, row.predicates, row.graphs, row.current, row.newest) == (2100, 2100, 1, 7, 0, None)
+    assert whole.subjects == parts.first().subjects and abs(whole.subjects - 2100) < 0.1 * 2100 and parts.first().graphs == 7

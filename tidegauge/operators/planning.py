@@ -125,19 +125,34 @@ def replay(outcomes: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFr
 
     ``outcomes`` has url, at, cost_ms, positive, liveness_failed. Of two outcomes of
     one instant the greater row counts.
+
+    Days are summed up first: whether an outcome cleared the strikes, how many stand
+    before the first clearing, how many after the last. What a day inherits follows from
+    the summaries of the days before it, so no task holds more of an endpoint than its
+    outcomes of a day, or a row for each of its days.
     """
     once = outcomes.groupBy("url", "at").agg(F.max(F.struct("positive", "cost_ms", "liveness_failed")).alias("o"))
-    rows = once.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("at", "o"))).alias("r"))
-    start = F.struct(F.lit(0).alias("strikes"), F.lit(None).cast("timestamp").alias("dormant_since"), F.lit(None).cast("timestamp").alias("last_probed"))
-
-    def step(s: Column, x: Column) -> Column:
-        o = x["o"]
-        struck = ~o["positive"] & ((o["cost_ms"] > thresholds.cost_ms) | o["liveness_failed"])
-        n = F.when(struck, s["strikes"] + 1).otherwise(F.lit(0))
-        since = F.when(o["positive"], F.lit(None).cast("timestamp")).when(struck & (n >= thresholds.strikes) & s["dormant_since"].isNull(), x["at"]).otherwise(s["dormant_since"])
-        return F.struct(n.alias("strikes"), since.alias("dormant_since"), x["at"].alias("last_probed"))
-
-    return rows.select("url", F.aggregate("r", start, step).alias("s")).select("url", "s.*")
+    struck = ~F.col("o.positive") & ((F.col("o.cost_ms") > thresholds.cost_ms) | F.col("o.liveness_failed"))
+    rows = once.select("url", F.to_date("at").alias("day"), "at", F.coalesce(struck, F.lit(False)).alias("struck"), F.coalesce(F.col("o.positive"), F.lit(False)).alias("positive"))
+    in_day = Window.partitionBy("url", "day").orderBy("at")
+    rows = rows.withColumn("cleared", F.sum((~F.col("struck")).cast("int")).over(in_day))
+    # Strikes in a row within the day.
+    rows = rows.withColumn("k", F.sum(F.col("struck").cast("int")).over(Window.partitionBy("url", "day", "cleared").orderBy("at")))
+    days = rows.groupBy("url", "day").agg(
+        F.max("at").alias("last"), F.max(F.when(F.col("positive"), F.col("at"))).alias("positive_at"), (F.max("cleared") > 0).alias("clears"),
+        F.max_by(F.when(F.col("struck"), F.col("k")).otherwise(0), "at").alias("trail"),
+    )
+    by_day = Window.partitionBy("url").orderBy("day")
+    days = days.withColumn("since_clear", F.sum(F.col("clears").cast("int")).over(by_day))
+    days = days.withColumn("strikes", F.sum("trail").over(Window.partitionBy("url", "since_clear").orderBy("day")))
+    days = days.withColumns({"inherited": F.coalesce(F.lag("strikes").over(by_day), F.lit(0)), "last_positive": F.max("positive_at").over(Window.partitionBy("url"))})
+    # The outcomes that may be the one at which the strikes reach the threshold.
+    near = rows.where(F.col("struck") & (F.col("k") <= thresholds.strikes)).select("url", "day", "at", "k", "cleared")
+    reached = near.join(days.select("url", "day", "inherited", "last_positive"), ["url", "day"])
+    reached = reached.where(F.col("k") + F.when(F.col("cleared") == 0, F.col("inherited")).otherwise(0) == thresholds.strikes)
+    since = reached.where(F.col("last_positive").isNull() | (F.col("at") > F.col("last_positive"))).groupBy("url").agg(F.min("at").alias("dormant_since"))
+    state = days.groupBy("url").agg(F.max_by("strikes", "day").cast("int").alias("strikes"), F.max("last").alias("last_probed"))
+    return state.join(since, "url", "left").select("url", "strikes", "dormant_since", "last_probed")
 
 
 def wake(state: DataFrame, requests: DataFrame, now: Column, permanent: bool = False, thresholds: Thresholds = Thresholds()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidegauge.functions import text as t
 from tidegauge.operators import search
+from tidegauge.operators.rollup import distinct_sizes
 from tidegauge.operators.verdicts import term_state
 from tidegauge.schemas import RDF_TYPE, VOID
 
@@ -121,10 +122,8 @@ def dataset_counts(quads: DataFrame, type_iri: str = RDF_TYPE) -> DataFrame:
     default = quads.where("g is null").select("s", "p", "o")
     overlap = default.join(named.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_semi").limit(1).agg((F.count("*") > 0).alias("overlap"))
     typed = F.col("p") == type_iri
-    counts = quads.agg(
-        F.count("*").alias("all_triples"), F.count("g").alias("named_triples"), F.count_distinct("g").alias("graphs"),
-        F.count_distinct(F.when(typed, F.col("o"))).alias("classes"), F.count_distinct(F.when(typed, F.col("s"))).alias("entities"),
-    )
+    sizes = distinct_sizes({"graphs": named.select("g"), "classes": quads.where(typed).select("o"), "entities": quads.where(typed).select("s")})
+    counts = quads.agg(F.count("*").alias("all_triples"), F.count("g").alias("named_triples")).crossJoin(sizes)
     return counts.crossJoin(overlap).select(F.when(F.col("overlap"), F.col("named_triples")).otherwise(F.col("all_triples")).alias("triples"), "graphs", "classes", "entities", "overlap")  # one row each
 
 

@@ -8,6 +8,7 @@ from tidegauge.functions import text as t
 from tidegauge.functions.rotation import rotation_bucket
 from tidegauge.operators import facts, gates, planning, profile, readers, registry, rollup, search, verdicts
 from tidegauge.plans.adapters import QUADS_SQL, READINGS_SQL, quads, readings
+from tidegauge.schemas import NAMESPACE, PROV
 from tidegauge.session import table
 from tidegauge.sources import quads as nq
 from tidegauge.sources import store
@@ -281,7 +282,12 @@ def q_partitions(spark, sf):
 
 
 def q_statistics(spark, sf):
-    return rollup.archive_statistics(quads(spark, sf), _TYPE)
+    """The quads, a current graph of every seventh customer, and the instants of the hours with events."""
+    q = quads(spark, sf).select("s", "p", "o", "g")
+    now = q.where("s like 'urn:customer:%7'").withColumn("g", F.lit(f"{NAMESPACE}current"))
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    runs = table(spark, sf, "events").select(F.concat(F.lit(f"{NAMESPACE}activity:"), hour).alias("s"), F.lit(f"{PROV}generatedAtTime").alias("p"), hour.alias("o"), F.concat(F.lit("urn:run:"), hour).alias("g")).distinct()
+    return rollup.archive_statistics(q.unionByName(now).unionByName(runs), _TYPE)
 
 
 def q_facts(spark, sf):
@@ -558,7 +564,9 @@ UNION ALL SELECT 'http://rdfs.org/ns/void#propertyPartition', count(*), count(DI
 SELECT endpoint, count(*) AS described, 2 AS reported, bool_and(ex) AS exact, count(*) = 2 AND bool_and(ex) AS complete FROM e GROUP BY 1""",
     ),
     "p10_partitions": (q_partitions, f"{_PROFILE_SQL} SELECT class, count(*) AS properties, string_agg(property || '=' || subjects, ',' ORDER BY property) AS rows FROM prof GROUP BY 1"),
-    "a17_statistics": (q_statistics, f"{QUADS_SQL} SELECT count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT p) AS predicates, count(DISTINCT o) FILTER (WHERE p = 'rdf:type') AS classes, count(DISTINCT g) AS graphs FROM quads"),
+    "a17_statistics": (q_statistics, f"""{QUADS_SQL}, h AS (SELECT DISTINCT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS h FROM events),
+a AS (SELECT s, p, o, g FROM quads UNION ALL SELECT s, p, o, 'urn:obs:current' FROM quads WHERE s LIKE 'urn:customer:%7' UNION ALL SELECT 'urn:obs:activity:' || h, 'http://www.w3.org/ns/prov#generatedAtTime', h, 'urn:run:' || h FROM h)
+SELECT count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT p) AS predicates, count(DISTINCT o) FILTER (WHERE p = 'rdf:type') AS classes, count(DISTINCT g) AS graphs, count(*) FILTER (WHERE g = 'urn:obs:current') AS current, max(o) FILTER (WHERE p LIKE '%generatedAtTime') AS newest FROM a"""),
     "f2_f4_facts": (q_facts, f"{READINGS_SQL} SELECT run, endpoint, metric, kind, verdict, reason, elapsed_ms, observed_count FROM readings"),
     "s1_s6_nquads": (
         q_nquads,

@@ -8,13 +8,13 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators import facts, gates
-from tidegauge.schemas import NAMESPACE
+from tidegauge.operators import facts, gates, rollup
+from tidegauge.schemas import NAMESPACE, RDF_TYPE
 from tidegauge.session import children, exists, modified_at, remove
 
 QUAD = ["s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang", "g"]
 _STORED = ", ".join(f"{c} string" for c in QUAD[:-1]) + ", gen string, g string"
-CATALOGUE = "run string, gen string, quads long, digest string, run_at timestamp, bloom map<int, long>"
+CATALOGUE = "run string, gen string, quads long, digest string, run_at timestamp, bloom map<int, long>, subjects binary, predicates binary, classes binary"
 #: Bits of the filter of a run's endpoints (a power of two), and places of an endpoint in it.
 BLOOM_BITS, BLOOM_PLACES = 4096, 3
 
@@ -116,8 +116,13 @@ class RunStore:
         held = gates.governed(rows, self.namespace).select("g", F.explode(_bloom_places(F.col("endpoint"))).alias("place"))
         words = held.groupBy("g", "place.word").agg(F.expr("bit_or(shiftleft(1L, place.bit))").alias("bits"))
         blooms = words.groupBy(F.col("g").alias("bloom_run")).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bloom"))  # BLOOM_BITS / 64 entries at most
-        found = sizes.join(at, F.col("g") == F.col("at_run"), "left").join(blooms, F.col("g") == F.col("bloom_run"), "left")
-        return found.select(F.col("g").alias("run"), F.lit(f"{generation:09d}").alias("gen"), "quads", "digest", "run_at", "bloom")
+        sketches = rollup.run_sketches(rows, RDF_TYPE).select(F.col("g").alias("sketch_run"), *rollup.SKETCHED)
+        found = sizes.join(at, F.col("g") == F.col("at_run"), "left").join(blooms, F.col("g") == F.col("bloom_run"), "left").join(sketches, F.col("g").eqNullSafe(F.col("sketch_run")), "left")
+        return found.select(F.col("g").alias("run"), F.lit(f"{generation:09d}").alias("gen"), "quads", "digest", "run_at", "bloom", *rollup.SKETCHED)
+
+    def statistics(self) -> DataFrame:
+        """Approximate counts of the whole archive, from the sketches of its runs; no data is read."""
+        return rollup.merged_statistics(self.catalogue().select(F.col("quads").alias("triples"), *rollup.SKETCHED))
 
     def may_govern(self, pairs: DataFrame) -> DataFrame:
         """Of rows (g, endpoint): those whose stored run may have facts of the endpoint; one that has is never left out."""
