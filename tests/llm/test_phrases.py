@@ -54,39 +54,53 @@ def test_against_brute_force(spark):
     assert op12.collocations(_docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{"held": 50}, {"held_words": 5}, {"held": 1, "held_words": 1}])
+@pytest.mark.parametrize("limits", [{"held": 50}, {"held_words": 5, "head_words": 3}, {"held": 1, "held_words": 1, "head_words": 0}])
 def test_spills_change_nothing(spark, limits):
     rows = _texts(2, 400)
     assert sorted(map(tuple, op12.collocations(_docs(spark, rows), **limits).collect())) == _brute(rows)
 
 
-def test_trie_bursts_and_spills_whole_subtrees():
+@pytest.mark.parametrize("length", [1, 2, 3])
+def test_trie_bursts_and_spills_whole_containers(length):
     rng = np.random.default_rng(3)
-    trie, want = op12.HatTrie(3, burst=8), Counter()
-    out = Counter()
+    trie, want, out = op12.HatTrie(length, burst=8), Counter(), Counter()
     for _ in range(20):
-        ids = rng.integers(1, 12, (200, 3))
-        keys = ids[:, 0] << 2 * op12.ID_BITS | ids[:, 1] << op12.ID_BITS | ids[:, 2]
-        keys, counts = np.unique(keys, return_counts=True)
+        ids = np.minimum(rng.geometric(0.2, (300, length)), 40)
+        packed = ids[:, 0]
+        for k in range(1, length):
+            packed = packed << op12.ID_BITS | ids[:, k]
+        keys, counts = np.unique(packed, return_counts=True)
         trie.add(keys, counts)
         want.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
-        if trie.held > 600:
-            assert isinstance(trie.root, op12._Node)
-            for spilled, n in trie.spill(300):
-                assert len(set((spilled >> 2 * op12.ID_BITS).tolist())) == 1
+        assert trie.edges == sorted(set(trie.edges)) and trie.held == sum(map(len, trie.parts))
+        for k, part in enumerate(trie.parts):
+            ends = [*trie.edges, 1 << 63]
+            assert all(ends[k] <= key < ends[k + 1] for key in part)
+            # What is larger has one prefix.
+            assert len(part) <= 8 or length == 1 or len({key >> op12.ID_BITS for key in part}) == 1
+        if trie.held > 150:
+            for spilled, n in trie.spill(75):
+                assert (np.diff(spilled) > 0).all()
                 out.update(dict(zip(spilled.tolist(), n.tolist(), strict=True)))
-            assert trie.held <= 300
+            assert trie.held <= 75
+    assert length == 1 or len(trie.edges) > 5
     for spilled, n in trie.spill(0):
         out.update(dict(zip(spilled.tolist(), n.tolist(), strict=True)))
     assert out == want and trie.held == 0
 
 
+def test_places_of_one_are_those_of_many():
+    rng = np.random.default_rng(9)
+    values = rng.integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    assert [op12._place(int(v)) for v in values] == op12._mark(values).tolist()
+
+
 def test_a_text_of_more_words_than_ids(spark, monkeypatch):
-    monkeypatch.setattr(op12, "ID_BITS", 8)
+    monkeypatch.setattr(op12, "ID_BITS", 9)
     monkeypatch.setattr(op12, "STEP", 50)
     text = " ".join(f"w{k % 400} of" for k in range(6000))
     counting, got = op12._Counting("en", 2), Counter()
-    for batch in [*counting.add([text], None), *counting.runs(0)]:
+    for batch in [*counting.add([text]), *counting.runs(0)]:
         for row in batch.to_pylist():
             got[row["phrase"]] += row["n"]
     w = text.split()
