@@ -68,6 +68,25 @@ def test_cut_and_facts(spark, archive):
     assert current.current_run(facts.readings(kept)).first().run.endswith("02T00:00:00Z")
 
 
+def test_large_files_are_read_in_ranges(spark, tmp_path):
+    texts = {f"f{k}.nq": [f"<urn:s{i}> <urn:p> \"{'x' * (i % 37)} é\" <urn:g> ." if i % 5 else "" for i in range(n)] for k, n in enumerate((0, 1, 3, 900, 1300))}
+    (tmp_path / "in").mkdir()
+    for k, (name, lines) in enumerate(texts.items()):
+        (tmp_path / "in" / name).write_bytes(("\r\n" if k == 3 else "\n").join(lines).encode())
+    (tmp_path / "in" / "packed.nq.gz").write_bytes(gzip.compress("\n".join(texts["f4.nq"]).encode()))
+    texts["packed.nq"] = texts["f4.nq"]
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        rows = quads.read_lines(spark, str(tmp_path / "in"))
+        got = {(r.src_file.rsplit("/", 1)[1], r.line_no): r.value for r in rows.collect() if r.value}
+        assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == {(name, n): line for name, lines in texts.items() for n, line in enumerate(lines, 1) if line}
+    assert quads.read_quads(spark, str(tmp_path / "in")).where("bad is not null").isEmpty()
+
+
 def test_header_fragment_is_refused(spark):
     q = spark.createDataFrame([("f", 1, ACT, "urn:p", "x", G)], "src_file string, line_no long, s string, p string, o string, g string")
     assert gates.cuts(q).first().refused and gates.cut_to_last_terminator(q).isEmpty()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegauge.functions.text import percent_encode
 from tidegauge.schemas import DQV, NAMESPACE, PROV, RDF_TYPE
@@ -42,15 +43,31 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_quads(spark: SparkSession, path: str) -> DataFrame:
-    """Quads of all files under a path; .gz files are read as they are.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (src_file, line_no, value) of all files under a path; .gz files are read as they are.
 
-    Files are the unit: each is read whole by one task, so line numbers hold. The
+    Large files are read in byte ranges by several tasks. A line's number is its place in
+    its range plus the lines of the ranges before it, which a first scan has counted. The
     file key has no ``.gz``, so a packed file is the same file.
     """
-    files = spark.read.text(path, wholetext=True).select("value", F.regexp_replace(F.col("_metadata.file_path"), "\\.gz$", "").alias("src_file"))
-    lines = files.select("src_file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
-    return parse_lines(lines.select("src_file", (F.col("n") + 1).cast("long").alias("line_no"), "value"))
+    meta, place = F.col("_metadata"), F.monotonically_increasing_id()
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), place.alias("place"), "value"
+    )
+    # Rows of a range are numbered one after another in its task.
+    keys = ["file", "start", F.shiftright("place", 33).alias("task")]
+    ranges = rows.groupBy(*keys).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")
+    ranges = ranges.select("file", "start", "task", (before - F.col("first") + 1).alias("shift"))
+    lines = rows.withColumn("task", F.shiftright("place", 33)).join(ranges, ["file", "start", "task"], "left")
+    # Both scans cut the files alike; if they ever did not, numbers would be wrong.
+    number = F.coalesce(F.col("place") + F.col("shift"), F.raise_error(F.lit("a range of a file was not counted")).cast("long"))
+    return lines.select(F.regexp_replace("file", "\\.gz$", "").alias("src_file"), number.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def read_quads(spark: SparkSession, path: str) -> DataFrame:
+    """Quads of all files under a path, however large."""
+    return parse_lines(read_lines(spark, path))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

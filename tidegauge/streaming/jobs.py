@@ -151,39 +151,79 @@ def dedupe_stream(readings: DataFrame, delay: str = "3 days") -> DataFrame:
 
 
 class StrikeCounter(StatefulProcessor):
-    """Strikes and dormancy of one endpoint; late outcomes change nothing."""
+    """Strikes, dormancy and holds of one endpoint; late outcomes change nothing.
 
-    def __init__(self, thresholds: Thresholds) -> None:
-        self.thresholds = thresholds
+    A hold keeps an endpoint awake until its end, which a timer marks: it lapses then,
+    with or without new outcomes, and the strikes start anew. State that nothing has
+    touched for ``keep_days`` goes.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "strikes int, dormant_since timestamp, last_probed timestamp")
+    def __init__(self, thresholds: Thresholds, keep_days: int) -> None:
+        self.thresholds, self.keep_ms = thresholds, keep_days * 86_400_000
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
-        strikes, since, last = self.state.get() if self.state.exists() else (0, None, None)
-        every = pd.concat(list(rows)).sort_values(["at", "positive", "cost_ms"]).drop_duplicates("at", keep="last")
-        for row in every.itertuples(index=False):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "strikes int, dormant_since timestamp, last_probed timestamp, hold string, held_until timestamp, touched long")
+
+    def _row(self, url: str, strikes: int, since, last, lapsed: str | None = None) -> pd.DataFrame:  # noqa: ANN001
+        return pd.DataFrame({"url": [url], "strikes": [strikes], "dormant_since": pd.to_datetime([since]), "last_probed": pd.to_datetime([last]), "lapsed_hold": pd.Series([lapsed], dtype=object)})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        strikes, since, last, hold, until, touched = self.state.get() if self.state.exists() else (0, None, None, None, None, 0)
+        every = pd.concat(list(rows)).sort_values(["at", "hold", "positive", "cost_ms"])
+        for row in every.drop_duplicates(["at", "hold"], keep="last").itertuples(index=False):
+            at = int(row.at.timestamp() * 1000)
+            if touched and at > touched + self.keep_ms:  # gone by then, whether its timer has fired or not
+                strikes, since, last, hold, until = 0, None, None, None, None
+            touched = max(touched, at)
+            if isinstance(row.hold, str):
+                strikes, since, hold, until = 0, None, row.hold, None if pd.isna(row.held_until) else row.held_until.to_pydatetime()
+                if until is not None:
+                    self.handle.registerTimer(int(pd.Timestamp(until).timestamp() * 1000))
+                continue
             if last is not None and row.at <= pd.Timestamp(last):
                 continue
+            if hold is not None and until is not None and row.at > pd.Timestamp(until):
+                strikes, hold, until = 0, None, None  # its timer has yet to fire
             struck = not row.positive and (row.cost_ms > self.thresholds.cost_ms or row.liveness_failed)
             strikes = strikes + 1 if struck else 0
             if row.positive:
                 since = None
-            elif struck and strikes >= self.thresholds.strikes and since is None:
+            elif struck and strikes >= self.thresholds.strikes and since is None and hold is None:
                 since = row.at.to_pydatetime()
             last = row.at.to_pydatetime()
-        self.state.update((strikes, since, last))
-        yield pd.DataFrame({"url": [key[0]], "strikes": [strikes], "dormant_since": pd.to_datetime([since]), "last_probed": pd.to_datetime([last])})
+        self.handle.registerTimer(touched + self.keep_ms)
+        self.state.update((strikes, since, last, hold, until, touched))
+        yield self._row(key[0], strikes, since, last)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        if not self.state.exists():
+            return
+        strikes, since, last, hold, until, touched = self.state.get()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if hold is not None and until is not None and int(pd.Timestamp(until).timestamp() * 1000) <= now:
+            self.state.update((0, since, last, None, None, touched))
+            yield self._row(key[0], 0, since, last, hold)
+        if touched + self.keep_ms <= now:
+            self.state.clear()
 
     def close(self) -> None:
         pass
 
 
-def strikes_stream(outcomes: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """The state of each endpoint whenever it gets outcomes (update mode)."""
-    return outcomes.groupBy("url").transformWithStateInPandas(
-        statefulProcessor=StrikeCounter(thresholds), outputStructType="url string, strikes int, dormant_since timestamp, last_probed timestamp", outputMode="Update", timeMode="None"
-    )
+def strikes_stream(outcomes: DataFrame, thresholds: Thresholds = Thresholds(), delay: str = "3 days", keep_days: int = 90) -> DataFrame:
+    """The state of each endpoint whenever it gets outcomes or its hold lapses (update mode).
+
+    ``outcomes`` has url, at, cost_ms, positive, liveness_failed, and, where endpoints are
+    held awake in the stream, hold (the reason; null for an outcome) and held_until.
+    Time goes on with ``at``: what is later than ``delay`` is left out.
+    """
+    held = {"hold": "string", "held_until": "timestamp"}
+    rows = outcomes.withColumns({c: F.lit(None).cast(kind) for c, kind in held.items() if c not in outcomes.columns}).withWatermark("at", delay)
+    return rows.groupBy("url").transformWithStateInPandas(
+        statefulProcessor=StrikeCounter(thresholds, keep_days), outputStructType="url string, strikes int, dormant_since timestamp, last_probed timestamp, lapsed_hold string",
+        outputMode="Update", timeMode="EventTime",
+    )
 
 
 def _last_states(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
