@@ -185,7 +185,7 @@ def prunable(state: DataFrame, endpoints: DataFrame) -> DataFrame:
 def rotation_split(endpoints: DataFrame, metrics: DataFrame, at: Column, every: int) -> DataFrame:
     """Exhaustive metrics wait for the endpoint's day; the rest are due each time."""
     slots = endpoints.select("url").distinct().withColumn("slot", due_today(F.col("url"), at, every))
-    pairs = slots.join(F.broadcast(metrics.select("metric", "cost")), F.lit(True))
+    pairs = slots.crossJoin(metrics.select("metric", "cost"))
     return pairs.select("url", "metric", F.when(~F.col("slot") & (F.col("cost") == "exhaustive"), "cadence").alias("reason"))
 
 

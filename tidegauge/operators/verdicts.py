@@ -106,7 +106,7 @@ def with_declared(observations: DataFrame, metrics: DataFrame, declarations: Dat
 
     ``declarations`` has endpoint, declared ARRAY<STRING>, counts MAP<STRING, LONG>.
     """
-    rows = observations.join(F.broadcast(metrics), "metric").join(declarations, "endpoint", "left")
+    rows = observations.join(metrics, "metric").join(declarations, "endpoint", "left")
     stated = F.when(F.col("kind") == "counted", F.try_element_at("counts", "declared_by"))
     claimed = F.when(F.col("kind") == "counted", stated.isNotNull()).otherwise(F.coalesce(F.array_contains("declared", F.col("declared_by")), F.lit(False)))
     return rows.withColumns({"stated": stated, "claimed": claimed}).drop("declared", "counts")
@@ -153,7 +153,7 @@ def liveness_gate(observations: DataFrame, metrics: DataFrame, liveness: str) ->
     gate = observations.where(F.col("metric") == liveness)
     reason = F.when(F.col("error") == "prober-failed", "prober-failed").when(F.col("status").isNull() & ~F.coalesce(F.col("expired"), F.lit(False)), "liveness-failed")
     closed = gate.withColumn("reason", reason).where("reason is not null").select("endpoint", "reason")
-    rows = closed.join(F.broadcast(metrics.select("metric")), F.lit(True))
+    rows = closed.crossJoin(metrics.select("metric"))
     return rows.where((F.col("reason") == "prober-failed") | (F.col("metric") != liveness)).select("endpoint", "metric", "reason")
 
 

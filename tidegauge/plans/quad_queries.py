@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidegauge.functions import text as t
@@ -9,7 +11,7 @@ from tidegauge.functions.rotation import rotation_bucket
 from tidegauge.operators import facts, gates, planning, profile, readers, registry, rollup, search, verdicts
 from tidegauge.plans.adapters import QUADS_SQL, READINGS_SQL, quads, readings
 from tidegauge.schemas import NAMESPACE, PROV
-from tidegauge.session import table
+from tidegauge.session import shared_dir, table
 from tidegauge.sources import quads as nq
 from tidegauge.sources import store
 
@@ -447,6 +449,24 @@ def q_rotation(spark, sf):
     return r.select("endpoint", rotation_bucket(F.col("endpoint"), 7).alias("bucket"))
 
 
+def q_rotation_split(spark, sf):
+    """What waits for its endpoint's day on 2024-03-01, over a week; odd metrics are exhaustive."""
+    r = readings(spark, sf)
+    metrics = r.select("metric").distinct().withColumn("cost", F.when(F.substring("metric", -1, 1).isin("1", "3"), "exhaustive").otherwise("cheap"))
+    return planning.rotation_split(r.select(F.col("endpoint").alias("url")), metrics, F.lit("2024-03-01").cast("date"), 7)
+
+
+def q_gzip(spark, sf):
+    """The lines of all readings written as packed and as plain files, read back by one reader, line by line."""
+    path = f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
+    lines = nq.to_lines(nq.to_nquads(readings(spark, sf)))
+    packed = F.contains("value", F.lit("measurement:"))
+    lines.where(packed).write.option("compression", "gzip").text(path)
+    lines.where(~packed).write.mode("append").text(path)
+    back = nq.read_quads(spark, path)
+    return back.groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("g").alias("graphs"), F.count("bad").alias("bad"))
+
+
 def q_registry_dump(spark, sf):
     """A dump document built from the pages, exploded again."""
     p = table(spark, sf, "pages")
@@ -622,6 +642,20 @@ SELECT CASE WHEN reason IS NULL THEN 'probe' ELSE 'skip' END AS action, reason,
         q_rotation,
         f"""{READINGS_SQL} SELECT DISTINCT endpoint, CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(endpoint, ''), lambda c: ord(c)::UHUGEINT)),
 lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) % 7 AS BIGINT) AS bucket FROM readings""",
+    ),
+    "w5_rotation_split": (
+        q_rotation_split,
+        f"""{READINGS_SQL}, b AS (SELECT DISTINCT endpoint AS url, CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(endpoint, ''), lambda c: ord(c)::UHUGEINT)),
+lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) % 7 AS BIGINT) AS bucket FROM readings),
+m AS (SELECT DISTINCT metric FROM readings)
+SELECT url, metric, CASE WHEN bucket <> (DATE '2024-03-01' - DATE '1970-01-01') % 7 AND metric[-1] IN ('1', '3') THEN 'cadence' END AS reason FROM b, m""",
+    ),
+    "s2_gzip": (
+        q_gzip,
+        f"""{READINGS_SQL}, m AS (SELECT * FROM readings WHERE kind = 'measured'), d AS (SELECT * FROM readings WHERE kind = 'declined')
+SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, count(*) AS n, count(DISTINCT run) AS graphs, 0 AS bad FROM readings UNION ALL SELECT 'http://www.w3.org/ns/prov#wasGeneratedBy', count(*), count(DISTINCT run), 0 FROM readings
+UNION ALL SELECT 'http://www.w3.org/ns/dqv#' || unnest(['computedOn', 'isMeasurementOf', 'value']), count(*), count(DISTINCT run), 0 FROM m UNION ALL SELECT 'urn:obs:' || unnest(['elapsedMs', 'observedCount']), count(*), count(DISTINCT run), 0 FROM m
+UNION ALL SELECT 'urn:obs:' || unnest(['notMeasuredOn', 'notMeasuredMetric', 'notMeasuredReason']), count(*), count(DISTINCT run), 0 FROM d""",
     ),
     "s7_registry_dump": (
         q_registry_dump,
