@@ -57,24 +57,25 @@ _C = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _WordHashes(dict):
-    """Codes of words, with two independent 64-bit hashes each, remembered up to a number of bytes."""
+    """Codes of words, with one or two independent 64-bit hashes each, remembered up to a number of bytes."""
 
-    def __init__(self) -> None:
+    def __init__(self, both: bool = True) -> None:
         super().__init__()
-        self.held, self.first, self.second = 0, array("Q"), array("Q")
+        self.both, self.held, self.first, self.second = both, 0, array("Q"), array("Q")
 
     def __missing__(self, word: bytes) -> int:
         self.held += len(word)
         self[word] = code = len(self.first)
         self.first.append(xxhash.xxh64_intdigest(word, 20))
-        self.second.append(xxhash.xxh3_64_intdigest(word, 21))
+        if self.both:
+            self.second.append(xxhash.xxh3_64_intdigest(word, 21))
         return code
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         """Of the words of one text; they hold until the next text."""
         if self.held > _REMEMBERED:
             self.clear()
-            self.__init__()
+            self.__init__(self.both)
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def hashes(self, codes: np.ndarray, which: int) -> np.ndarray:
@@ -133,7 +134,7 @@ def _words(text: str | None) -> list[bytes]:
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) to (anchor, key, n): the anchors of each text and how often each occurs."""
-    known = _WordHashes()
+    known = _WordHashes(both=False)
     for batch in batches:
         names = batch.column(0).to_numpy(zero_copy_only=False)
         for at in range(0, batch.num_rows, 512):
@@ -399,6 +400,14 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return marks
 
 
+def _covered(n: int, starts: np.ndarray, masks: np.ndarray, width: int) -> np.ndarray:
+    """Which of ``n`` words stand in a marked window."""
+    mark, bit = np.nonzero(masks[:, None] >> np.arange(width) & 1)
+    first = starts[mark] + bit
+    steps = np.bincount(first, minlength=n + 1) - np.bincount(first + width, minlength=n + 1)
+    return np.cumsum(steps)[:n] > 0
+
+
 def _strip(at: int, spans: int, width: int, names: list[str]):
     """Adds (n_words, n_removed, kept) from the text column and the marked windows."""
 
@@ -406,19 +415,22 @@ def _strip(at: int, spans: int, width: int, names: list[str]):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                sizes, removed, kept = [], [], []
-                for text, marks in zip(part.column(at).to_pylist(), part.column(spans).to_pylist(), strict=True):
+                marks = part.column(spans)
+                counts = marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                flat = marks.flatten()
+                starts, masks = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "mask"))
+                sizes, removed, kept, low = [], [], [], 0
+                for text, n in zip(part.column(at).to_pylist(), counts.tolist(), strict=True):
                     words = _words(text)
-                    out = np.zeros(len(words) + 1, np.int64)
-                    for mark in marks or []:
-                        for bit in range(width):
-                            if mark["mask"] >> bit & 1:
-                                out[mark["start"] + bit] += 1
-                                out[mark["start"] + bit + width] -= 1
-                    stay = np.cumsum(out)[:-1] == 0
+                    out, gone = words, 0
+                    if n:
+                        stay = ~_covered(len(words), starts[low : low + n], masks[low : low + n], width)
+                        out = [w for w, ok in zip(words, stay.tolist(), strict=True) if ok]
+                        gone = len(words) - len(out)
+                    low += n
                     sizes.append(len(words))
-                    removed.append(len(words) - int(stay.sum()))
-                    kept.append(b" ".join([w for w, ok in zip(words, stay.tolist(), strict=True) if ok]).decode())
+                    removed.append(gone)
+                    kept.append(b" ".join(out).decode())
                 new = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != spans], *new], [*[n for i, n in enumerate(part.schema.names) if i != spans], *names])
 
