@@ -107,6 +107,18 @@ def test_a_reload_that_declines_shows_the_older_measurement(spark):
     assert got.where("endpoint = 'e' and metric = 'm'").first().run == "r0100"
 
 
+def test_check_reads_differing_buckets_only(spark):
+    whole = readings(spark, *[(f"e{k}", "m", D(1 + k % 9, k % 20), "absent", None, k) for k in range(400)])
+    stored = current.current_readings(whole).where("endpoint <> 'e7'").withColumn("elapsed_ms", F.when(F.col("endpoint") == "e9", 0).otherwise(F.col("elapsed_ms")))
+    stored = stored.unionByName(stored.where("endpoint = 'e3'").withColumn("endpoint", F.lit("more")))
+    found = current.check_current(stored, current.current_readings(whole), buckets=64)
+    assert {(r.endpoint, *r.reasons, r.pairs) for r in found.collect()} == {("e7", "missing", 1), ("e9", "differs", 1), ("more", "not in the archive", 1)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[endpoint[^\n]*\n[^\n]*(Project[^\n]*\n[^\n]*)?Filter [^\n]*xxhash64\(endpoint", plan)  # below the derivation
+    same = current.check_current(current.current_readings(whole), current.current_readings(whole.repartition(7)))
+    assert same.isEmpty()
+
+
 def test_pinned_and_pointers(spark):
     runs = spark.createDataFrame([("r1", "a1"), ("r2", "a2"), ("r3", "a3")], "run string, activity string")
     cur = spark.createDataFrame([("r1", "x"), ("y", "a2")], "s string, o string")

@@ -136,13 +136,12 @@ def fleet_stats(readings: DataFrame, availability: str, size_metric: str | None
 def changed_pairs(readings: DataFrame, whole: bool = False) -> DataFrame:
     """A10: whether a pair ever differed between consecutive readings; gaps are skipped.
 
-    ``whole`` compares the whole reading with its duration, else the verdict.
+    ``whole`` compares the whole reading with its duration, else the verdict. Readings in
+    a row differ somewhere just if not all are equal, so least and greatest decide.
     """
     value = F.struct("verdict", "level", "elapsed_ms") if whole else F.col("verdict")
     seen = readings.where("kind = 'measured' and verdict is not null").withColumn("value", value)
-    before = F.lag("value").over(Window.partitionBy(*PAIR).orderBy("run_at", "run"))
-    marked = seen.withColumn("before", before)
-    return marked.groupBy(*PAIR).agg(F.coalesce(F.bool_or((F.col("before") != F.col("value")) & F.col("before").isNotNull()), F.lit(False)).alias("changed"))
+    return seen.groupBy(*PAIR).agg((F.min("value") != F.max("value")).alias("changed"))
 
 
 def _following(readings: DataFrame) -> DataFrame:
@@ -159,12 +158,19 @@ def transitions(readings: DataFrame) -> DataFrame:
     """First sightings, changes and disappearances of each pair, run by run.
 
     A pair that a later run does not state has vanished (``not-measured``) at the
-    next run of the archive. Only runs where something changed come back.
+    next run of the archive. Only runs where something changed come back. Neighbours
+    are found within a pair's day, and at its borders among the pair's days, so no task
+    holds a pair's whole history.
     """
     state = readings.select(*PAIR, "run_at", display_state(F.col("kind"), F.col("verdict")).alias("state"))
-    w = Window.partitionBy(*PAIR).orderBy("run_at")
-    placed = state.join(_following(readings), "run_at")
-    steps = placed.withColumns({"before": F.lag("state").over(w), "before_next": F.lag("next_at").over(w), "after_at": F.lead("run_at").over(w)})
+    placed = state.join(_following(readings), "run_at").withColumn("day", F.to_date("run_at"))
+    own = F.struct("state", "next_at")
+    in_day, by_day = Window.partitionBy(*PAIR, "day").orderBy("run_at"), Window.partitionBy(*PAIR).orderBy("day")
+    steps = placed.withColumns({"last": F.lag(own).over(in_day), "after": F.lead("run_at").over(in_day)})
+    days = placed.groupBy(*PAIR, "day").agg(F.min("run_at").alias("first_at"), F.max_by(own, "run_at").alias("left"))
+    borders = days.select(*PAIR, "day", F.lag("left").over(by_day).alias("day_before"), F.lead("first_at").over(by_day).alias("day_after"))
+    steps = steps.join(borders, [*PAIR, "day"]).withColumn("last", F.coalesce("last", "day_before"))
+    steps = steps.select(*PAIR, "run_at", "state", "next_at", F.col("last.state").alias("before"), F.col("last.next_at").alias("before_next"), F.coalesce("after", "day_after").alias("after_at"))
     gap = (F.col("before_next") < F.col("run_at")) & F.col("before").isNotNull()
     from_state = F.when(gap, F.lit(NOT_MEASURED)).otherwise(F.col("before"))
     seen = steps.select(*PAIR, "run_at", from_state.alias("was"), F.col("state").alias("now")).where("was is null or was <> now")
