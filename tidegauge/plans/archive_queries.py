@@ -155,6 +155,20 @@ def q_store(spark, sf):
     return store.read_runs(spark, path).groupBy(F.col("g").cast("string").alias("g")).agg(F.count_if(F.col("p") == f"{NS}completedEndpoint").alias("endpoints")).crossJoin(missing)  # one row
 
 
+def q_patterns(spark, sf):
+    """Newest measurements with and without declines (EXISTS, NOT EXISTS), united, an optional sample
+    bound to a number, two verdicts, and the newest thousand by instant and endpoint."""
+    r = readings(spark, sf)
+    newest = current.newest_measured(r).select("endpoint", "metric", "run_at", "verdict")
+    declined = r.where("kind = 'declined'").select(*current.PAIR).distinct()
+    both = newest.join(declined, current.PAIR, "left_semi").withColumn("arm", F.lit("declined too"))
+    both = both.unionByName(newest.join(declined, current.PAIR, "left_anti").withColumn("arm", F.lit("never declined")))
+    sample = r.where("observed_count > 500").groupBy(*current.PAIR).agg(F.max("observed_count").alias("sampled"))
+    rows = both.join(sample, current.PAIR, "left").withColumns({"bound": F.col("sampled").isNotNull(), "size": F.coalesce("sampled", F.lit(0).cast("long"))})
+    rows = rows.where(F.col("verdict").isin("verified", "absent")).orderBy(F.desc("run_at"), "endpoint", "metric").limit(1000)
+    return _text(rows.select("endpoint", "metric", "run_at", "verdict", "arm", "bound", "size"), "run_at")
+
+
 def q_pending(spark, sf):
     """S3: the archive's files by digest against a manifest that knows half of them, one changed."""
     a = archive(spark, sf)
@@ -344,6 +358,15 @@ def q_dormancy_facts(spark, sf):
 
 _M1 = "metric = 'm1' AND kind = 'measured'"
 QUERIES = {
+    "r13_r16_patterns": (
+        q_patterns,
+        f"""{READINGS_SQL}, m AS (SELECT endpoint, metric, run_at, verdict FROM (SELECT *, row_number() OVER (PARTITION BY endpoint, metric ORDER BY run_at DESC) AS k FROM readings WHERE kind = 'measured') WHERE k = 1),
+a AS (SELECT *, 'declined too' AS arm FROM m WHERE EXISTS (SELECT 1 FROM readings r WHERE r.kind = 'declined' AND r.endpoint = m.endpoint AND r.metric = m.metric)
+  UNION ALL SELECT *, 'never declined' FROM m WHERE NOT EXISTS (SELECT 1 FROM readings r WHERE r.kind = 'declined' AND r.endpoint = m.endpoint AND r.metric = m.metric)),
+o AS (SELECT endpoint, metric, max(observed_count) AS sampled FROM readings WHERE observed_count > 500 GROUP BY 1, 2)
+SELECT endpoint, metric, strftime(run_at, '%Y-%m-%d %H:%M:%S') AS run_at, verdict, arm, sampled IS NOT NULL AS bound, CAST(coalesce(sampled, 0) AS BIGINT) AS size
+FROM a LEFT JOIN o USING (endpoint, metric) WHERE verdict IN ('verified', 'absent') ORDER BY a.run_at DESC, endpoint, metric LIMIT 1000""",
+    ),
     "v1_cuts": (q_cuts, f"{READINGS_SQL} SELECT CASE WHEN extract(hour FROM run_at) = 23 THEN 1 ELSE 0 END AS discarded, false AS refused, count(DISTINCT run) AS files FROM readings GROUP BY 1"),
     "v1_cut_quads": (q_cut_quads, f"{READINGS_SQL} SELECT 0 AS torn, count(DISTINCT run) AS files FROM readings"),
     "v3_graph_faults": (
