@@ -100,7 +100,7 @@ def advance_current(current: DataFrame, delta: DataFrame, reloaded: DataFrame, a
     """
     again = reloaded.select("run").distinct()
     stale = current.join(again, "run", "left_semi").select(*PAIR).distinct()
-    kept = current.join(again, "run", "left_anti")
+    kept = current.join(again, "run", "left_anti").select(*current.columns)
     merged = current_readings(kept.unionByName(delta.join(stale, PAIR, "left_anti")))
     return merged.unionByName(current_readings(archive(stale).join(stale, PAIR, "left_semi")))
 
