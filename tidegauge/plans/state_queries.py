@@ -236,13 +236,14 @@ def q_run_status(spark, sf):
     """R3 over two archives: all runs (the newest lacks its end), and those that have theirs (the newest is whole).
 
     Runs before the 3rd do not say how they are written. A run completes the
-    endpoints it measured, and declares every fifth user dormant whom it did not.
+    endpoints it measured; the newest declares every fifth user dormant whom it did not.
     """
     every, out = readings(spark, sf), None
     for name, r in (("all", every), ("ended", every.where("hour(run_at) <> 23"))):
         runs = _runs(r).withColumn("emission", F.when(F.dayofmonth("run_at") >= 3, "1"))
         done = r.where("kind = 'measured'").select("run", "endpoint").distinct()
-        dormant = runs.select("run").crossJoin(F.broadcast(r.select("endpoint").distinct().where("substr(endpoint, -1) in ('0', '5')")))
+        newest = runs.agg(F.max_by("run", F.struct("run_at", "run")).alias("run"))  # one row: dormancy is asked of the newest run alone
+        dormant = r.select("endpoint").distinct().where("substr(endpoint, -1) in ('0', '5')").crossJoin(F.broadcast(newest))
         dormant = dormant.join(r.select("run", "endpoint").distinct(), ["run", "endpoint"], "left_anti")
         rows = readers.run_status(readers.index(current.current_readings(r), current.current_run(r), runs), done, dormant).withColumn("archive", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
