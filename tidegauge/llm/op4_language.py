@@ -195,14 +195,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = docs.select(column(doc_id).cast("string").alias("id"), column(text).cast("string").alias("text"), column(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out(F.col("id"))).withColumn("h", F.xxhash64("id", "lang", "text"))
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Distinct rows to within a few in a hundred, which the 1.2 below leaves room for.
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     labels = sorted(counts)
     if not labels:
         return ByteConvNet([])
     # A threshold on the hash thins each label to about the bound; the least hashes of those are the sample.
     share = F.lit(1.0)
     for label, n in counts.items():
-        share = F.when(F.col("lang") == label, F.lit(min(1.0, (1.2 * sample + 20) / n))).otherwise(share)
+        share = F.when(F.col("lang") == label, F.lit(min(1.0, (1.2 * sample + 20) / max(n, 1)))).otherwise(share)
     order = F.xxhash64("h")
     near = rows.where(F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)).select("lang", "h", F.substring("text", start + 1, F.lit(WINDOW)).alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "h", "text"))
