@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidegauge.llm import bits
 from tidegauge.llm import op1_quality as op1
 from tidegauge.llm import op2_decontamination as op2
 from tidegauge.llm import op3_bpe as op3
@@ -117,24 +118,28 @@ def test_decontamination(spark, docs, bench):
                     hit |= set(range(k, k + len(win)))
                     items |= names
         want.append((str(i), len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    whole = op2.find_windows.__defaults__
-    for limit, tokens in (("10485760", 500_000), ("-1", 500_000), ("-1", 0)):
+    whole = bits.LEAST, bits.MOST
+    for limit, sizes in (("10485760", whole), ("-1", whole), ("-1", (64, 64))):  # in 64 bits most words pass for sought ones
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-        op2.find_windows.__defaults__ = (*whole[:-1], tokens)
+        bits.LEAST, bits.MOST = sizes
         try:
             out = op2.decontaminate(docs, bench)
             got = out.collect()
+            clean = op2.decontamination_stage(docs, bench).collect()
             plan = op2.find_windows(docs.select(op2._key("doc_id", "text").alias("key"), "text"), bench)[1]._jdf.queryExecution().executedPlan().toString()
             split = docs.select(op2._key("doc_id", "text").alias("key"), op2.words(F.col("text")).alias("w"))
-            placed = op2.occurrences(split, op2.benchmark_windows(bench).select(F.col("win")[0].alias("token")), tokens)._jdf.queryExecution().executedPlan().toString()
+            probes = op2.benchmark_windows(bench).select(F.col("win")[0].alias("token"), F.lit(None).cast("string").alias("left"), F.get("win", F.lit(1)).alias("right"))
+            here = op2.occurrences(split, probes)
+            placed = here._jdf.queryExecution().executedPlan().toString()
             counted = op2.corpus_counts(docs.select(op2.words(F.col("text")).alias("w")), op2.benchmark_windows(bench))._jdf.queryExecution().executedPlan().toString()
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-            op2.find_windows.__defaults__ = whole
+            bits.LEAST, bits.MOST = whole
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
-        assert ("SortMergeJoin" in placed) == (tokens == 0)
-        if not tokens:  # what is shuffled by token: the key, places and three words
-            assert re.search(r"Project \[key#\d+, n#\d+, pos#\d+, token#\d+, w#\d+\[\(pos#\d+ - 1\)\] AS before#\d+, w#\d+\[\(pos#\d+ \+ 1\)\] AS after#\d+\]", placed)
+        assert sorted(str(r.doc_id) for r in clean) == sorted(w[0] for w in want if not w[-1])
+        assert here.columns == ["key", "n", "pos", "token", "before", "after"]
+        # Words are thinned out and lose their text in the stage that reads it: no join, no broadcast, one exchange (the fixture's own).
+        assert "Join" not in placed and "BroadcastExchange" not in placed and len(re.findall(r"Exchange (?!RoundRobin|SinglePartition)", placed)) == 0
         assert "Python" not in plan and "Generate" not in plan  # texts come back whole, once for each document
         assert re.search(r"Exchange hashpartitioning\(token[^\n]*\n[^\n]*HashAggregate\(keys=\[token[^\n]*partial_count", counted)
     assert op2.decontaminate(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
@@ -183,6 +188,26 @@ def test_language(spark, docs):
     assert all(np.array_equal(net.params[k], again.params[k]) for k in net.params)
 
 
+def test_bits_tell_rows_apart(spark):
+    hashes = spark.range(0, 4000, 2).select(F.xxhash64("id").alias("h"))
+    found, size = bits.bit_array(hashes)
+    passed = spark.range(4000).where(bits.may_be_in(F.xxhash64("id"), found, size))
+    assert size == 1 << 16 and passed.where("id % 2 = 0").count() == 2000 and passed.where("id % 2 = 1").count() < 60
+    none, least = bits.bit_array(hashes.limit(0))
+    assert least == bits.LEAST and spark.range(100).where(bits.may_be_in(F.xxhash64("id"), none, least)).isEmpty()
+
+
+def test_language_counts_repeated_rows_once(spark):
+    """A label whose rows are each repeated teaches as the same rows do once."""
+    rng = random.Random(3)
+    make = lambda tails: " ".join(rng.choice(WORDS)[:3] + rng.choice(tails) for _ in range(60))
+    rows = [(k, make(("ung", "keit", "sch")), "de") if k % 2 else (k, make(("eau", "tion", "ée")), "fr") for k in range(400)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    often = once.where("lang = 'fr'").unionByName(once.where("lang = 'de'").join(spark.range(200).select(F.col("id").alias("again")), F.lit(True)).drop("again"))
+    alone, repeated = op4.train(once, sample=60), op4.train(often, sample=60)
+    assert all(np.array_equal(alone.params[k], repeated.params[k]) for k in alone.params)
+
+
 def test_no_letter_is_no_language():
     net = op4.ByteConvNet(["de", "fr"])
     for text in (None, "", " \n", "123", "½ ²", "①②", "Ⅳ", "🙂 !?", "٣٤", "_-_"):
@@ -573,6 +598,20 @@ def test_quality(spark, docs):
     assert len(odd) == len(ROWS) and not any(r.selected for r in odd if r.doc_id in (4, 5))
 
 
+def test_quality_ranks_held_out_labels(spark, sf):
+    """Good texts whose label the model never saw weigh more than bad ones: the chance that they do, over all pairs."""
+    larger = sf.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    labels = spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", "quality", "toxic").where("quality is not null")
+    shown = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 0)
+    judged = op1.resample(docs, shown).join(labels.join(shown, "doc_id", "left_anti"), "doc_id").where("n_grams > 0").select("log_weight", (F.expr("quality = 1 and coalesce(toxic, 0) = 0")).alias("good")).toPandas()
+    ranks, good = judged["log_weight"].rank(), judged["good"]
+    n, m = int(good.sum()), int((~good).sum())
+    assert n > 20 and m > 20
+    auc = (ranks[good].sum() - n * (n + 1) / 2) / (n * m)
+    assert auc > 0.8, auc
+
+
 def test_quality_against_brute_force(spark):
     """Weights and selection of a table by plain loops over dictionaries."""
     rows = [(k, None if k == 7 else "" if k == 8 else _text(k, 30 + k) + (" Gut! %%% ###" * (k % 5)), "x") for k in range(60)] + [(None, _text(3, 40), "x")]

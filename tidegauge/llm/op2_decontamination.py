@@ -7,10 +7,12 @@ the occurrences of those tokens are joined. Each such occurrence fixes where the
 window would start; the length and positional bounds drop starts that do not
 fit, and comparing the window-sized slice verifies containment exactly.
 
-Rarity is the number of occurrences in the whole corpus. The joined rows are
+Rarity is the number of occurrences in the whole corpus. The words of a text are
+thinned out where they are read, by an array of bits that holds each prefix with
+its neighbour in the window; what passes is joined exactly. The joined rows are
 (row key, place, token and its two neighbours): no text travels with its words,
 whatever the size of the benchmark. The texts of documents with candidates come
-back once each, for the slices.
+back once each, for the slices, thinned out in the same way.
 """
 
 from __future__ import annotations
@@ -20,18 +22,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.llm.bits import bit_array, may_be_in
 from tidegauge.llm.columns import column, fresh
 from tidegauge.session import materialise, table
 
 WINDOW = 13
 #: A text is contaminated if hit words are at least 1 in SHARE.
 SHARE = 20
-#: Distinct rarest words that are broadcast (some 100 bytes each) to thin out the words of the
-#: corpus; beyond that the words are shuffled for the same join.
-BROADCAST_TOKENS = 500_000
-#: Documents with candidates whose keys (some 100 bytes each) are broadcast to fetch their texts;
-#: beyond that all texts are shuffled once.
-BROADCAST_KEYS = 1_000_000
 
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,8 +53,9 @@ def corpus_counts(texts: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows (token, n): how often each word of the windows occurs in all texts; words that never do are left out.
 
     Counted before the join, so a frequent word is one row per task in the shuffle.
+    The outer form spares a second split of every text, which tells empty ones apart.
     """
-    counts = texts.select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = texts.select(F.explode_outer("w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return counts.join(windows.select(F.explode("win").alias("token")).distinct(), "token", "left_semi")
 
 
@@ -69,20 +67,30 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return best.where("found = width").select("best.token", "best.offset", "width", "win", "items")
 
 
-def occurrences(split: DataFrame, probes: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
-    """Rows (key, n, pos, token, before, after): where rarest words stand in texts of n words.
+def _marked(kind: str, *parts: str) -> Column:
+    return F.xxhash64(F.lit(kind), *parts)
 
-    Each text also has a row at pos n with an empty token. ``split`` has key and w.
+
+def occurrences(split: DataFrame, probes: DataFrame) -> DataFrame:
+    """Rows (key, n, pos, token, before, after): where rarest words may stand beside their neighbours in texts of n words.
+
+    ``probes`` has token, left and right: the neighbours within a window, null at its
+    ends. Of the two, one is asked for: the right one, or else the left one. Each text
+    also has a row at pos n with an empty token. ``split`` has key and w.
     """
-    rare = materialise(probes.select("token").union(split.sparkSession.range(1).select(F.lit(""))).distinct(), "rare")
-    rare = F.broadcast(rare) if rare.count() <= broadcast_tokens else rare
+    asked = F.when(F.col("right").isNotNull(), _marked("right", "token", "right")).when(F.col("left").isNotNull(), _marked("left", "left", "token"))
+    bits, size = bit_array(probes.select(asked.otherwise(_marked("alone", "token")).alias("h")).distinct())
     w = F.concat("w", F.array(F.lit("")))
-    here = split.select("key", F.size("w").alias("n"), w.alias("w")).select("key", "n", "w", F.posexplode("w").alias("pos", "token"))
+    here = split.select("key", F.size("w").alias("n"), w.alias("w")).select("key", "n", "w", F.posexplode_outer("w").alias("pos", "token"))
     here = here.select("key", "n", "pos", "token", F.get("w", F.col("pos") - 1).alias("before"), F.get("w", F.col("pos") + 1).alias("after"))
-    return here.join(rare, "token", "left_semi")
+    ways = (_marked("right", "token", "after"), _marked("left", "before", "token"), _marked("alone", "token"))
+    passed = F.col("token") == ""
+    for way in ways:
+        passed = passed | may_be_in(way, bits, size)
+    return here.where(passed)
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_tokens: int = BROADCAST_TOKENS) -> tuple[DataFrame, DataFrame]:
+def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Rows (key, n) of all texts, and rows (key, at, width, items) of every occurrence of a benchmark window.
 
     ``docs`` has columns key and text; equal keys mean equal texts. at is the
@@ -90,18 +98,16 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, br
     """
     windows = materialise(benchmark_windows(benchmark, window=window), "windows")
     split = docs.select("key", words(F.col("text")).alias("w"))
-    counts = materialise(corpus_counts(split, windows), "counts")
     near = [F.when(F.col("offset") > 0, F.get("win", F.col("offset") - 1)).alias("left"), F.get("win", F.col("offset") + 1).alias("right")]
-    probes = materialise(prefixes(windows, counts).select("*", *near), "probes")
-    here = materialise(occurrences(split, probes, broadcast_tokens), "here")
+    probes = materialise(prefixes(windows, corpus_counts(split, windows)).select("*", *near), "probes")
+    here = materialise(occurrences(split, probes), "here")
     start = F.col("pos") - F.col("offset")
     inside = (start >= 0) & (start + F.col("width") <= F.col("n"))
     fits = (F.col("left").isNull() | (F.col("left") == F.col("before"))) & (F.col("right").isNull() | (F.col("right") == F.col("after")))
     found = here.where("token <> ''").join(probes, "token").where(inside & fits).select("key", start.alias("at"), "width", "win", "items")
     candidates = materialise(found.distinct(), "candidates")
-    keys = materialise(candidates.select("key").distinct(), "keys")
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    texts = docs.join(keys, "key", "left_semi").dropDuplicates(["key"])
+    bits, size = bit_array(candidates.select(F.xxhash64("key").alias("h")).distinct())
+    texts = docs.where(may_be_in(F.xxhash64("key"), bits, size)).dropDuplicates(["key"])
     slices = texts.select("key", words(F.col("text")).alias("w")).join(candidates, "key")
     hits = slices.where(F.slice("w", F.col("at") + 1, F.col("width")) == F.col("win")).select("key", "at", "width", "items")
     return here.where("token = ''").select("key", "n"), hits
@@ -169,8 +175,10 @@ def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     (bad,) = fresh(docs, "bad")
     found = _judge(docs, benchmark, "doc_id", "text", WINDOW, SHARE).where("contaminated").select(F.col("key").alias(bad)).distinct()
     found = materialise(found, "contaminated")
-    found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
-    return docs.join(found, _key("doc_id", "text") == F.col(bad), "left_anti")
+    bits, size = bit_array(found.select(F.xxhash64(bad).alias("h")))
+    key = _key("doc_id", "text")
+    suspect = may_be_in(F.xxhash64(key), bits, size)
+    return docs.where(~suspect).unionByName(docs.where(suspect).join(found, key == F.col(bad), "left_anti"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
