@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegauge.session import table
 
 RUN_TEXT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
-def raw_readings(spark: SparkSession, sf_dir: str, endpoint: Column | None = None) -> DataFrame:
-    """events as readings, before runs that state a pair twice are settled."""
-    e = table(spark, sf_dir, "events")
-    at = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+def raw_readings(spark: SparkSession, sf_dir: str, endpoint: Column | None = None, by_run: bool = False) -> DataFrame:
+    """events as readings, before runs that state a pair twice are settled; on demand with a run's rows in one task."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("run_at"))
+    e, at = e.repartition("run_at") if by_run else e, F.col("run_at")
     declined = F.col("event_type") == "purchase"
     verdict = F.when(F.col("event_type") == "view", "verified").when(F.col("event_type") == "click", "undeclared-but-verified")
     verdict = verdict.when(F.col("event_type") == "signup", "absent").when(F.col("event_type") == "error", "indeterminate")
@@ -22,7 +23,7 @@ def raw_readings(spark: SparkSession, sf_dir: str, endpoint: Column | None = Non
     name = endpoint if endpoint is not None else F.concat(F.lit("urn:user:"), F.col("user_id"))
     ms = F.floor(F.col("value") * 100).cast("long")
     return e.select(
-        "event_id", F.concat(F.lit("urn:run:"), F.date_format(at, RUN_TEXT)).alias("run"), at.alias("run_at"), name.alias("endpoint"),
+        "event_id", F.concat(F.lit("urn:run:"), F.date_format(at, RUN_TEXT)).alias("run"), "run_at", name.alias("endpoint"),
         F.when(never, "m-declined").otherwise(F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string"))).alias("metric"),
         F.when(declined, "declined").otherwise("measured").alias("kind"), F.when(~declined, verdict).alias("verdict"),
         F.when(declined, F.when(policy, "cadence").otherwise("liveness-failed")).alias("reason"), F.lit(None).cast("int").alias("level"),
@@ -39,6 +40,13 @@ def readings(spark: SparkSession, sf_dir: str, endpoint: Column | None = None) -
     return first.select(*keys, "r.*").drop("event_id")
 
 
+def readings_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same readings, all of a run in one task and sorted by endpoint and metric: one shuffle of the events, one sort."""
+    raw = raw_readings(spark, sf_dir, by_run=True)
+    first = F.row_number().over(Window.partitionBy("run_at", "endpoint", "metric").orderBy("event_id"))
+    return raw.withColumn("_k", first).where("_k = 1").drop("_k", "event_id")
+
+
 def fleet_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of ten endpoints, so that a day holds many."""
     return readings(spark, sf_dir, F.concat(F.lit("urn:user:"), F.col("user_id") % 10))

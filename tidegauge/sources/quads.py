@@ -103,8 +103,8 @@ def to_lines(quads: DataFrame) -> DataFrame:
     return quads.select(to_line().alias("value"))
 
 
-def to_nquads(readings: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
-    """Readings as quads: one node per measurement or decline, in its run's graph."""
+def reading_facts(namespace: str = NAMESPACE) -> tuple[Column, list[tuple[Column, str, Column, str, str | None]]]:
+    """The node of a reading, and what is said of it as (whether, predicate, object, kind, datatype)."""
     xsd = "http://www.w3.org/2001/XMLSchema#"
     instant = F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     measured = F.col("kind") == "measured"
@@ -113,15 +113,21 @@ def to_nquads(readings: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     )
     metric = F.concat(F.lit(f"{namespace}metric:"), F.col("metric"))
     activity = F.concat(F.lit(f"{namespace}activity:"), instant)
-    fact = lambda when, p, o, kind="iri", dt=None: F.when(when & o.isNotNull(), F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_datatype")))
-    facts = F.array(
+    fact = lambda when, p, o, kind="iri", dt=None, known=None: (when & (o if known is None else known).isNotNull(), p, o.cast("string"), kind, dt)
+    return name, [
         fact(measured, RDF_TYPE, F.lit(f"{DQV}QualityMeasurement")), fact(~measured, RDF_TYPE, F.lit(f"{namespace}NotMeasured")),
-        fact(measured, f"{DQV}computedOn", F.col("endpoint")), fact(measured, f"{DQV}isMeasurementOf", metric), fact(measured, f"{DQV}value", F.col("verdict"), "literal"),
-        fact(~measured, f"{namespace}notMeasuredOn", F.col("endpoint")), fact(~measured, f"{namespace}notMeasuredMetric", metric),
+        fact(measured, f"{DQV}computedOn", F.col("endpoint")), fact(measured, f"{DQV}isMeasurementOf", metric, known=F.col("metric")), fact(measured, f"{DQV}value", F.col("verdict"), "literal"),
+        fact(~measured, f"{namespace}notMeasuredOn", F.col("endpoint")), fact(~measured, f"{namespace}notMeasuredMetric", metric, known=F.col("metric")),
         fact(~measured, f"{namespace}notMeasuredReason", F.col("reason"), "literal"),
         fact(measured, f"{namespace}level", F.col("level"), "literal", f"{xsd}integer"), fact(measured, f"{namespace}elapsedMs", F.col("elapsed_ms"), "literal", f"{xsd}integer"),
         fact(measured, f"{namespace}declaredCount", F.col("declared_count"), "literal", f"{xsd}integer"),
-        fact(measured, f"{namespace}observedCount", F.col("observed_count"), "literal", f"{xsd}integer"), fact(F.lit(True), f"{PROV}wasGeneratedBy", activity),
-    )
+        fact(measured, f"{namespace}observedCount", F.col("observed_count"), "literal", f"{xsd}integer"), fact(F.lit(True), f"{PROV}wasGeneratedBy", activity, known=F.col("run_at")),
+    ]
+
+
+def to_nquads(readings: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
+    """Readings as quads: one node per measurement or decline, in its run's graph."""
+    name, said = reading_facts(namespace)
+    facts = F.array(*[F.when(when, F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_datatype"))) for when, p, o, kind, dt in said])
     rows = readings.select(name.alias("s"), F.col("run").alias("g"), F.explode(F.filter(facts, lambda f: f.isNotNull())).alias("f"))
     return rows.select("s", F.lit("iri").alias("s_kind"), "f.p", "f.o", "f.o_kind", "f.o_datatype", F.lit(None).cast("string").alias("o_lang"), "g")
