@@ -37,16 +37,17 @@ def scope(triples: DataFrame, endpoints: DataFrame, rounds: int = 64) -> DataFra
     """
     service = triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == f"{SD}Service") & (F.col("o_kind") == "iri")).select("g", "s")
     named = triples.where(F.col("p") == f"{SD}endpoint").select("g", "s", "o", "o_kind")
-    services = service.unionByName(named.select("g", "s")).distinct()
+    services = materialise(service.unionByName(named.select("g", "s")).distinct(), "services")
     matched = named.where("o_kind = 'iri'").join(endpoints, "g").where(same_endpoint_key(F.col("o")) == same_endpoint_key(F.col("endpoint"))).select("g", "s").distinct()
+    matched = materialise(matched, "reached")
     counts = services.groupBy("g").agg(F.count("*").alias("services")).join(matched.groupBy("g").agg(F.count("*").alias("matches")), "g", "left")
     several = materialise(endpoints.select("g").distinct().join(counts, "g", "left"), "scopes")
     whole = several.where("services is null or (matches is null and services = 1)").select("g")
 
     links = triples.where(F.col("p").isin(*LINKING) & (F.col("o_kind") != "literal")).select("g", "s", F.col("o").alias("next"))
     foreign = services.join(matched, ["g", "s"], "left_anti").withColumnRenamed("s", "next")
-    links = materialise(links.join(foreign, ["g", "next"], "left_anti").distinct(), "links")
-    reached = frontier = materialise(matched, "reached")
+    links = materialise(links.join(foreign, ["g", "next"], "left_anti"), "links")
+    reached = frontier = matched
     for _ in range(rounds):
         step = links.join(frontier, ["g", "s"]).select("g", F.col("next").alias("s")).distinct().join(reached, ["g", "s"], "left_anti")
         frontier = materialise(step, "frontier")
