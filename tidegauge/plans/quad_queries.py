@@ -11,7 +11,7 @@ from tidegauge.functions.rotation import rotation_bucket
 from tidegauge.operators import facts, gates, planning, profile, readers, registry, rollup, search, verdicts
 from tidegauge.plans.adapters import QUADS_SQL, READINGS_SQL, quads, readings
 from tidegauge.schemas import NAMESPACE, PROV
-from tidegauge.session import shared_dir, table
+from tidegauge.session import materialise, shared_dir, table
 from tidegauge.sources import quads as nq
 from tidegauge.sources import store
 
@@ -459,7 +459,7 @@ def q_rotation_split(spark, sf):
 def q_gzip(spark, sf):
     """The lines of all readings written as packed and as plain files, read back by one reader, line by line."""
     path = f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
-    lines = nq.to_lines(nq.to_nquads(readings(spark, sf)))
+    lines = nq.to_lines(nq.to_nquads(materialise(readings(spark, sf), "readings")))
     packed = F.contains("value", F.lit("measurement:"))
     lines.where(packed).write.option("compression", "gzip").text(path)
     lines.where(~packed).write.mode("append").text(path)

@@ -10,8 +10,11 @@ from tidegauge.functions.text import percent_encode
 from tidegauge.schemas import DQV, NAMESPACE, PROV, RDF_TYPE
 
 _IRI, _BLANK = r"<([^<>\"{}|^`\\\x00-\x20]*)>", r"(_:[^\s<>\"]+)"
-_LITERAL = r"\"((?:[^\"\\\n\r]|\\.)*)\"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
+_LITERAL = r"(\")([^\"\\\n\r]*+(?:\\.[^\"\\\n\r]*+)*+)\"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
 _LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*(?:{_IRI}|{_BLANK}|{_LITERAL})\s*(?:{_IRI})?\s*\.\s*$"
+#: The parts of a line by group of the pattern. No group can hold a line feed, so one replacement takes a line apart.
+_PARTS = ("si", "sb", "p", "oi", "ob", "q", "ol", "dt", "lang", "g")
+_APART = "".join(f"${k}\n" for k in range(1, len(_PARTS) + 1))
 
 
 def _unescape(text: Column) -> Column:
@@ -26,12 +29,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     Comments and blank lines go. A missing graph leaves g null.
     """
-    part = lambda k: F.regexp_extract("value", _LINE, k)
     body = lines.where("value is not null and trim(value) <> '' and not startswith(trim(value), '#')")
-    terms = body.withColumn("ok", F.col("value").rlike(_LINE)).select(
-        "src_file", "line_no", "ok", "value", part(1).alias("si"), part(2).alias("sb"), part(3).alias("p"), part(4).alias("oi"), part(5).alias("ob"),
-        part(6).alias("ol"), part(7).alias("dt"), part(8).alias("lang"), part(9).alias("g"), F.regexp_extract("value", rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*(\"?)", 4).alias("q"),
-    )
+    # The pattern is matched once a line; a line that it does not match stays as it is.
+    apart = body.select("src_file", "line_no", "value", F.regexp_replace("value", _LINE, _APART).alias("apart"))
+    fields = apart.select("src_file", "line_no", "value", (F.col("apart") != F.col("value")).alias("ok"), F.split("apart", "\n").alias("f"))
+    terms = fields.select("src_file", "line_no", "ok", "value", *[F.get("f", k).alias(c) for k, c in enumerate(_PARTS)])
     literal, ok = F.col("q") == '"', F.col("ok")
     none = lambda c: F.when(ok & (c != ""), c)
     return terms.select(
