@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.schemas import NAMESPACE, is_policy
+from tidegauge.session import materialise
 
 PAIR = ["endpoint", "metric"]
 
@@ -77,7 +78,9 @@ def rebuild_current(quads: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     """Current readings from all quads of an archive; runs that tie for newest are refused."""
     from tidegauge.operators import facts, gates
 
-    return current_readings(refuse_ties(facts.readings(gates.cut_to_last_terminator(quads, namespace), namespace), PAIR))
+    # Both the check and the result read them.
+    readings = materialise(facts.readings(gates.cut_to_last_terminator(quads, namespace), namespace), "readings")
+    return current_readings(refuse_ties(readings, PAIR))
 
 
 def merge_current(current: DataFrame, delta: DataFrame) -> DataFrame:
