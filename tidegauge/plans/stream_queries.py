@@ -113,10 +113,9 @@ def q_ingest(spark, sf):
     """The archive as run files, loaded with all gates; runs that contradict themselves (V4) are refused."""
     base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     a = archive(spark, sf)
-    lines = a.select("src_file", "line_no", nq.to_line().alias("value")).groupBy("src_file").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("all"))
-    # A file for each run, as a sweep leaves it.
-    files = lines.select(F.regexp_replace("src_file", "[^A-Za-z0-9.-]", "_").alias("name"), F.array_join(F.transform("all", lambda x: x["value"]), "\n").alias("value"))
-    files.repartition("name").write.partitionBy("name").text(f"{base}/runs")
+    # A file for each run, as a sweep leaves it: its lines are sorted in its task, never gathered in a row.
+    lines = a.select(F.regexp_replace("src_file", "[^A-Za-z0-9.-]", "_").alias("name"), "line_no", nq.to_line().alias("value"))
+    lines.repartition("name").sortWithinPartitions("name", "line_no").select("name", "value").write.partitionBy("name").text(f"{base}/runs")
     faults = f"{base}/refused"
     stream = jobs.archive_stream(spark, f"{base}/runs/*", files_per_trigger=10_000)
     jobs.ingest(stream, f"{base}/store", f"{base}/log", on_refused=lambda f: f.write.mode("append").parquet(faults)).awaitTermination()
