@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.schemas import DQV, NAMESPACE
+from tidegauge.schemas import DQV, NAMESPACE, PROV, RDF_TYPE
 
 #: The predicates that close a section: header, dormancy, endpoint chunk, footer.
 TERMINATORS = ("emission", "dormantCount", "completedEndpoint", "finalised")
@@ -33,9 +33,12 @@ def cuts(quads: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     return files.select("src_file", F.coalesce("cut", "lines").alias("cut"), (F.col("lines") - F.coalesce("cut", "lines")).alias("discarded"), refused.alias("refused"))
 
 
-def cut_to_last_terminator(quads: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
-    """V1: the quads up to each file's last terminator; refused files are left out."""
-    ends = cuts(quads, namespace).where("not refused").select("src_file", "cut")
+def cut_to_last_terminator(quads: DataFrame, namespace: str = NAMESPACE, ends: DataFrame | None = None) -> DataFrame:
+    """V1: the quads up to each file's last terminator; refused files are left out.
+
+    ``ends`` has what ``cuts`` gives, where it is known.
+    """
+    ends = (cuts(quads, namespace) if ends is None else ends).where("not refused").select("src_file", "cut")
     return quads.join(ends, "src_file").where("line_no <= cut").drop("cut")
 
 
@@ -55,6 +58,12 @@ def governed(quads: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     return objects.unionByName(subjects).unionByName(sampled.join(by, ["g", "s"], "left_semi").select("g", "endpoint")).distinct()
 
 
+def asked(quads: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
+    """The quads that ``governed``, ``dormant`` and the instants of runs are made of, one in six or so of an archive's."""
+    named = [f"{DQV}computedOn", f"{PROV}generatedAtTime", *[namespace + n for n in ("notMeasuredOn", "declarationsRead", "sampledFrom", "sampledBy", "dormantEndpoint")]]
+    return quads.where(F.col("p").isin(*named) | ((F.col("p") == RDF_TYPE) & (F.col("o") == f"{PROV}Activity")))
+
+
 def dormant(quads: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     return quads.where(F.col("p") == f"{namespace}dormantEndpoint").select("g", F.col("o").alias("endpoint")).distinct()
 

@@ -14,7 +14,8 @@ RUN_TEXT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 def raw_readings(spark: SparkSession, sf_dir: str, endpoint: Column | None = None, by_run: bool = False) -> DataFrame:
     """events as readings, before runs that state a pair twice are settled; on demand with a run's rows in one task."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("run_at"))
-    e, at = e.repartition("run_at") if by_run else e, F.col("run_at")
+    # An event becomes many lines, so tasks are cut by number: by the size of events they would be too large.
+    e, at = e.repartition(8 * spark.sparkContext.defaultParallelism, "run_at") if by_run else e, F.col("run_at")
     declined = F.col("event_type") == "purchase"
     verdict = F.when(F.col("event_type") == "view", "verified").when(F.col("event_type") == "click", "undeclared-but-verified")
     verdict = verdict.when(F.col("event_type") == "signup", "absent").when(F.col("event_type") == "error", "indeterminate")

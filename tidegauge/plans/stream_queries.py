@@ -12,11 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 from tidegauge.operators import rollup
 from tidegauge.operators.planning import Thresholds
 from tidegauge.plans.adapters import FLEET_SQL, READINGS_SQL, RUN_TEXT, fleet_readings, readings
-from tidegauge.plans.archive_queries import archive
+from tidegauge.plans.archive_queries import archive_lines
 from tidegauge.plans.state_queries import _text
 from tidegauge.schemas import NAMESPACE as NS
 from tidegauge.schemas import display_state
-from tidegauge.session import shared_dir, ship
+from tidegauge.session import remove, remove_at_end, shared_dir, ship
 from tidegauge.sources import quads as nq
 from tidegauge.sources import store
 from tidegauge.streaming import jobs
@@ -112,13 +112,14 @@ def q_current_stream(spark, sf):
 def q_ingest(spark, sf):
     """The archive as run files, loaded with all gates; runs that contradict themselves (V4) are refused."""
     base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    a = archive(spark, sf)
-    # A file for each run, as a sweep leaves it: its lines are sorted in its task, never gathered in a row.
-    lines = a.select(F.regexp_replace("src_file", "[^A-Za-z0-9.-]", "_").alias("name"), "line_no", nq.to_line().alias("value"))
-    lines.repartition("name").sortWithinPartitions("name", "line_no").select("name", "value").write.partitionBy("name").text(f"{base}/runs")
+    # A packed file for each run, as a sweep leaves it. Its lines are made in one task, which sorts them: none is shuffled, and nothing but the files is written.
+    lines = archive_lines(spark, sf).select(F.translate("src_file", ":", "_").alias("name"), "line_no", nq.to_line().alias("value"))
+    lines.sortWithinPartitions("name", "line_no").select("name", "value").write.partitionBy("name").option("compression", "gzip").text(f"{base}/runs")
+    remove_at_end(spark, base)
     faults = f"{base}/refused"
     stream = jobs.archive_stream(spark, f"{base}/runs/*", files_per_trigger=10_000)
     jobs.ingest(stream, f"{base}/store", f"{base}/log", on_refused=lambda f: f.write.mode("append").parquet(faults)).awaitTermination()
+    remove(spark, f"{base}/runs")  # all loaded or refused
     loaded = store.read_runs(spark, f"{base}/store").groupBy(F.col("g").cast("string").alias("run")).agg(F.count_if(F.col("p") == f"{NS}completedEndpoint").alias("endpoints"))
     refused = spark.read.parquet(faults).where("fault = 'contradiction'").agg(F.count("*").alias("refused"))
     return loaded.crossJoin(refused)  # one row

@@ -28,33 +28,39 @@ def archive_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
     return files.select(F.regexp_replace(F.col("_metadata.file_path"), "\\.gz$", "").alias("src_file"), "value")
 
 
-def load_faults(quads: DataFrame, stored: RunStore | None, namespace: str = NAMESPACE, kept: DataFrame | None = None) -> DataFrame:
+def load_faults(
+    quads: DataFrame, stored: RunStore | None, namespace: str = NAMESPACE, ends: DataFrame | None = None, asked: DataFrame | None = None
+) -> DataFrame:
     """Rows (src_file, fault) of run files that must not be loaded.
 
     Lines that do not parse; V2 fragments of a header; V3 wrong graphs; V4 a graph
     that contradicts itself; V5 dormancy of what a stored graph has facts of; V6 a
     run at the instant of another run. Only what stands before the last terminator
-    (``kept``) counts, but for lines that do not parse and graphs.
+    counts, but for lines that do not parse and graphs.
 
     Of what is stored, the catalogue gives the instants, and tells which runs might have
-    facts of endpoints now said to be dormant; only those runs are read.
+    facts of endpoints now said to be dormant; only those runs are read. ``ends`` and
+    ``asked`` have what ``gates.cuts`` and ``gates.asked`` give of these quads, where it
+    is written already.
     """
     good = quads.where("bad is null")
-    kept = gates.cut_to_last_terminator(good, namespace) if kept is None else kept
+    ends = gates.cuts(good, namespace) if ends is None else ends
+    kept = gates.cut_to_last_terminator(good, namespace, ends)
+    asked = gates.asked(kept, namespace) if asked is None else asked
     graphs = kept.select("g", "src_file").distinct()
     of_graph = lambda found, fault: found.select("g").distinct().join(graphs, "g").select("src_file", F.lit(fault).alias("fault"))
-    runs = facts.runs(kept, namespace).select("run", "run_at")
+    runs = facts.runs(asked, namespace).select("run", "run_at")
     instants = runs if stored is None else runs.unionByName(stored.catalogue().where("run_at is not null").select("run", "run_at"))
     tied = instants.groupBy("run_at").agg((F.min("run") != F.max("run")).alias("tied")).where("tied").join(runs, "run_at").select(F.col("run").alias("g"))
     found = [
-        quads.where("bad is not null").select("src_file", F.lit("line").alias("fault")), gates.cuts(good, namespace).where("refused").select("src_file", F.lit("header fragment").alias("fault")),
-        gates.graph_faults(good, namespace).select("src_file", "fault"), of_graph(gates.contradictions(kept, namespace), "contradiction"), of_graph(tied, "tie"),
+        quads.where("bad is not null").select("src_file", F.lit("line").alias("fault")), ends.where("refused").select("src_file", F.lit("header fragment").alias("fault")),
+        gates.graph_faults(good, namespace).select("src_file", "fault"), of_graph(gates.contradictions(asked, namespace), "contradiction"), of_graph(tied, "tie"),
     ]
     if stored is not None:
         # As many as the batch has runs, at most.
-        suspects = [r["g"] for r in stored.may_govern(gates.dormant(kept, namespace)).select("g").distinct().collect()]
+        suspects = [r["g"] for r in stored.may_govern(gates.dormant(asked, namespace)).select("g").distinct().collect()]
         if suspects:
-            found.append(of_graph(gates.rewrites(kept, stored.read(suspects), namespace), "rewritten history"))
+            found.append(of_graph(gates.rewrites(asked, stored.read(suspects), namespace), "rewritten history"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -76,10 +82,15 @@ def ingest(
         archive = RunStore(spark, store, namespace)
         digests = batch.select(F.col("src_file").alias("key"), F.sha2(F.col("value").cast("binary"), 256).alias("digest"))
         pending = materialise(pending_files(digests, archive.files()), "pending")
-        lines = batch.join(pending.select(F.col("key").alias("src_file")), "src_file").select("src_file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
+        known = F.broadcast(pending.select(F.col("key").alias("src_file")))
+        lines = batch.join(known, "src_file").select("src_file", F.posexplode(F.split(F.replace("value", F.lit("\r\n"), F.lit("\n")), "\n")).alias("n", "value"))
         quads = materialise(parse_lines(lines.select("src_file", (F.col("n") + 1).cast("long").alias("line_no"), "value")), "incoming")
-        kept = materialise(gates.cut_to_last_terminator(quads.where("bad is null"), namespace), "kept")
-        refused = materialise(load_faults(quads, archive if archive.version() >= 0 else None, namespace, kept), "refused")
+        # A row for each file of the batch, so what is kept is a filter of the lines and no copy of them.
+        good = quads.where("bad is null")
+        ends = materialise(gates.cuts(good, namespace), "ends")
+        kept = gates.cut_to_last_terminator(good, namespace, F.broadcast(ends))
+        asked = materialise(gates.asked(kept, namespace).select("g", "s", "p", "o", "o_kind"), "asked")
+        refused = materialise(load_faults(quads, archive if archive.version() >= 0 else None, namespace, F.broadcast(ends), asked), "refused")
         if on_refused:
             on_refused(refused)
         bad = refused.select("src_file").distinct()
@@ -87,7 +98,7 @@ def ingest(
         archive.write(sound, pending.join(bad, F.col("key") == F.col("src_file"), "left_anti"))
         if current:
             follow(archive, current)
-        for frame in (pending, quads, kept, refused):
+        for frame in (pending, quads, ends, asked, refused):
             release(frame)
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
