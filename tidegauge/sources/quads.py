@@ -45,12 +45,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (src_file, line_no, value) of all files under a path; .gz files are read as they are.
+def read_lines(spark: SparkSession, path: str | list[str], few: bool = False) -> DataFrame:
+    """Rows (src_file, line_no, value) of all files under a path, or of named files; .gz files are read as they are.
 
     Large files are read in byte ranges by several tasks. A line's number is its place in
     its range plus the lines of the ranges before it, which a first scan has counted. The
-    file key has no ``.gz``, so a packed file is the same file.
+    file key has no ``.gz``, so a packed file is the same file. ``few``: the files are so few
+    that the counts of their ranges may be broadcast; no line is shuffled then.
     """
     meta, place = F.col("_metadata"), F.monotonically_increasing_id()
     rows = spark.read.option("lineSep", "\n").text(path).select(
@@ -60,11 +61,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     keys = ["file", "start", F.shiftright("place", 33).alias("task")]
     ranges = rows.groupBy(*keys).agg(F.min("place").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")
-    ranges = ranges.select("file", "start", "task", (before - F.col("first") + 1).alias("shift"))
-    lines = rows.withColumn("task", F.shiftright("place", 33)).join(ranges, ["file", "start", "task"], "left")
+    ranges = ranges.select("file", "start", "task", F.regexp_replace("file", "\\.gz$", "").alias("src_file"), (before - F.col("first") + 1).alias("shift"))
+    lines = rows.withColumn("task", F.shiftright("place", 33)).join(F.broadcast(ranges) if few else ranges, ["file", "start", "task"], "left")
     # Both scans cut the files alike; if they ever did not, numbers would be wrong.
     number = F.coalesce(F.col("place") + F.col("shift"), F.raise_error(F.lit("a range of a file was not counted")).cast("long"))
-    return lines.select(F.regexp_replace("file", "\\.gz$", "").alias("src_file"), number.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+    value = F.when(F.endswith("value", F.lit("\r")), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value"))
+    return lines.select("src_file", number.alias("line_no"), value.alias("value"))
 
 
 def read_quads(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +16,18 @@ from tidegauge.operators import facts, gates
 from tidegauge.operators.planning import Thresholds
 from tidegauge.schemas import NAMESPACE
 from tidegauge.session import children, exists, materialise, release, remove
-from tidegauge.sources.quads import parse_lines, pending_files
+from tidegauge.sources.quads import parse_lines, pending_files, read_lines
 from tidegauge.sources.store import RunStore
 
 
 def archive_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Run files as they arrive (src_file, value), each read whole.
+    """Run files as they arrive (src_file, file, value), each read whole, for its digest.
 
     The source goes by path: a file rewritten under its name is not seen again and
     needs the batch load that goes by digest.
     """
     files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
-    return files.select(F.regexp_replace(F.col("_metadata.file_path"), "\\.gz$", "").alias("src_file"), "value")
+    return files.select(F.regexp_replace(F.col("_metadata.file_path"), "\\.gz$", "").alias("src_file"), F.col("_metadata.file_path").alias("file"), "value")
 
 
 def load_faults(
@@ -72,7 +74,8 @@ def ingest(
 ) -> StreamingQuery:
     """Validates each micro-batch and writes the graphs of its sound files; a stored graph is replaced whole.
 
-    Files whose digest the store knows are passed over (S3). A batch is parsed once.
+    Files whose digest the store knows are passed over (S3). A batch is parsed once, by
+    lines: its files are opened again, so that no task holds the lines of a whole file.
     ``on_refused`` gets the violations (src_file, fault). With ``current``, current
     readings are kept at that path, repaired where a run comes late or again (C9).
     """
@@ -80,11 +83,12 @@ def ingest(
     def load(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         archive = RunStore(spark, store, namespace)
-        digests = batch.select(F.col("src_file").alias("key"), F.sha2(F.col("value").cast("binary"), 256).alias("digest"))
+        digests = batch.select(F.col("src_file").alias("key"), F.sha2(F.col("value").cast("binary"), 256).alias("digest"), "file")
         pending = materialise(pending_files(digests, archive.files()), "pending")
-        known = F.broadcast(pending.select(F.col("key").alias("src_file")))
-        lines = batch.join(known, "src_file").select("src_file", F.posexplode(F.split(F.replace("value", F.lit("\r\n"), F.lit("\n")), "\n")).alias("n", "value"))
-        quads = materialise(parse_lines(lines.select("src_file", (F.col("n") + 1).cast("long").alias("line_no"), "value")), "incoming")
+        # As many as the batch has files, at most; given as URLs.
+        places = [re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(r["file"])) for r in pending.select("file").collect()]
+        lines = read_lines(spark, places, few=True) if places else spark.createDataFrame([], "src_file string, line_no long, value string")
+        quads = materialise(parse_lines(lines), "incoming")
         # A row for each file of the batch, so what is kept is a filter of the lines and no copy of them.
         good = quads.where("bad is null")
         ends = materialise(gates.cuts(good, namespace), "ends")
